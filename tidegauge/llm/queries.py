@@ -13,12 +13,22 @@ from .language_id import identify
 from .line_dedup import dedup_lines
 from .lm_score import score_texts
 from .mixing import mix_rates
+from .pieces import decode_pieces, encode_texts, fallback_count, load
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text, counted and hashed, and whether decoding gives the text back."""
+    out = decode_pieces(encode_texts(_table(spark, sf_dir, "documents")), out_col="back")
+    return out.select(
+        "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), fallback_count(F.col("pieces"), load()).alias("n_byte_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"), F.col("text").eqNullSafe(F.col("back")).alias("lossless"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words a shingle, 85 per cent."""
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, per=85)
@@ -47,6 +57,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
