@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
 from .language_id import identify
+from .licences import scan
 from .line_dedup import dedup_lines
 from .lm_score import score_texts
 from .mixing import mix_rates
 from .pieces import decode_pieces, encode_texts, fallback_count, load
+from .quality import quality
 from .topk_search import quantised, top_k
 
 
@@ -21,6 +23,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document; family is that of the first confirmed one."""
+    out = scan(_table(spark, sf_dir, "documents"))
+    confirmed = F.filter("hits", lambda h: h["family"] != "unknown")
+    return out.select(
+        "doc_id", "n_paragraphs", F.size("hits").alias("n_licences"), F.size(confirmed).alias("n_confirmed"),
+        F.coalesce(F.get(confirmed, F.lit(0))["family"], F.when(F.size("hits") > 0, F.lit("unknown")).otherwise(F.lit("none"))).alias("family"),
+        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["family"]))).alias("families"),
+    )
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("v"))
     return top_k(vectors, F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
@@ -35,6 +48,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages."""
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words a shingle, 85 per cent."""
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, per=85)
@@ -63,8 +81,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_topk_search": op2_topk_search,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality": op4_quality,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,

@@ -86,14 +86,14 @@ def row_runs(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         a = b
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Block]:
-    """The words of a string column, in blocks of whole rows."""
+def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = True, separator: np.ndarray = SEPARATOR) -> Iterator[Block]:
+    """The words of a string column, in blocks of whole rows. separator: which bytes are not in words."""
     data, offsets = text_buffers(column)
     for a, b in row_runs(offsets):
         own = data[offsets[a] : offsets[b]]
         own = LOWER[own] if lower else own
         cut = offsets[a : b + 1] - offsets[a]
-        word = ~SEPARATOR[own]
+        word = ~separator[own]
         begins, ends = word.copy(), word.copy()
         if len(own):
             begins[1:] &= ~word[:-1]
