@@ -107,3 +107,19 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = rows.withColumn("copies", F.aggregate("rows", start, carry)["copies"])
     out = rows.select("source", "source_size", "target", F.explode(F.arrays_zip("rows", "copies")).alias("r"))
     return out.select(F.col("r.rows.doc_id").alias("doc_id"), "source", F.col("r.rows.size").alias("size"), "source_size", "target", F.col("r.rows.rate").alias("rate"), F.col("r.copies").alias("copies"), (F.col("r.copies") * F.col("r.rows.size")).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times).
+
+    Rows that repeat an id, source and size share their copies evenly, a remainder going by hash of the text.
+    """
+    size = word_count(F.col(text_col))
+    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("_source"), size.alias("_size")]
+    rates = mix_rates(docs, id_col, text_col, source_col, weights, share)
+    named = rates.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), F.col("size").alias("_size"), "copies")
+    taken = named.groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    met = docs.select("*", *key).join(taken, ["_id", "_source", "_size"])
+    spare = F.pmod(F.xxhash64(F.col(text_col)), F.col("_rows")) < F.pmod("_copies", "_rows")
+    times = (F.floor(F.col("_copies") / F.col("_rows")) + spare.cast("long")).cast("int")
+    return met.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
