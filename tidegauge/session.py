@@ -24,9 +24,14 @@ def session(name: str = "tidegauge", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch to Python workers. Batches are cut by rows only unless this is low; rows of long texts would make large ones.
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    """Send this package to the executors, once per application, so that their Python workers can import it, and bound their batches."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if not getattr(context, "_tidegauge_shipped", False):
         root = Path(__file__).resolve().parent
         out = Path(tempfile.mkdtemp(prefix="tidegauge-ship-")) / "tidegauge.zip"
