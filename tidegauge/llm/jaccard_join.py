@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .signature_tree import link_all, linked, needed
 from .store import stored
-from .words import U, blocks, mix, shingles
+from .words import U, blocks, by_key, mix, shingles
 
 #: Bytes of text a token block stands for on average; sets in a chunk of a large class; bytes of tokens in a task.
 TOKEN_BLOCK_BYTES = 16 << 20
@@ -66,10 +66,8 @@ def _packed(k: int, buckets: int):
             tokens = np.concatenate([np.zeros(0, U), *sets])
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
             bucket = ((tokens >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            found, at = np.unique(bucket[order], return_index=True)
             rows = [(-1 - block, block, np.asarray(ids, np.int64).tobytes(), n.tobytes(), keys.tobytes(), b"")]
-            for i, own in zip(found.tolist(), np.split(order, at[1:]), strict=True):
+            for i, own in by_key(bucket):
                 docs, counts = np.unique(doc[own], return_counts=True)
                 rows.append((i, block, docs.tobytes(), counts.astype(np.uint32).tobytes(), short[docs].tobytes(), (tokens[own] & _LOW).astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 2 + [pa.binary()] * 4)], ["bucket", "block", "a", "b", "c", "d"])
@@ -105,11 +103,8 @@ def _held(rows: pd.DataFrame) -> pd.DataFrame:
     many = np.repeat(np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start), size)
     df = np.repeat(np.minimum(size, 65535).astype(np.uint16), size)[many]
     order, token = order[many], token[many]
-    home = at[order]
-    back = np.argsort(home, kind="stable")
-    found, cut = np.unique(home[back], return_index=True)
     out = []
-    for i, own in zip(found.tolist(), np.split(back, cut[1:]), strict=True):
+    for i, own in by_key(at[order]):
         out.append((bucket, int(rows["block"].iloc[i]), doc[order[own]].tobytes(), df[own].tobytes(), b"", token[own].tobytes()))
     return pd.DataFrame(out, columns=["bucket", "block", "a", "b", "c", "d"])
 

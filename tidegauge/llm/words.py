@@ -43,6 +43,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.cumprod(out, dtype=U)
 
 
+def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct key with the places that have it."""
+    order = np.argsort(keys, kind="stable")
+    found, at = np.unique(keys[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, at[1:]) if len(found) else [], strict=True)
+
+
 @dataclass
 class Block:
     """Words of consecutive rows: word i is ``data[start[i]:end[i]]``; row r has words ``first[r]:first[r+1]``."""
