@@ -58,6 +58,10 @@ def _rate(size: str = "size") -> Column:
     return F.when(F.col("target") >= 2.0 * F.col("source_size"), F.lit(2.0)).otherwise(2.0 / (1.0 + F.exp(-F.least(F.greatest(x, F.lit(-60.0)), F.lit(60.0)))))
 
 
+def _total(x: Column) -> Column:
+    return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+
 def balanced_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: lam, mean, target, source_size, found by safeguarded Newton steps on all sources at once."""
     counts = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
@@ -68,7 +72,8 @@ def balanced_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
         own = counts.join(state, counts["source"].eqNullSafe(state["source"])).select(state["source"], "source_size", "source_docs", "target", "mean", "lam", "low", "high", "size", "n", _rate().alias("r"))
         slope = F.col("n") * F.col("size") * F.col("r") * (1 - F.col("r") / 2) * F.col("size") / F.greatest(F.col("mean"), F.lit(1e-9))
         keys = ["source", "source_size", "source_docs", "target", "mean", "lam", "low", "high"]
-        step = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col("size") * F.col("r")) - F.col("target")).alias("over"), F.sum(slope).alias("slope"))
+        # sums of decimals do not depend on their order, so reruns agree to the last bit
+        step = own.groupBy(*keys).agg((_total(F.col("n") * F.col("size") * F.col("r")) - F.col("target")).alias("over"), _total(slope).alias("slope"))
         low = F.when(F.col("over") < 0, F.greatest("low", "lam")).otherwise(F.col("low"))
         high = F.when(F.col("over") > 0, F.least("high", "lam")).otherwise(F.col("high"))
         step = step.withColumn("low2", low).withColumn("high2", high).withColumn("newton", F.when(F.col("slope") > 0, F.col("lam") - F.col("over") / F.col("slope")))
