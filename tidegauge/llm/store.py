@@ -2,30 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..sources.shared import stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests), one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get("spark.tidegauge.shared.dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.tidegauge.shared.dir", own)
-    return own
-
-
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; the files go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegauge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["stored"]
