@@ -1,7 +1,7 @@
 """SentencePiece encoding with sampled segmentations, and lossless decoding.
 
-A text, with a mark for each blank and one before it, is cut so that no vocabulary piece crosses a cut: blanks lead a
-chunk, line feeds stand alone. Over the lattice of a chunk's pieces, forward filtering sums the weights of all ways to
+A text, with a mark for each blank and one before it, is cut wherever two characters stand side by side that no piece
+has side by side. Over the lattice of a chunk's pieces, forward filtering sums the weights of all ways to
 each place; backward sampling then draws pieces from the end, each by its share of that sum. Random numbers are a hash
 of the row's key and the place in the text, so a row's segmentation is the same in every run and on every partition.
 Characters that no piece covers become byte pieces.
@@ -9,25 +9,26 @@ Characters that no piece covers become byte pieces.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import U, mix, row_runs, text_buffers
+from .words import _BACK, _STEP, U, _powers, mix, row_runs, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Weights of a piece: 1 / (rank + OFFSET) ** SHARPNESS, by rank in the vocabulary (a BPE vocabulary has ranks, not chances).
 OFFSET, SHARPNESS = 10.0, 1.5
 #: Lattice edges that a worker keeps for words it has met.
-KEPT_EDGES = 6_000_000
-UNIT_BYTES = 2 << 20
-_CHUNK = re.compile(r" *[^ \n]+|\n| +")
+KEPT_EDGES = 2_500_000
+UNIT_BYTES = 1 << 20
+#: Code points whose pairs are looked up in a table.
+_NEAR = 1024
 
 
 class Vocabulary:
@@ -55,6 +56,16 @@ def load(model: str = MODEL) -> Vocabulary:
     return Vocabulary(["" if i in special else p.id_to_piece(i) for i in range(n)], [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
+@lru_cache(maxsize=2)
+def _power_table(upto: int, back: bool) -> np.ndarray:
+    return _powers(_BACK if back else _STEP, upto)
+
+
+def powers(n: int, back: bool) -> np.ndarray:
+    """Powers of the hash's base, or of its inverse."""
+    return _power_table(1 << max(20, int(n).bit_length()), back)[:n]
+
+
 class Lattices:
     """Lattices of the chunks met so far; nodes (a place of a chunk) and edges (a piece that ends there) in flat arrays."""
 
@@ -63,13 +74,21 @@ class Lattices:
 
         self.find = ahocorasick.Automaton()
         ids = [i for i, p in enumerate(vocabulary.pieces) if p]
+        pairs = set()
         for rank, i in enumerate(ids):
-            p = vocabulary.pieces[i]
-            if BLANK in p.lstrip(BLANK) or "\n" in p:
-                raise ValueError(f"piece {p!r} has a blank or line feed inside")
-            self.find.add_word(p.replace(BLANK, " "), rank)
+            p = vocabulary.pieces[i].replace(BLANK, " ")
+            self.find.add_word(p, rank)
+            pairs.update(ord(x) << 21 | ord(y) for x, y in zip(p, p[1:], strict=False))
         self.find.make_automaton()
-        self.ids, self.sizes = np.asarray(ids, np.int64), np.asarray([len(vocabulary.pieces[i]) for i in ids], np.int64)
+        if any(x >> 21 == 10 or x & 0x1FFFFF == 10 for x in pairs):
+            raise ValueError("a piece holds a line feed with something else")
+        # neighbours inside a piece: between any others a text may be cut
+        self.pairs = np.asarray(sorted(pairs), np.int64)
+        self.near = np.zeros((_NEAR, _NEAR), bool)
+        for x in pairs:
+            if x >> 21 < _NEAR and x & 0x1FFFFF < _NEAR:
+                self.near[x >> 21, x & 0x1FFFFF] = True
+        self.ids, self.sizes = np.asarray(ids, np.int32), np.asarray([len(vocabulary.pieces[i]) for i in ids], np.int64)
         self.weights = (np.arange(len(ids)) + OFFSET) ** -sharpness
         self.longest = int(self.sizes.max())
         self.byte_weight = (len(ids) + OFFSET) ** -sharpness
@@ -77,7 +96,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.parts: dict[str, list[np.ndarray]] = {k: [] for k in ("last", "length", "first", "upto", "piece", "step")}
         self.nodes = self.edges = 0
 
@@ -87,57 +106,69 @@ class Lattices:
                 self.parts[k] = [np.concatenate(self.parts[k])]
         return [self.parts[k][0] for k in names]
 
-    def add(self, chunks: list[str]) -> None:
+    def cuts(self, char: np.ndarray) -> np.ndarray:
+        """Where a text may be cut: starts of chunks that no piece reaches out of."""
+        a, b = char[:-1], char[1:]
+        low = (a < _NEAR) & (b < _NEAR)
+        joined = self.near[np.where(low, a, 0), np.where(low, b, 0)] & low
+        rare = np.flatnonzero(~low)
+        if len(rare):
+            want = a[rare].astype(np.int64) << 21 | b[rare]
+            at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+            joined[rare] = self.pairs[at] == want
+        return np.flatnonzero(np.concatenate([[True], ~joined]))
+
+    def add(self, names: list[int], chunks: list[str]) -> None:
         """Forward filtering of new chunks, all of them a place at a time. Piece -1 - c is character c as bytes."""
         joined = "\n".join(chunks) + "\n"
         length = np.asarray(list(map(len, chunks)), np.int64)
         start = np.cumsum(length + 1) - length - 1
-        found = np.fromiter(self.find.iter(joined), np.dtype([("end", np.int64), ("rank", np.int32)]))
-        end, size = found["end"], self.sizes[found["rank"]]
-        piece, weight = self.ids[found["rank"]], self.weights[found["rank"]]
-        # a character without a piece of its own, and a line feed, become bytes
-        char = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-        inside = np.zeros(len(char), bool)
-        inside[np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)] = True
+        begin = np.cumsum(length) - length
+        flat = np.fromiter(chain.from_iterable(self.find.iter(joined)), np.int64)
+        end, rank = flat[0::2], flat[1::2]
+        size, piece, weight = self.sizes[rank], self.ids[rank], self.weights[rank]
+        char = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        inside = np.ones(len(char), bool)
+        inside[start + length] = False
+        keep = inside[end]  # a line feed may be a piece; those put between chunks are none
+        if not keep.all():
+            end, size, piece, weight = end[keep], size[keep], piece[keep], weight[keep]
         alone = inside.copy()
         alone[end[size == 1]] = False
         more = np.flatnonzero(alone)
-        end, size = np.concatenate([end, more]), np.concatenate([size, np.ones(len(more), np.int64)])
-        piece = np.concatenate([piece, -1 - char[more]])
-        weight = np.concatenate([weight, np.full(len(more), self.byte_weight)])
-        # nodes: all places of all chunks; ways to the place before each chunk is 1
-        node_of = np.cumsum(inside) - 1
-        begin = np.cumsum(length) - length
+        if len(more):  # characters without a piece of their own become bytes
+            end, size = np.concatenate([end, more]), np.concatenate([size, np.ones(len(more), np.int64)])
+            piece = np.concatenate([piece, -1 - char[more].astype(np.int32)])
+            weight = np.concatenate([weight, np.full(len(more), self.byte_weight)])
+            order = np.argsort(end, kind="stable")
+            end, size, piece, weight = end[order], size[order], piece[order], weight[order]
         chunk_of = np.repeat(np.arange(len(chunks)), length)
-        to = node_of[end]
+        to = (np.cumsum(inside) - 1)[end]
         level = to - begin[chunk_of[to]]
-        order = np.lexsort((size, to, level))
-        to, size, piece, weight, level = (x[order] for x in (to, size, piece, weight, level))
-        ways = np.zeros(int(length.sum()))
-        share = np.empty(len(to))
-        cut = np.searchsorted(level, np.arange(int(length.max()) + 1))
+        longest = int(length.max())
+        order = np.argsort(level.astype(np.int16) if longest < 32000 else level, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=longest))])
+        ways, share = np.zeros(int(length.sum())), np.empty(len(to))
         for j, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-            at = to[a:b]
-            back = size[a:b]
-            w = weight[a:b] * np.where(back > j, 1.0, ways[at - back])
+            edge = order[a:b]
+            at, back = to[edge], size[edge]
+            w = weight[edge] * np.where(back > j, 1.0, ways[at - np.minimum(back, j)])
             head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             total = np.add.reduceat(w, head)
-            share[a:b] = w / np.repeat(total, np.diff(np.append(head, len(at))))
+            share[edge] = w / np.repeat(total, np.diff(np.append(head, len(at))))
             ways[at[head]] = total
             # long chunks are rescaled before their sums vanish; by then no piece reaches back to the start
             low = at[head][total < 1e-150] if j >= self.longest else at[:0]
             for k in range(self.longest) if len(low) else ():
                 ways[low - k] *= 1e150
-        # most likely first, shares as 32-bit fractions that do not depend on what else is kept
-        order = np.lexsort((size, -share, to))
-        to, size, piece, share = to[order], size[order], piece[order], share[order]
+        # shares as 32-bit fractions that do not depend on what else is kept, longest piece first
         head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         fraction = np.floor(share * 2.0**32).astype(np.int64)
         total = np.cumsum(fraction)
         upto = total - np.repeat(total[head] - fraction[head], np.diff(np.append(head, len(to))))
         upto[np.append(head[1:], len(to)) - 1] = 1 << 32
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        for k, x in (("last", self.nodes + begin + length - 1), ("length", length), ("first", self.edges + head), ("upto", upto), ("piece", piece.astype(np.int32)), ("step", np.minimum(size, 127).astype(np.int8))):
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        for k, x in (("last", self.nodes + begin + length - 1), ("length", length), ("first", self.edges + head), ("upto", upto), ("piece", piece), ("step", size.astype(np.int8))):
             self.parts[k].append(x)
         self.nodes += len(head)
         self.edges += len(to)
@@ -146,29 +177,40 @@ class Lattices:
         """Piece ids of all texts behind each other, and each text's number of them."""
         if self.edges > KEPT_EDGES:
             self.clear()
-        chunks: list[str] = []
-        count = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                own = _CHUNK.findall(" " + t)
-                count[i] = len(own)
-                chunks += own
-        if not chunks:
-            return np.zeros(0, np.int32), count
-        of = list(map(self.known.get, chunks))
-        if None in of:
-            self.add(sorted({c for c, x in zip(chunks, of, strict=True) if x is None}))
-            of = list(map(self.known.get, chunks))
-        of = np.asarray(of, np.int64)
-        last, length_of, first, upto, piece, step = self.arrays("last", "length", "first", "upto", "piece", "step")
-        length = length_of[of]
+        # a blank before each text that is not empty, and a line feed between them
+        joined = "".join([f" {t}\n" if t else "\n" for t in texts])
+        if len(joined) == len(texts):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        lengths = np.asarray([len(t) + 2 if t else 1 for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        char = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        start = self.cuts(char)
+        length = np.diff(np.append(start, len(char)))
+        between = np.searchsorted(start, ends - 1)  # the line feeds between texts are chunks of their own
+        real = np.ones(len(start), bool)
+        real[between] = False
+        start, length = start[real], length[real]
+        count = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(char) + 1, U)
+            np.cumsum((char.astype(U) + U(0x632BE59B)) * U(0xD1342543DE82EF95) * powers(len(char), False), out=total[1:])
+            h = mix((total[start + length] - total[start]) * powers(len(char), True)[start] + length.astype(U))
+        name, at, of = np.unique(h, return_index=True, return_inverse=True)
+        names = name.tolist()
+        places = list(map(self.known.get, names))
+        if None in places:
+            new = [i for i, x in enumerate(places) if x is None]
+            a, n = start[at[new]].tolist(), length[at[new]].tolist()
+            self.add([names[i] for i in new], [joined[x : x + m] for x, m in zip(a, n, strict=True)])
+            places = list(map(self.known.get, names))
+        of = np.asarray(places, np.int64)[of]
+        last, first, upto, piece, step = self.arrays("last", "first", "upto", "piece", "step")
         text = np.repeat(np.arange(len(texts)), count)
-        place = np.cumsum(length)
-        base = np.concatenate([[0], place])[np.concatenate([[0], np.cumsum(count)])[:-1]]
+        place = start + length - (ends - lengths)[text]
         with np.errstate(over="ignore"):
             # the random number at a place depends on the text's key and the place alone
-            seed = mix(keys.astype(np.int64).view(U))[text] + (place - base[text]).astype(U) * U(0x9E3779B97F4A7C15)
-        node, left, at = last[of], length, np.arange(len(of))
+            seed = mix(keys.astype(np.int64).view(U))[text] + place.astype(U) * U(0x9E3779B97F4A7C15)
+        node, left, at = last[of], length, np.arange(len(of), dtype=np.int32)
         drawn_at, drawn = [], []
         while len(at):
             u = (mix(seed) >> U(32)).astype(np.int64)
@@ -183,14 +225,14 @@ class Lattices:
             left = left - size
             go = np.flatnonzero(left > 0)
             with np.errstate(over="ignore"):
-                seed = (seed - size.astype(U) * U(0x9E3779B97F4A7C15))[go]
-            at, node, left = at[go], (node - size)[go], left[go]
+                seed = seed[go] - size[go].astype(U) * U(0x9E3779B97F4A7C15)
+            at, node, left = at[go], node[go] - size[go], left[go]
         rounds = np.bincount(np.concatenate(drawn_at), minlength=len(of))
         begin = np.cumsum(rounds) - rounds
-        out = np.empty(int(rounds.sum()), np.int64)
+        out = np.empty(int(rounds.sum()), np.int32)
         for i, (a, d) in enumerate(zip(drawn_at, drawn, strict=True)):
             out[begin[a] + rounds[a] - 1 - i] = d
-        per = np.bincount(np.repeat(text, rounds), minlength=len(texts))
+        per = np.bincount(text, rounds, len(texts)).astype(np.int64)
         if (out < 0).any():
             out, per = self._bytes(out, per)
         return out.astype(np.int32), per
@@ -213,6 +255,45 @@ def _lattices(vocabulary: Vocabulary, sharpness: float) -> Lattices:
     return Lattices(vocabulary, sharpness)
 
 
+def _encoded(own: Lattices, text: pa.Array, key: pa.Array) -> pa.Array:
+    data, offsets = text_buffers(text)
+    keys = key.to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a, b in row_runs(offsets, UNIT_BYTES):
+        i, n = own.encode([data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in range(a, b)], keys[a:b])
+        ids.append(i)
+        per.append(n)
+    cut = np.concatenate([[0], np.cumsum(np.concatenate(per))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(ids)), mask=text.is_null() if text.null_count else None)
+
+
+class _Bytes:
+    """The bytes that each piece stands for."""
+
+    def __init__(self, v: Vocabulary):
+        of_byte = {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
+        raw = [of_byte.get(i, p.replace(BLANK, " ").encode()) for i, p in enumerate(v.pieces)]
+        self.length = np.asarray([len(x) for x in raw], np.int64)
+        self.begin, self.data = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(raw), np.uint8)
+
+    def decoded(self, column: pa.Array) -> pa.Array:
+        cut = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+        every = column.values.to_numpy(zero_copy_only=False)
+        out: list[str] = []
+        for a, b in row_runs(cut, 1 << 18):
+            ids = every[cut[a] : cut[b]]
+            size = self.length[ids]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = self.data[np.arange(ends[-1]) + np.repeat(self.begin[ids] - ends[:-1], size)].tobytes()
+            at = ends[cut[a : b + 1] - cut[a]].tolist()
+            # each text's first blank is the one put before it
+            out += [flat[i + 1 : j].decode("utf-8", "replace") if j > i else "" for i, j in zip(at[:-1], at[1:], strict=True)]
+        return pa.array(out, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None)
+
+
+# annotations of the functions below are read by Spark to tell their kind
+
+
 def encoder(spark: SparkSession, vocabulary: Vocabulary, sharpness: float = SHARPNESS):
     """A function of (text, key: long) columns to an array of piece ids; null text to null."""
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -220,18 +301,8 @@ def encoder(spark: SparkSession, vocabulary: Vocabulary, sharpness: float = SHAR
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = _lattices(sent.value, sharpness)
         for text, key in batches:
-            data, offsets = text_buffers(text)
-            keys = key.to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for a, b in row_runs(offsets, UNIT_BYTES):
-                i, n = own.encode([data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in range(a, b)], keys[a:b])
-                ids.append(i)
-                per.append(n)
-            cut = np.concatenate([[0], np.cumsum(np.concatenate(per))]).astype(np.int32)
-            null = text.is_null() if text.null_count else None
-            yield pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(ids)), mask=null)
-
-    # annotations are read by Spark to tell the kind of function
+            yield _encoded(own, text, key)
+
     return F.arrow_udf(run, "array<int>")
 
 
@@ -240,31 +311,26 @@ def decoder(spark: SparkSession, vocabulary: Vocabulary):
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = sent.value
-        of_byte = {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
-        raw = [of_byte.get(i, p.replace(BLANK, " ").encode()) for i, p in enumerate(v.pieces)]
-        length = np.asarray([len(x) for x in raw], np.int64)
-        begin, data = np.cumsum(length) - length, np.frombuffer(b"".join(raw), np.uint8)
+        own = _Bytes(sent.value)
         for column in batches:
-            cut = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-            all_ids = column.values.to_numpy(zero_copy_only=False)
-            out = []
-            rows = 0
-            while rows < len(column):
-                upto = max(rows + 1, int(np.searchsorted(cut, cut[rows] + (1 << 20), "right")) - 1)
-                ids = all_ids[cut[rows] : cut[upto]].astype(np.int64)
-                size = length[ids]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                flat = data[np.arange(ends[-1]) + np.repeat(begin[ids] - ends[:-1], size)]
-                at = ends[cut[rows : upto + 1] - cut[rows]]
-                # each text's first blank is the one put before it
-                out += [flat[a + 1 : b].tobytes().decode("utf-8", "replace") if b > a else "" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                rows = upto
-            yield pa.array(out, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None)
+            yield own.decoded(column)
 
     return F.arrow_udf(run, "string")
 
 
+def round_trip(spark: SparkSession, vocabulary: Vocabulary, sharpness: float = SHARPNESS):
+    """A function of (text, key) to pieces and the text decoded from them, in one worker."""
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own, raw = _lattices(sent.value, sharpness), _Bytes(sent.value)
+        for text, key in batches:
+            ids = _encoded(own, text, key)
+            yield pa.StructArray.from_arrays([ids, raw.decoded(ids)], ["pieces", "back"])
+
+    return F.arrow_udf(run, "pieces array<int>, back string")
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "pieces", model: str = MODEL, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
     """``docs`` with ``out_col``: a sampled segmentation of each whole text as piece ids (replaced if it was there).
 
@@ -280,6 +346,12 @@ def decode_pieces(docs: DataFrame, pieces_col: str = "pieces", out_col: str = "t
     return docs.withColumn(out_col, decoder(docs.sparkSession, load(model))(F.col(pieces_col)))
 
 
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
+    """``docs`` with ``pieces`` as from ``encode_texts`` and ``back``, the text decoded from them."""
+    both = round_trip(docs.sparkSession, load(model), sharpness)(F.col(text_col), F.xxhash64(F.col(id_col), F.lit(seed)))
+    return docs.drop("pieces", "back").withColumn("_both", both).select("*", "_both.pieces", "_both.back").drop("_both")
+
+
 def fallback_count(pieces: Column, vocabulary: Vocabulary) -> Column:
     """Byte pieces in a column of ids; their ids follow each other."""
     low, high = min(vocabulary.byte_ids), max(vocabulary.byte_ids)

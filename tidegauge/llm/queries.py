@@ -14,7 +14,7 @@ from .licences import scan
 from .line_dedup import dedup_lines
 from .lm_score import score_texts
 from .mixing import mix_rates
-from .pieces import decode_pieces, encode_texts, fallback_count, load
+from .pieces import encode_and_decode, fallback_count, load
 from .quality import quality
 from .topk_search import quantised, top_k
 
@@ -41,7 +41,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text, counted and hashed, and whether decoding gives the text back."""
-    out = decode_pieces(encode_texts(_table(spark, sf_dir, "documents")), out_col="back")
+    out = encode_and_decode(_table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), fallback_count(F.col("pieces"), load()).alias("n_byte_pieces"),
         F.xxhash64("pieces").alias("pieces_hash"), F.col("text").eqNullSafe(F.col("back")).alias("lossless"),
