@@ -200,3 +200,28 @@ def test_published_baseline(spark):
         for r in got:
             w = want[r.model]
             assert r.n == w.n and abs(r.mae - w.mae) < 1e-12 and abs(r.wape - w.wape) < 1e-12 and abs(r.bias - w.bias) < 1e-12
+
+
+def test_ingest_job_is_idempotent(spark, tmp_path):
+    """Landed pages go to the log once; a second call takes only what is new."""
+    from tidegauge.operators.changelog import merge_counts
+    from tidegauge.streaming.jobs import merged_views, stream_ingest_merge
+
+    def land(run, *records):
+        (tmp_path / f"pages/run_id={run}").mkdir(parents=True)
+        (tmp_path / f"pages/run_id={run}/p.jsonl").write_text("".join(json.dumps(RECORD | r) + "\n" for r in records))
+
+    def take():
+        stream = files.stream_request_pages(spark, f"file://{tmp_path}/pages/run_id=*").withColumn("run_id", F.regexp_extract("file", r"run_id=(\d+)", 1).cast("long"))
+        stream_ingest_merge(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/state", lambda rows: nz.normalize_requests(rows, "run_id", "ordinal")).awaitTermination()
+        return merged_views(spark, f"file://{tmp_path}/log")
+
+    land(1, {}, {"unique_key": "8"}, {"status": "Late"})
+    for _ in range(2):
+        views = take()
+        assert {r.request_id: r.status for r in views["state"].collect()} == {7: "Late", 8: "Open"}
+        assert views["versions"].count() == 3 and views["observations"].count() == 2
+    land(2, {"status": "Closed"})
+    views = take()
+    assert {r.request_id: r.status for r in views["state"].collect()} == {7: "Closed", 8: "Open"}
+    assert {r.run_id: (r.rows_new, r.rows_changed) for r in merge_counts(views["observations"]).collect()} == {1: (2, 0), 2: (0, 1)}

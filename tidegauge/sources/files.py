@@ -20,7 +20,17 @@ def read_request_pages(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines are passed over; unknown fields are ignored. A page is one file of a few thousand lines, read in one piece, so places in it are
     in line order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    return records_of(spark.read.option("wholetext", True).text(path))
+
+
+def stream_request_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream of files as they land."""
+    return records_of(spark.readStream.option("wholetext", True).text(path))
+
+
+def records_of(pages: DataFrame) -> DataFrame:
+    """Records of pages read in one piece each."""
+    lines = pages.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     rows = lines.filter(F.trim("text") != "").select("file", "line", F.from_json("text", RAW).alias("r"))
     return rows.select("file", F.struct("file", "line").alias("ordinal"), "r.*")
 
