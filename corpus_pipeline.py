@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.jaccard_join import drop_near_copies
 from tidegauge.llm.line_dedup import dedup_lines
 from tidegauge.llm.mixing import mix
-from tidegauge.llm.pieces import decode_pieces, encode_texts
+from tidegauge.llm.pieces import encode_and_decode
 from tidegauge.llm.quality import keep_good
 from tidegauge.llm.store import stored
 from tidegauge.session import ship
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each document, and whether they decode to its text."""
     ship(spark)
-    out = decode_pieces(encode_texts(docs), out_col="back")
+    out = encode_and_decode(docs)
     return out.select("doc_id", "lang", "source", "n_chars", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("text").eqNullSafe(F.col("back")).alias("lossless"))
 
 
