@@ -25,7 +25,7 @@ def session(name: str = "tidegauge", **more: str) -> SparkSession:
 
 
 #: Bytes of an Arrow batch to Python workers. Batches are cut by rows only unless this is low; rows of long texts would make large ones.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
