@@ -25,8 +25,8 @@ BLANK = "▁"
 #: Weights of a piece: 1 / (rank + OFFSET) ** SHARPNESS, by rank in the vocabulary (a BPE vocabulary has ranks, not chances).
 OFFSET, SHARPNESS = 10.0, 1.5
 #: Lattice edges that a worker keeps for words it has met.
-KEPT_EDGES = 2_500_000
-UNIT_BYTES = 1 << 20
+KEPT_EDGES = 1_200_000
+UNIT_BYTES = 1 << 18
 #: Code points whose pairs are looked up in a table.
 _NEAR = 1024
 
@@ -63,7 +63,7 @@ def _power_table(upto: int, back: bool) -> np.ndarray:
 
 def powers(n: int, back: bool) -> np.ndarray:
     """Powers of the hash's base, or of its inverse."""
-    return _power_table(1 << max(20, int(n).bit_length()), back)[:n]
+    return _power_table(1 << max(19, int(n).bit_length()), back)[:n]
 
 
 class Lattices:
@@ -97,14 +97,18 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.parts: dict[str, list[np.ndarray]] = {k: [] for k in ("last", "length", "first", "upto", "piece", "step")}
+        kinds = {"last": np.int32, "first": np.int32, "upto": np.int64, "piece": np.int32, "step": np.int8}
+        self.held = {k: np.empty(1 << 16, t) for k, t in kinds.items()}
         self.nodes = self.edges = 0
 
-    def arrays(self, *names: str) -> list[np.ndarray]:
-        for k in names:
-            if len(self.parts[k]) > 1:
-                self.parts[k] = [np.concatenate(self.parts[k])]
-        return [self.parts[k][0] for k in names]
+    def keep(self, name: str, used: int, values: np.ndarray) -> None:
+        """Append to a flat array; its room doubles when it is full."""
+        own, upto = self.held[name], used + len(values)
+        if upto > len(own):
+            own = np.empty(max(upto, 2 * len(own)), own.dtype)
+            own[:used] = self.held[name][:used]
+            self.held[name] = own
+        own[used:upto] = values
 
     def cuts(self, char: np.ndarray) -> np.ndarray:
         """Where a text may be cut: starts of chunks that no piece reaches out of."""
@@ -167,9 +171,12 @@ class Lattices:
         total = np.cumsum(fraction)
         upto = total - np.repeat(total[head] - fraction[head], np.diff(np.append(head, len(to))))
         upto[np.append(head[1:], len(to)) - 1] = 1 << 32
-        self.known.update(zip(names, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        for k, x in (("last", self.nodes + begin + length - 1), ("length", length), ("first", self.edges + head), ("upto", upto), ("piece", piece), ("step", size.astype(np.int8))):
-            self.parts[k].append(x)
+        n = len(self.known)
+        self.keep("last", n, self.nodes + begin + length - 1)
+        self.keep("first", self.nodes, self.edges + head)
+        for k, x in (("upto", upto), ("piece", piece), ("step", size)):
+            self.keep(k, self.edges, x)
+        self.known.update(zip(names, range(n, n + len(chunks)), strict=True))
         self.nodes += len(head)
         self.edges += len(to)
 
@@ -204,7 +211,7 @@ class Lattices:
             self.add([names[i] for i in new], [joined[x : x + m] for x, m in zip(a, n, strict=True)])
             places = list(map(self.known.get, names))
         of = np.asarray(places, np.int64)[of]
-        last, first, upto, piece, step = self.arrays("last", "first", "upto", "piece", "step")
+        last, first, upto, piece, step = (self.held[k] for k in ("last", "first", "upto", "piece", "step"))
         text = np.repeat(np.arange(len(texts)), count)
         place = start + length - (ends - lengths)[text]
         with np.errstate(over="ignore"):
@@ -280,7 +287,7 @@ class _Bytes:
         cut = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
         every = column.values.to_numpy(zero_copy_only=False)
         out: list[str] = []
-        for a, b in row_runs(cut, 1 << 18):
+        for a, b in row_runs(cut, 1 << 16):
             ids = every[cut[a] : cut[b]]
             size = self.length[ids]
             ends = np.concatenate([[0], np.cumsum(size)])
