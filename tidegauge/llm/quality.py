@@ -109,7 +109,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), surface(F.col(text_col)).alias("x"))
     rows = stored(rows, "surface")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").dropDuplicates(["doc_id"])
-    sample = rows.filter(F.col("x")[0] > 0).join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(TRAIN_ROWS).select("x", "y").collect()
+    # thinned by the same hash that orders them, so that tasks send little more than what is kept
+    few = min(1.0, 1.1 * TRAIN_ROWS / max(1, known.count()))
+    thin = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) <= few * 1_000_003)
+    sample = rows.filter(F.col("x")[0] > 0).join(thin, "doc_id").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)), F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(TRAIN_ROWS).select("x", "y").collect()
     x, y = np.asarray([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.asarray([r["y"] for r in sample], float)
     if len(set(y)) == 2:
         weights, constant = fit_logistic(x, y)
@@ -122,9 +125,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     empty = F.col("x")[0] <= 0
     p = 1 / (1 + F.exp(-F.least(F.greatest(log_odds, F.lit(-30.0)), F.lit(30.0))))
     own = stored(rows.select("doc_id", "host", "path", empty.alias("empty"), F.when(~empty, p).alias("p")), "evidence")
-    sums = [F.count("p").alias("n"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("p") * F.col("p")), F.lit(0.0)).alias("ss")]
+    # sums of decimals do not depend on their order, so reruns agree
+    exact = [F.col("p").cast("decimal(28,12)"), (F.col("p") * F.col("p")).cast("decimal(28,12)")]
+    sums = [F.count("p").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,12)").alias(k) for x, k in zip(exact, ("s", "ss"), strict=True)]]
     paths = stored(own.groupBy("host", "path").agg(*sums), "paths")
-    hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")), "hosts")
+    hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")), "hosts").withColumns({k: F.col(k).cast("double") for k in ("s", "ss")})
+    paths = paths.withColumns({k: F.col(k).cast("double") for k in ("s", "ss")})
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).first()
     rate = (total["s"] + 1) / (total["n"] + 2)
     by_host = _strength(hosts, F.lit(rate))
