@@ -432,3 +432,53 @@ def test_sparse_sites_are_drawn_to_the_rate_above(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 290)], "doc_id long, quality int, toxic int")
     got = {x.doc_id: x for x in quality(frame(spark, texts, source=source), labels).collect()}
     assert got[2].path_rate < got[299].path_rate < got[3].path_rate
+
+
+def test_lm_learns_every_context_of_running_text(spark):
+    """Against the plain definition, over whole texts: contexts seen once count, and so does what stands before a word."""
+    texts = [prose(6, np.random.default_rng(i)) for i in range(25)] + ["", None, "abc  ABC é"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    coded = [b"".join(w.encode() + b" " for w in WORD.findall(lower(t or ""))) + b"\n" for t in texts]
+    counts = defaultdict(lambda: [0, 0])
+
+    def path(before, byte, j):
+        return [(before[len(before) - d :], (1 << j) | (byte >> (8 - j))) for d in range(ct.DEPTH + 1)]
+
+    def bits(text):
+        text = bytes(ct.DEPTH) + text
+        return [(path(text[i - ct.DEPTH : i], text[i], j), (text[i] >> (7 - j)) & 1) for i in range(ct.DEPTH, len(text)) for j in range(8)]
+
+    for t, out in zip(coded, held, strict=True):
+        for nodes, bit in [] if out else bits(t):
+            for k in nodes:
+                counts[k][bit] += 1
+    kids = defaultdict(list)
+    for context, lead in counts:
+        if context:
+            kids[context[1:], lead].append((context, lead))
+
+    def own(k):
+        a, b = counts[k]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    weight, share = {}, {}
+    for k in sorted(counts, key=lambda k: -len(k[0])):
+        deep = sum(weight[c] for c in kids[k]) if len(k[0]) < ct.DEPTH else None
+        both = own(k) if deep is None else np.logaddexp(own(k), deep)
+        share[k], weight[k] = math.exp(own(k) - both), both - (0 if deep is None else math.log(2))
+
+    def log10(text):
+        total = 0.0
+        for nodes, bit in bits(text):
+            mass, sure, p = 1.0, 0.0, 0.5
+            for k in nodes:
+                if k not in counts:
+                    break
+                kt = (counts[k][1] + 0.5) / (sum(counts[k]) + 1)
+                p, mass, sure = sure + mass * kt, mass * (1 - share[k]), sure + mass * share[k] * kt
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+    assert any(held)
+    for r in score_texts(frame(spark, texts)).collect():
+        assert r.n_bytes == len(coded[r.doc_id]) and abs(r.score - log10(coded[r.doc_id])) < 1e-5 * max(1, -r.score)

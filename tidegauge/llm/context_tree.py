@@ -61,18 +61,6 @@ def depth_tables(code: np.ndarray, depth: np.ndarray, n: np.ndarray) -> list[tup
     return out[::-1]
 
 
-def frequent(table: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a depth's table whose context was seen so many times."""
-    code, n = table
-    if not len(code):
-        return table
-    context = code >> U(8)
-    at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    total = np.add.reduceat(n, at)
-    keep = np.repeat(total >= least, np.diff(np.append(at, len(code))))
-    return code[keep], n[keep]
-
-
 _GRID = np.concatenate([[0.0], np.cumsum(np.log(np.arange(0, 4096) + 0.5))])
 _FACT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4097)))])
 
@@ -95,6 +83,17 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_rising_half(zeros) + _log_rising_half(ones) - _log_factorial(zeros + ones)
 
 
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The same, mostly from tables."""
+    total = zeros + ones
+    small = total < 4096
+    z, o, t = (x if small.all() else np.where(small, x, 0) for x in (zeros, ones, total))
+    out = _GRID[z] + _GRID[o] - _FACT[t]
+    if not small.all():
+        out[~small] = _kt(zeros[~small], ones[~small])
+    return out
+
+
 class ContextTree:
     """Per depth: sorted node keys (context * 256 + leading bits after a 1) and the chance of a one where the path ends there."""
 

@@ -1,9 +1,10 @@
 """Scoring texts with a context tree learnt from the corpus, beside a unigram base score.
 
-The corpus is counted whole: words with counts meet in one shuffle, grams of words with counts in a second one. The
-tree keeps the contexts seen at least 1 / CONTEXTS of all times, so each of its depths has at most CONTEXTS contexts
-whatever the corpus, and goes to all executors. Of the word counts, the most frequent HEAD words go to all executors;
-the other words of each text meet their counts in a join.
+The corpus is counted whole: words with counts meet in one shuffle, contexts of running text with counts in a second
+one, dealt by their newest bytes. Every context counts, and each bucket of them is weighted in a task of its own; only the
+nodes of up to two context bytes go to all executors. What texts ask for travels with what they teach, and the scores
+travel back. Of the word counts, the most frequent HEAD words go to all executors; the other words of each text meet
+their counts in a join.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .context_tree import DEPTH, TEXT_END, ContextTree, counted, depth_tables, frequent, position_grams
+from .context_tree import DEPTH
+from .running_tree import Subtrees, Top, bucket_of, codes, distinct, merged, runs, stream, total_sums
 from .store import stored
 from .words import U, blocks, by_key, mix
 
-CONTEXTS = 1 << 19
 HEAD = 1 << 19
-#: Bytes of text whose words are looked up together.
+#: Bytes of text that are counted and scored together, bytes of text for which there is one bucket, and codes weighted at a time.
 UNIT_BYTES = 8 << 20
-UNIT_POSITIONS = 1 << 20
+BUCKET_BYTES = 8 << 20
+UNIT_POSITIONS = 1 << 18
+#: Scores of bytes travel in steps of this part of a bit, as fine as single floats near one.
+PRICE_STEPS = float(1 << 16)
 
 
 def held_out(id_col: Column) -> Column:
@@ -85,125 +89,155 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_vocabulary, "h long, token binary, c long").groupBy("h", "token").agg(F.sum("c").alias("c"))
 
 
-def _grams(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, depth, n, size = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            rows = []
-            for d, (c, k) in enumerate(depth_tables(np.concatenate(code), np.concatenate(depth), np.concatenate(n)) if code else []):
-                for i, own in by_key(mix(c >> U(8)) % U(buckets)):
-                    rows.append((d, i, c[own].tobytes(), k[own].tobytes()))
-            names = ["depth", "bucket", "code", "n"]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names)
-
-        for batch in batches:
-            token = batch.column(0)
-            cut = np.frombuffer(token.buffers()[1], np.int32, len(token) + 1, token.offset * 4).astype(np.int64)
-            raw = token.buffers()[2]
-            data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-            c, d, word = position_grams(data, cut[:-1], cut[1:])
-            code.append(c)
-            depth.append(d)
-            n.append(batch.column(1).to_numpy()[word])
-            size += len(c)
-            if size >= UNIT_POSITIONS:
-                yield out()
-                code, depth, n, size = [], [], [], 0
-        yield out()
-
-    return run
-
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, which compress well."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
 
-def _merged(least: float):
-    def run(rows):
-        import pandas as pd
 
-        code = np.concatenate([np.frombuffer(x, U) for x in rows["code"]])
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"]])
-        code, n = frequent(counted(code, n), least)
-        return pd.DataFrame({"depth": [int(rows["depth"].iloc[0])], "code": [code.tobytes()], "n": [n.tobytes()]})
-
-    return run
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def fit(words: DataFrame, texts: int, contexts: int = CONTEXTS) -> ContextTree:
-    """The tree of a table of words (token, c) that so many texts hold."""
-    size = words.agg(F.coalesce(F.sum(F.col("c") * (F.octet_length("token") + 1)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("token") + 1), F.lit(0)).alias("distinct")).first()
-    buckets = max(16, -(-size["distinct"] // (4 << 20)))
-    least = (size["n"] + texts) / contexts
-    rows = words.select("token", "c").mapInArrow(_grams(buckets), "depth int, bucket long, code binary, n binary")
-    kept = rows.groupBy("depth", "bucket").applyInPandas(_merged(least), "depth int, code binary, n binary").collect()  # at most CONTEXTS contexts a depth
-    tables = []
-    for d in range(DEPTH + 1):
-        own = [r for r in kept if r["depth"] == d]
-        code = [np.frombuffer(r["code"], U) for r in own]
-        n = [np.frombuffer(r["n"], np.int64) for r in own]
-        if texts and d <= 1:  # the end of a text: a position of its own, after START
-            code.append(np.asarray([TEXT_END], U))
-            n.append(np.asarray([texts], np.int64))
-        tables.append(counted(np.concatenate([np.zeros(0, U), *code]), np.concatenate([np.zeros(0, np.int64), *n])))
-    return ContextTree(tables)
-
-
-def _scored(sent, sent_head):
-    schema = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "n_bytes", "score", "tail"]
+def _units(sent_head):
+    """Rows of UNIT_BYTES of text at a time: what the base score needs, and the text as coded. Row i of a unit has number unit + i."""
+    schema = ["unit", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "n_bytes", "tail", "stream"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (head, head_log, end_log) = sent.value, sent_head.value
+        head, head_log, end_log = sent_head.value
         row = TaskContext.get().partitionId() << 40
-        end_score = float(tree.log2(np.asarray([TEXT_END], U), np.asarray([1], np.int8))[0])
-        ids, held, found, hashes, firsts = [], [], _Distinct(), [], []
+        ids, held, hashes, firsts, sizes, streams, size = [], [], [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             nonlocal row
-            u, _, data, cut = found.words()
-            code, depth, word = position_grams(data, cut[:-1], cut[1:])
-            grams, at, back = np.unique(code, return_index=True, return_inverse=True)
-            own = np.bincount(word, tree.log2(grams, depth[at])[back], len(u))
+            h = np.concatenate([np.zeros(0, U), *hashes])
             if len(head):
-                at = np.minimum(np.searchsorted(head, u), len(head) - 1)
-                is_head = head[at] == u
-                log = np.where(is_head, head_log[at], 0.0)
+                at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+                tail = head[at] != h
+                log = np.where(tail, 0.0, head_log[at])
             else:
-                is_head, log = np.zeros(len(u), bool), np.zeros(len(u))
-            h = np.concatenate([np.zeros(0, U), *hashes])
-            of = np.searchsorted(u, h)
+                tail, log = np.ones(len(h), bool), np.zeros(len(h))
             per = np.concatenate(firsts)
-            cuts = np.concatenate([[0], np.cumsum(per)])
+            of = np.repeat(np.arange(len(per)), per)
 
             def total(x: np.ndarray) -> np.ndarray:
-                at = np.repeat(np.arange(len(per)), per)
-                return np.bincount(at, x, len(per))
+                return np.bincount(of, x, len(per))
 
-            tail = ~is_head[of]
+            n, unit = len(per), row
             offsets = np.concatenate([[0], np.cumsum(total(tail))]).astype(np.int32)
-            n = len(per)
-            size = total(np.diff(cut)[of] + 1) + 1
-            arrays = [
-                pa.array(np.arange(row, row + n)), pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(np.diff(cuts) + 1), pa.array((total(~tail) + (end_log > 0)).astype(np.int64)),
-                pa.array(total(log[of]) + end_log), pa.array(size.astype(np.int64)), pa.array((total(own[of]) + end_score) * np.log10(2.0)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[tail].view(np.int64))),
+            whole = pa.array([0, n], pa.int32())
+            lists = [
+                pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(per.astype(np.int64) + 1), pa.array((total(~tail) + (end_log > 0)).astype(np.int64)), pa.array(total(log) + end_log),
+                pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[tail].view(np.int64))),
             ]
             row += n
-            return pa.RecordBatch.from_arrays(arrays, schema)
+            return pa.RecordBatch.from_arrays([pa.array([unit]), *[pa.ListArray.from_arrays(whole, x) for x in lists], pa.array([_packed(np.concatenate(streams))], pa.binary())], schema)
 
         for batch in batches:
             for b in blocks(batch.column(2)):
                 ids.append(batch.column(0).slice(b.rows.start, b.rows.stop - b.rows.start))
                 held.append(batch.column(1).slice(b.rows.start, b.rows.stop - b.rows.start))
-                h = b.hashes()
-                found.take(b.data, b.start, b.end, h)
-                hashes.append(h)
+                hashes.append(b.hashes())
                 firsts.append(np.diff(b.first))
-                if found.size >= UNIT_BYTES:
+                coded, n = stream(b)
+                streams.append(coded)
+                sizes.append(n)
+                size += len(coded)
+                if size >= UNIT_BYTES:
                     yield out()
-                    ids, held, found, hashes, firsts = [], [], _Distinct(), [], []
+                    ids, held, hashes, firsts, sizes, streams, size = [], [], [], [], [], [], 0
         if ids:
             yield out()
 
     return run
 
 
+def _grams(buckets: int):
+    """Per unit and bucket: the distinct codes of all its texts, and how often those learnt from have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                size = np.asarray(batch.column(2)[i].values)
+                learnt = ~batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool)
+                code, at = distinct(codes(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size))
+                n = np.bincount(at, np.repeat(learnt, size), len(code)).astype(np.int64)
+                rows = [(j, len(own), _packed(code[own]), _packed(n[own])) for j, own in by_key(bucket_of(code, buckets))]
+                unit = batch.column(0)[i].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([unit] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
+                    ["unit", "bucket", "size", "code", "n"],
+                )
+
+    return run
+
+
+_SUMS = ("top", "zeros", "ones", "below")
+_BUCKET = "size long, code binary, n binary, units array<bigint>, sizes array<bigint>, places array<binary>, " + ", ".join(f"{x} array<bigint>" for x in _SUMS)
+
+
+def _bucket(rows: pa.Table) -> pa.Table:
+    """One bucket of all units: distinct codes, counts, each unit's places among them, and sums for the nodes above."""
+    units, sizes = rows["unit"].to_pylist(), rows["size"].to_pylist()
+    given = np.concatenate([_unpacked(x.as_py(), k, U) for x, k in zip(rows["code"], sizes, strict=True)])
+    counts = np.concatenate([_unpacked(x.as_py(), k, np.int64) for x, k in zip(rows["n"], sizes, strict=True)])
+    code, n, at = merged(given, counts)
+    sums = total_sums([Subtrees(code[s], n[s]).sums() for s in runs(code, UNIT_POSITIONS)])
+    places = [_packed(np.diff(x, prepend=0).astype(np.uint32)) for x in np.split(at, np.cumsum(sizes)[:-1])]
+    own = {"size": [len(code)], "code": [_packed(code)], "n": [_packed(n)], "units": [units], "sizes": [sizes], "places": [places]}
+    own |= {k: [x.astype(np.int64)] for k, x in zip(_SUMS, sums, strict=True)}
+    kind = pa.list_(pa.int64())
+    types = {"size": pa.int64(), "code": pa.binary(), "n": pa.binary(), "units": kind, "sizes": kind, "places": pa.list_(pa.binary())} | dict.fromkeys(_SUMS, kind)
+    return pa.table({k: pa.array(v, types[k]) for k, v in own.items()})
+
+
+def _priced(sent):
+    """The scores of each unit's codes, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                code, n = _unpacked(r["code"], r["size"], U), _unpacked(r["n"], r["size"], np.int64)
+                log = np.concatenate([Subtrees(code[s], n[s]).log2(sent.value) for s in runs(code, UNIT_POSITIONS)])
+                log = np.rint(log * PRICE_STEPS).astype(np.int32)
+                prices = [_packed(log[np.cumsum(_unpacked(p, k, np.uint32), dtype=np.int64)]) for p, k in zip(r["places"], r["sizes"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["units"], pa.int64()), pa.array([r["bucket"]] * len(prices), pa.int64()), pa.array(prices, pa.binary())], ["unit", "bucket", "price"])
+
+    return run
+
+
+def _summed(buckets: int):
+    """A unit's texts with the scores of their codes: one score per row."""
+
+    def run(unit: pa.Table, prices: pa.Table) -> pa.Table:
+        size = unit["n_bytes"].combine_chunks().flatten().to_numpy()
+        code, at = distinct(codes(_unpacked(unit["stream"][0].as_py(), int((size + DEPTH).sum()), np.uint8), size))
+        price = dict(zip(prices["bucket"].to_pylist(), prices["price"], strict=True))
+        log = np.empty(len(code))
+        for j, own in by_key(bucket_of(code, buckets)):
+            log[own] = _unpacked(price[j].as_py(), len(own), np.int32) / PRICE_STEPS
+        score = np.add.reduceat(log[at], np.cumsum(size) - size) * np.log10(2.0)
+        return pa.table({"row": unit["unit"][0].as_py() + np.arange(len(size)), "score": score})
+
+    return run
+
+
+def running_scores(units: DataFrame) -> DataFrame:
+    """row, score: log10 of each text's chance, from the counts of all contexts of all texts learnt from."""
+    spark = units.sparkSession
+    size = units.agg(F.coalesce(F.sum(F.aggregate("n_bytes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(16, -(-size // BUCKET_BYTES))
+    grams = units.select("unit", "held_out", "n_bytes", "stream").mapInArrow(_grams(buckets), "unit long, bucket long, size long, code binary, n binary")
+    tables = stored(grams.groupBy("bucket").applyInArrow(lambda rows: _bucket(rows).append_column("bucket", rows["bucket"].combine_chunks()[:1]), f"{_BUCKET}, bucket long"), "contexts")
+    top = tables.select(F.explode(F.arrays_zip(*_SUMS)).alias("s")).select("s.*").groupBy("top").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]])
+    nodes = top.toArrow()  # nodes of two context bytes: at most 2^16 contexts, whatever the corpus
+    sent = spark.sparkContext.broadcast(Top(*(nodes[x].to_numpy().astype(U if x == "top" else np.int64) for x in _SUMS)) if len(nodes) else None)
+    prices = tables.select("bucket", "size", "code", "n", "units", "sizes", "places").mapInArrow(_priced(sent), "unit long, bucket long, price binary")
+    return units.select("unit", "n_bytes", "stream").groupBy("unit").cogroup(prices.groupBy("unit")).applyInArrow(_summed(buckets), "row long, score double")
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -213,7 +247,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     train = rows.filter(~F.col("held_out"))
-    words = stored(vocabulary(train.select("text")), "words")
+    words = stored(vocabulary(train.select("text")).select("h", "c"), "words")
     texts = train.count()
     band = F.floor(F.log2("c") * 4).cast("int")
     bands = sorted(((r["band"], r["n"], r["c"]) for r in words.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()), reverse=True)  # at most 4 * 63 rows
@@ -227,13 +261,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     head = words.filter(band >= least).select("h", "c").toArrow()  # at most HEAD words
     h, c = head["h"].to_numpy().view(U), head["c"].to_numpy()
     order = np.argsort(h)
-    sent = spark.sparkContext.broadcast(fit(words, texts))
     sent_head = spark.sparkContext.broadcast((h[order], np.log10(c[order] + 1.0), float(np.log10(texts + 1.0))))
     kind = dict(rows.dtypes)["doc_id"]
-    out = stored(rows.mapInArrow(_scored(sent, sent_head), f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, n_bytes long, score double, tail array<bigint>"), "scored")
+    lists = {"doc_id": kind, "held_out": "boolean", "n_tokens": "long", "head_known": "long", "head_log": "double", "n_bytes": "long", "tail": "array<bigint>"}
+    units = stored(rows.mapInArrow(_units(sent_head), f"unit long, {', '.join(f'{k} array<{t}>' for k, t in lists.items())}, stream binary"), "units")
+    out = units.select("unit", F.posexplode(F.arrays_zip(*lists)).alias("i", "r")).select((F.col("unit") + F.col("i")).alias("row"), "r.*")
     tail = out.select("row", F.explode("tail").alias("h")).join(words.filter(band < least).select("h", "c"), "h")
     tail = tail.groupBy("row").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    both = out.drop("tail").join(tail, "row", "left")
+    both = out.drop("tail").join(tail, "row", "left").join(running_scores(units), "row")
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + kinds + 1.0))
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
