@@ -482,3 +482,21 @@ def test_lm_learns_every_context_of_running_text(spark):
     assert any(held)
     for r in score_texts(frame(spark, texts)).collect():
         assert r.n_bytes == len(coded[r.doc_id]) and abs(r.score - log10(coded[r.doc_id])) < 1e-5 * max(1, -r.score)
+
+
+def test_language_id_of_many_scripts(spark):
+    """Two languages of one script whose letters are beyond the 62 that most texts have, beside many letters of others."""
+    r = np.random.default_rng(6)
+    spans = {"cyr": (0x430, 30), "gre": (0x3B1, 24), "geo": (0x10D0, 30), "zh": (0x4E00, 40), "ja": (0x4F00, 40), "arm": (0x561, 30)}
+    share = [*["cyr", "gre", "geo", "arm"] * 5, "zh", "ja"]
+    langs = [share[i % len(share)] for i in range(440)]
+    texts = [" ".join("".join(chr(spans[x][0] + k) for k in r.integers(0, spans[x][1], 4)) for _ in range(20)) for x in langs]
+    got = [x for x in identify(frame(spark, texts, lang=langs)).collect() if x.held_out]
+    assert {langs[x.doc_id] for x in got} == set(spans) and all(x.lang_pred == langs[x.doc_id] for x in got)
+
+
+def test_language_id_keeps_every_language(spark):
+    from tidegauge.llm.language_id import sample
+
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 450).cast("string")).alias("lang"))
+    assert sample(docs, "doc_id", "lang").select("lang").distinct().count() == 450

@@ -1,7 +1,7 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of its distinct 1-, 2- and 3-grams over a small alphabet of lower-cased letters (any other character
-counts as a blank; letters outside the alphabet count as one letter). The kernel of two texts is the normalised size of
+A text is the set of its distinct 1-, 2- and 3-grams of lower-cased letters of any script (any other character counts as
+a blank); a gram is the 63 bits of its code points. The kernel of two texts is the normalised size of
 their common set. Kernel ridge regression, one language against the rest, is solved in the space spanned by Nystroem
 landmarks; as the landmarks' sets are linear in the grams, the fitted function folds into one weight per gram and
 language, and a batch is scored by one product of its presence matrix with those weights.
@@ -22,10 +22,7 @@ from .words import row_runs, text_buffers
 #: Bounds of the fitted sample, over all languages and per language. All documents are scored.
 TRAIN_ROWS, TRAIN_PER_LANGUAGE = 1600, 300
 LANDMARK_ROWS, LANDMARKS_PER_LANGUAGE = 400, 64
-ALPHABET = 62
 RIDGE = 1e-2
-_SIDE = ALPHABET + 2  # 0: blank; 1..ALPHABET: letters; ALPHABET + 1: any other letter
-_GRAMS = _SIDE + _SIDE**2 + _SIDE**3
 
 
 @lru_cache(maxsize=1)
@@ -47,58 +44,47 @@ def _letters(text: bytes) -> np.ndarray:
     return _lowered()[np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
 
 
-def grams(letters: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Distinct gram codes of a text. rank: code point to alphabet place."""
-    x = rank[letters]
-    x = np.concatenate([[0], x, [0]])
+def grams(letters: np.ndarray) -> np.ndarray:
+    """Distinct gram codes of a text, sorted: three code points of 21 bits, those that a shorter gram lacks all ones."""
+    x = np.concatenate([[0], letters, [0]]).astype(np.int64)
     x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]  # one blank for a run of them
-    seen = np.zeros(_GRAMS, bool) if len(x) > 20_000 else None
-    two = x[:-1] * _SIDE + x[1:]
-    three = two[:-1] * _SIDE + x[2:]
-    codes = np.concatenate([x, two + _SIDE, three + _SIDE + _SIDE**2])
-    if seen is not None:
-        seen[codes] = True
-        return np.flatnonzero(seen)
-    return np.unique(codes)
+    two = (x[:-1] << 21) | x[1:]
+    three = (two[:-1] << 21) | x[2:]
+    return np.unique(np.concatenate([(0x1FFFFF << 42) | (0x1FFFFF << 21) | x, (0x1FFFFF << 42) | two, three]))
+
+
+def _places(vocabulary: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of each code in the sorted vocabulary, from 1; 0 where it is not there."""
+    at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == codes, at + 1, 0)
 
 
 class Model:
-    """Languages, alphabet, gram weights and one constant per language."""
+    """Languages, grams with weights and one constant per language."""
 
-    def __init__(self, languages: list[str], rank: np.ndarray, place: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.rank, self.place, self.weights, self.bias = languages, rank, place, weights, bias
+    def __init__(self, languages: list[str], vocabulary: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.languages, self.vocabulary, self.weights, self.bias = languages, vocabulary, weights, bias
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         """Decision values: a row per text, a column per language."""
         presence = np.zeros((len(sets), len(self.weights)), np.float32)
         for i, s in enumerate(sets):
-            presence[i, self.place[s]] = 1
+            presence[i, _places(self.vocabulary, s)] = 1
         presence[:, 0] = 0  # where grams that no landmark has go
         return (presence @ self.weights) / np.sqrt(np.maximum([len(s) for s in sets], 1))[:, None] + self.bias
 
 
 def fit(texts: list[str], labels: list[str], landmark: list[bool]) -> Model:
     """Nystroem kernel ridge regression, one-versus-rest, on a bounded sample."""
-    letters = [_letters(t.encode()) for t in texts]
-    counts = np.zeros(0x110000, np.int64)
-    for x in letters:
-        np.add.at(counts, np.unique(x), 1)
-    counts[0] = 0
-    known = [c for c in np.argsort(-counts, kind="stable")[:ALPHABET] if counts[c]]
-    rank = np.full(0x110000, ALPHABET + 1, np.int32)
-    rank[0] = 0
-    rank[known] = np.arange(1, len(known) + 1)
-    sets = [grams(x, rank) for x in letters]
+    sets = [grams(_letters(t.encode())) for t in texts]
     languages = sorted(set(labels))
     marks = [s for s, m in zip(sets, landmark, strict=True) if m]
     vocabulary = np.unique(np.concatenate(marks))
-    place = np.zeros(_GRAMS, np.int32)
-    place[vocabulary] = np.arange(1, len(vocabulary) + 1)
 
     def rows(of: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(of), len(vocabulary) + 1), np.float32)
         for i, s in enumerate(of):
-            out[i, place[s]] = 1
+            out[i, _places(vocabulary, s)] = 1
         out[:, 0] = 0
         return out / np.sqrt([max(len(s), 1) for s in of])[:, None].astype(np.float32)
 
@@ -116,14 +102,13 @@ def fit(texts: list[str], labels: list[str], landmark: list[bool]) -> Model:
     gram = (phi * w[:, None]).T @ phi + RIDGE * len(sets) * np.eye(phi.shape[1]) * np.r_[np.ones(phi.shape[1] - 1) / 10, 1e-6]
     beta = np.linalg.solve(gram, (phi * w[:, None]).T @ y)
     folded = at.T.astype(np.float64) @ (root @ beta[:-1])
-    return Model(languages, rank, place, folded.astype(np.float32), beta[-1])
+    return Model(languages, vocabulary, folded.astype(np.float32), beta[-1])
 
 
 def sample(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
-    """A bounded sample of labelled rows, even over languages, drawn by hash of the id."""
+    """A sample of labelled rows, even over languages, drawn by hash of the id: bounded, but for four rows of every language."""
     spread = F.xxhash64(F.col(id_col), F.lit(7))
     counts = docs.groupBy(lang_col).agg(F.count("*").alias("_n"))
-    counts = counts.orderBy(F.desc("_n"), lang_col).limit(TRAIN_ROWS // 4)
     langs = counts.count()
     most = max(4, min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(1, langs)))
     # first a thinning to a few times what is wanted, so that no language's rows meet in one task
@@ -137,7 +122,7 @@ def sample(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the languages of ``docs``, whose rows are all for training; None without any."""
     labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = sample(labelled, id_col, lang_col).select(text_col, lang_col, "_mark").collect()  # at most TRAIN_ROWS
+    rows = sample(labelled, id_col, lang_col).select(text_col, lang_col, "_mark").collect()  # at most TRAIN_ROWS, or four a language
     rows.sort(key=lambda r: (r[1], r[0]))
     return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) if rows else None
 
@@ -170,7 +155,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         x = _letters(data[offsets[i] : offsets[i + 1]].tobytes())
                         if x.any():
                             rows.append(i)
-                            sets.append(grams(x, m.rank))
+                            sets.append(grams(x))
                     if rows:
                         f = m.scores(sets)
                         best = f.argmax(1)
