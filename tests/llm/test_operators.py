@@ -500,3 +500,19 @@ def test_language_id_keeps_every_language(spark):
 
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 450).cast("string")).alias("lang"))
     assert sample(docs, "doc_id", "lang").select("lang").distinct().count() == 450
+
+
+def test_licences_wrapped_over_lines(spark):
+    import textwrap
+
+    model = licences.train([prose(25) for _ in range(60)])
+    notices = [(f, max(licences.TEMPLATES[f], key=len)) for f in ("MIT", "GPL", "BSD")]
+    texts, want = [], []
+    for family, t in notices:
+        for width in (80, 50, 30):
+            texts += [prose(9) + "\n\n" + textwrap.fill(t, width) + "\n\n" + prose(8), prose(9) + "\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, width)) + "\n" + prose(8)]
+            want += [(family, 2), (family, 1)]
+    texts.append(prose(5) + "\nReleased under the MIT License.\n" + prose(6))
+    want.append(("MIT", 1))
+    for r in licences.scan(frame(spark, texts), model=model).collect():
+        assert [h.family for h in r.hits] == [want[r.doc_id][0]] and want[r.doc_id][1] - 1 <= r.hits[0].paragraph <= want[r.doc_id][1], (texts[r.doc_id], r.hits)
