@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .context_tree import DEPTH
-from .running_tree import Subtrees, Top, bucket_of, codes, distinct, merged, runs, stream, total_sums
+from .running_tree import Entries, Subtrees, Top, bucket_of, codes, merged, runs, stream, total_sums
 from .store import stored
 from .words import U, blocks, by_key, mix
 
 HEAD = 1 << 19
 #: Bytes of text that are counted and scored together, bytes of text for which there is one bucket, and codes weighted at a time.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 UNIT_POSITIONS = 1 << 18
 #: Scores of bytes travel in steps of this part of a bit, as fine as single floats near one.
@@ -78,7 +78,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column(0)):
             found.take(b.data, b.start, b.end, b.hashes())
-            if found.size >= 2 * UNIT_BYTES:
+            if found.size >= 4 * UNIT_BYTES:
                 yield out()
                 found = _Distinct()
     yield out()
@@ -162,9 +162,9 @@ def _grams(buckets: int):
             for i in range(len(batch)):
                 size = np.asarray(batch.column(2)[i].values)
                 learnt = ~batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                code, at = distinct(codes(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size))
-                n = np.bincount(at, np.repeat(learnt, size), len(code)).astype(np.int64)
-                rows = [(j, len(own), _packed(code[own]), _packed(n[own])) for j, own in by_key(bucket_of(code, buckets))]
+                own = Entries(codes(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size))
+                n = own.sums(np.repeat(learnt, size))
+                rows = [(j, len(at), _packed(own.code[at]), _packed(n[at])) for j, at in by_key(bucket_of(own.code, buckets))]
                 unit = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([unit] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
@@ -213,12 +213,12 @@ def _summed(buckets: int):
 
     def run(unit: pa.Table, prices: pa.Table) -> pa.Table:
         size = unit["n_bytes"].combine_chunks().flatten().to_numpy()
-        code, at = distinct(codes(_unpacked(unit["stream"][0].as_py(), int((size + DEPTH).sum()), np.uint8), size))
+        own = Entries(codes(_unpacked(unit["stream"][0].as_py(), int((size + DEPTH).sum()), np.uint8), size))
         price = dict(zip(prices["bucket"].to_pylist(), prices["price"], strict=True))
-        log = np.empty(len(code))
-        for j, own in by_key(bucket_of(code, buckets)):
-            log[own] = _unpacked(price[j].as_py(), len(own), np.int32) / PRICE_STEPS
-        score = np.add.reduceat(log[at], np.cumsum(size) - size) * np.log10(2.0)
+        log = np.empty(len(own.code))
+        for j, at in by_key(bucket_of(own.code, buckets)):
+            log[at] = _unpacked(price[j].as_py(), len(at), np.int32)
+        score = own.per_row(log, np.repeat(np.arange(len(size), dtype=np.int32), size), len(size)) * (np.log10(2.0) / PRICE_STEPS)
         return pa.table({"row": unit["unit"][0].as_py() + np.arange(len(size)), "score": score})
 
     return run

@@ -16,6 +16,7 @@ from .context_tree import DEPTH, START, TEXT_END, WORD_END, counted, log_kt
 from .words import U, Block, mix
 
 TOP = 3
+_CHANGE = np.asarray([*(i.bit_length() for i in range(256)), 9], np.uint8)
 #: Sums of weights are kept in whole steps, so that their order does not matter.
 STEPS = float(1 << 20)
 
@@ -39,27 +40,49 @@ def stream(b: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def codes(coded: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The code of every byte coded, row after row."""
-    s = coded.astype(np.uint32)
-    two, four, far = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s)
-    two[2:] = (s[1:-1] << 8) | s[:-2]
-    four[4:] = (two[4:] << 16) | two[2:-2]
-    far[8:] = four[4:-4]
-    far[7:8] = four[3:4]
-    own = np.ones(len(s), bool)
+    n = len(coded)
+    back = np.zeros(n + 8, np.uint8)
+    back[:n] = coded[::-1]
+    # eight bytes read backwards from the one before each place, newest first; the last of them gives way to the byte itself
+    before = np.ndarray((n,), np.dtype(">u8"), back, 1, (1,))[::-1]
+    own = np.ones(n, bool)
     at = np.cumsum(size + DEPTH) - size - DEPTH
     own[(at[:, None] + np.arange(DEPTH)).ravel()] = False
-    return (four[own].astype(U) << U(32)) | (far[own] & np.uint32(0xFFFFFF00)).astype(U) | s[own].astype(U)
-
-
-def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes, and the place among them of each."""
-    import pandas as pd
-
-    at, found = pd.factorize(code)
-    order = np.argsort(found)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return found[order], place[at]
+    out = before.astype(U)
+    out &= ~U(255)
+    out |= coded
+    return out[own]
+
+
+class Entries:
+    """The distinct codes of a unit, sorted, and the places that have each. A code may be listed twice; that does no harm."""
+
+    def __init__(self, code: np.ndarray):
+        # sorted as numbers of a hash's first bits and the place: codes that are equal come together
+        bits = max(20, len(code).bit_length())
+        key = mix(code)
+        key &= ~U((1 << bits) - 1)
+        key |= np.arange(len(code), dtype=U)
+        key.sort()
+        key &= U((1 << bits) - 1)
+        self.place = key.astype(np.uint32 if bits <= 32 else np.int64)
+        own = code[self.place]
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        self.head = np.flatnonzero(new)
+        own = own[self.head]
+        self.order = np.argsort(own)
+        self.code = own[self.order]
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Per code: the sum of x over the places that have it."""
+        return np.add.reduceat(x[self.place], self.head, dtype=np.int64)[self.order] if len(self.head) else np.zeros(0, np.int64)
+
+    def per_row(self, price: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Sums over rows of what the codes at their places are priced at."""
+        own = np.empty(len(price))
+        own[self.order] = price
+        return np.bincount(row[self.place], np.repeat(own, np.diff(np.append(self.head, len(self.place)))), rows)
 
 
 def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -75,17 +98,19 @@ class Subtrees:
             k = self.key[d]
             self.key[d - 1], self.up[d] = np.unique(((k >> U(16)) << U(8)) | (k & U(255)), return_inverse=True)
             self.n[d - 1] = np.bincount(self.up[d], self.n[d], len(self.key[d - 1])).astype(np.int64)
+        # the byte of each key, and in how many of its bits it may differ from the one before it: 9 where the context does
+        self.byte = {d: (k & U(255)).astype(np.uint8) for d, k in self.key.items()}
+        self.change = {d: np.concatenate([np.full(1, 9, np.uint8), _CHANGE[np.minimum(k[1:] ^ k[:-1], U(256)).astype(np.int16)]]) for d, k in self.key.items()}
 
     def _bit(self, j: int):
         """Per depth, of the nodes with j leading bits: first row, node of each row, zeros, ones, parent; and weights and shares."""
         head, node, zeros, ones, above, weight, share = {}, {}, {}, {}, {}, {}, {}
         for d in range(TOP, DEPTH + 1):
-            k, n = self.key[d], self.n[d]
-            lead = k >> U(8 - j)
-            new = np.concatenate([[True], lead[1:] != lead[:-1]])
-            head[d], node[d] = np.flatnonzero(new), np.cumsum(new) - 1
+            n = self.n[d]
+            new = self.change[d] > 8 - j
+            head[d], node[d] = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
             total = np.add.reduceat(n, head[d])
-            ones[d] = np.add.reduceat(np.where((k >> U(7 - j)) & U(1) == 1, n, 0), head[d])
+            ones[d] = np.add.reduceat(np.where(self.byte[d] & np.uint8(1 << (7 - j)), n, 0), head[d])
             zeros[d] = total - ones[d]
             if d > TOP:
                 above[d] = node[d - 1][self.up[d][head[d]]]
@@ -94,8 +119,10 @@ class Subtrees:
             if d == DEPTH:
                 weight[d], share[d] = own, np.ones(len(own))
             else:
-                both = np.logaddexp(own, np.bincount(above[d + 1], weight[d + 1], len(own)))
-                weight[d], share[d] = both - np.log(2), np.exp(own - both)
+                more = np.bincount(above[d + 1], weight[d + 1], len(own)) - own
+                e = np.exp(-np.abs(more))
+                weight[d] = own + np.maximum(more, 0) + np.log((1 + e) / 2)
+                share[d] = np.where(more > 0, e, 1.0) / (1 + e)
         k = self.key[TOP][head[TOP]]
         parent = ((k >> U(16)) << U(8)) | U(1 << j) | ((k & U(255)) >> U(8 - j))
         return head, node, zeros, ones, above, weight, share, parent
@@ -170,7 +197,9 @@ def runs(code: np.ndarray, most: int) -> Iterator[slice]:
 
 def merged(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct codes, their counts, and the place of each code given."""
-    found, at = distinct(code)
+    every = np.sort(code)
+    found = every[np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]])]
+    at = np.searchsorted(found, code)
     return found, np.bincount(at, n, len(found)).astype(np.int64), at
 
 
