@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests on one machine), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset: one of our own on a single machine (tests), an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = spark.conf.get("spark.tidegauge.shared.dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
@@ -28,8 +30,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def stored(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    ``by``: a column whose values get folders of their own, for readers that want one of them."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    out = df.write.partitionBy(by) if by else df.write
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
