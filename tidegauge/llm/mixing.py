@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents whose roundings carry over to each other; larger sources are dealt to more groups by hash.
 GROUP_DOCS = 256
 NEWTON_STEPS = 30
+#: Repeated rows that are numbered, or come back, together.
+EXPLODED = 4096
 RATE_TOLERANCE = 1e-4
 
 
@@ -27,29 +29,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _numbered(per: DataFrame) -> DataFrame:
+    """``per`` with ``at``: the place of each source in code-point order, null last. Sources are cut into ranges and
+    numbered in each; only the ranges' sizes meet in one task."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranges = stored(per.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranges.join(before, "part").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1).drop("part", "before")
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per source: source_size, target.
+    """Per source: source_size, source_docs, target.
 
     ``sized`` has ``source`` and ``size``. Sources in code-point order, null last, weigh ``weights`` over and over and
     share ``share`` of all sizes; a target stops at ``most`` times its source's size and the excess is shared again by
-    weight. Water filling has a closed form: order sources by cap / weight; those at the front are capped. Rows per
-    source only: the windows run over as many rows as there are sources.
+    weight, until no target is above. Each round is one sum over the sources; there may be many of them.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
-    at = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
     w = reduce(lambda out, i: F.when(F.pmod("at", F.lit(len(weights))) == i, F.lit(float(weights[i]))).otherwise(out), range(len(weights)), F.lit(None).cast("double"))
-    per = per.withColumn("at", at).withColumn("w", w).withColumn("cap", most * F.col("source_size").cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("all", F.sum("source_size").over(whole) * share).withColumn("w_all", F.sum("w").over(whole))
-    # what is left to share, and the weight to share it by, if all sources before this one are capped
-    per = per.withColumn("left", F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("w_left", F.col("w_all") - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    per = per.withColumn("level", F.col("left") / F.col("w_left")).withColumn("capped", F.col("cap") < F.col("level") * F.col("w"))
-    level = F.min(F.when(~F.col("capped"), F.struct("at_cap", "level"))).over(whole).getField("level")
-    per = per.withColumn("at_cap", F.row_number().over(order)).withColumn("open", level)
-    target = F.when(F.col("capped") | F.col("open").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("open") * F.col("w")))
-    return per.select("source", "source_size", "source_docs", target.alias("target"))
+    per = stored(_numbered(per).withColumn("w", w).withColumn("cap", most * F.col("source_size").cast("double")), "mix-weights")
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= level * F.col("w")
+        row = per.agg(F.sum("source_size").alias("all"), F.count(F.when(full, 1)).alias("n"), _total(F.when(full, F.col("cap"))).alias("used"), _total(F.when(~full, F.col("w"))).alias("open")).first()
+        if row["n"] == capped or not row["open"]:
+            break
+        level, capped = (row["all"] * share - (row["used"] or 0.0)) / row["open"], row["n"]
+    if not row["open"]:
+        return per.select("source", "source_size", "source_docs", F.col("cap").alias("target"))
+    return per.select("source", "source_size", "source_docs", F.least(F.col("cap"), level * F.col("w")).alias("target"))
 
 
 def _rate(size: str = "size") -> Column:
@@ -87,44 +96,86 @@ def balanced_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state
 
 
-def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, rate, copies (0, 1 or 2), taken = copies * size.
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What names a document to the mix: rows with the same key are interchangeable."""
+    text = F.col(text_col)
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash")]
+
 
-    Null text has size 0 and no copies beyond its rounded rate; null source is a source of its own, last in order. Rows that repeat
-    id, source and size are rounded one by one. An empty table gives an empty result. The result depends on the rows alone, not on
-    their order or partitioning: ties are broken by id.
+_KEY = ("doc_id", "source", "size", "text_hash")
+
+
+def taken_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """Per key (id, source, size and text): n, the rows that have it; copies, those the mix takes of all of them; source_size, target, rate.
+
+    Rows that repeat a key are counted before they shuffle, so that no group holds them all.
     """
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-docs")
+    sized = stored(docs.select(*_keys(docs, id_col, text_col, source_col)), "mix-docs")
     state = balanced_rates(sized, source_targets(sized, weights, share))
-    own = sized.join(state, sized["source"].eqNullSafe(state["source"])).select("doc_id", sized["source"], "size", "source_size", "target", "source_docs", _rate().alias("rate"))
-    # a group: one source's documents with the same hash remainder, about GROUP_DOCS of them whatever the source's size
-    group = F.pmod(F.xxhash64(F.struct("doc_id", "size")), F.ceil(F.col("source_docs") / GROUP_DOCS))
-    rows = own.withColumn("part", group).groupBy("source", "source_size", "target", "part").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rate")), asc=False).alias("rows"))
-    # largest first, each document takes the floor or the ceiling of its rate, whichever leaves the smaller debt of words
-    start = F.struct(F.lit(0.0).alias("debt"), F.array().cast("array<int>").alias("copies"))
+    keys = sized.groupBy(*_KEY).agg(F.count("*").alias("n"))
+    own = keys.join(state, keys["source"].eqNullSafe(state["source"])).select("doc_id", keys["source"], "size", "text_hash", "n", "source_size", "target", "source_docs", _rate().alias("rate"))
+    # a group: one source's keys with the same hash remainder, about GROUP_DOCS of them whatever the source's size
+    group = F.pmod(F.xxhash64(F.struct("doc_id", "size", "text_hash")), F.ceil(F.col("source_docs") / GROUP_DOCS))
+    rows = own.withColumn("part", group).groupBy("source", "source_size", "target", "part").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "text_hash", "n", "rate")), asc=False).alias("rows"))
+    # largest first, the rows of a key together take as many copies as leave the smallest debt of words
+    start = F.struct(F.lit(0.0).alias("debt"), F.array().cast("array<bigint>").alias("copies"))
 
     def carry(acc: Column, r: Column) -> Column:
-        due = acc["debt"] + r["rate"] * r["size"]
-        low = F.floor(r["rate"])
-        copies = F.when(r["size"] == 0, F.floor(r["rate"] + 0.5)).otherwise(F.least(F.ceil(r["rate"]), F.greatest(low, F.floor(due / r["size"] + 0.5)))).cast("int")
+        due = acc["debt"] + r["n"] * r["rate"] * r["size"]
+        near = F.floor(due / r["size"] + 0.5)
+        copies = F.when(r["size"] == 0, r["n"] * F.floor(r["rate"] + 0.5)).otherwise(F.least(r["n"] * F.ceil(r["rate"]), F.greatest(r["n"] * F.floor(r["rate"]), near))).cast("long")
         return F.struct((due - copies * r["size"]).alias("debt"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
 
     rows = rows.withColumn("copies", F.aggregate("rows", start, carry)["copies"])
     out = rows.select("source", "source_size", "target", F.explode(F.arrays_zip("rows", "copies")).alias("r"))
-    return out.select(F.col("r.rows.doc_id").alias("doc_id"), "source", F.col("r.rows.size").alias("size"), "source_size", "target", F.col("r.rows.rate").alias("rate"), F.col("r.copies").alias("copies"), (F.col("r.copies") * F.col("r.rows.size")).alias("taken"))
+    return out.select("r.rows.doc_id", "source", "r.rows.size", "r.rows.text_hash", "r.rows.n", "source_size", "target", "r.rows.rate", "r.copies")
+
+
+def _share(rank: Column) -> Column:
+    """Copies of the row of this rank among the rows of its key: an even share, the first ones one more."""
+    return F.floor(F.col("copies") / F.col("n")) + (rank < F.pmod("copies", "n")).cast("long")
+
+
+def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, rate, copies (0, 1 or 2), taken = copies * size.
+
+    Null text has size 0, as has an empty one, and no copies beyond its rounded rate; a null source is a source of its own, last in
+    order; null ids are ids like any other. Rows that repeat id, source and text share their copies evenly. An empty table gives an
+    empty result. Whole texts are counted, however long. Other columns are ignored, whatever their names. The result depends on the
+    rows alone, not on their order or partitioning: ties are broken by id, then by a hash of the text.
+    """
+    keys = taken_keys(docs, id_col, text_col, source_col, weights, share)
+    # repeated rows come back in two steps, so that no array holds them all
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EXPLODED)))
+    rows = keys.withColumn("block", block).withColumn("rank", F.explode(F.sequence(F.col("block") * EXPLODED, F.least("n", (F.col("block") + 1) * EXPLODED) - 1)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", _share(F.col("rank")).cast("int").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rank`` of stored rows among those of their key. They are numbered in blocks; only blocks' sizes meet in a window."""
+    place = rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / EXPLODED).alias("block")).alias("block"), F.col("_metadata.row_index").alias("index"))
+    local = F.row_number().over(Window.partitionBy(*_KEY, "block").orderBy("index")) - 1
+    before = F.coalesce(F.sum("in_block").over(Window.partitionBy(*_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = place.groupBy(*_KEY, "block").agg(F.count("*").alias("in_block")).withColumn("before", before)
+    same = reduce(lambda x, y: x & y, [place[c].eqNullSafe(blocks[c]) for c in (*_KEY, "block")])
+    return place.withColumn("local", local).join(blocks.select(*[F.col(c) for c in (*_KEY, "block")], "before"), same).select("row", "n", "copies", (F.col("before") + F.col("local")).alias("rank"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times).
+    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times), in all its columns, whatever their names.
 
-    Rows that repeat an id, source and size share their copies evenly, a remainder going by hash of the text.
+    Nulls, empty and long texts, repeats and empty tables are as in ``mix_rates``. Of the rows of one key that cannot share its copies
+    evenly, which ones have one more is settled by their places in a stored table; such rows differ in other columns at most.
     """
-    size = word_count(F.col(text_col))
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("_source"), size.alias("_size")]
-    rates = mix_rates(docs, id_col, text_col, source_col, weights, share)
-    named = rates.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), F.col("size").alias("_size"), "copies")
-    taken = named.groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    met = docs.select("*", *key).join(taken, ["_id", "_source", "_size"])
-    spare = F.pmod(F.xxhash64(F.col(text_col)), F.col("_rows")) < F.pmod("_copies", "_rows")
-    times = (F.floor(F.col("_copies") / F.col("_rows")) + spare.cast("long")).cast("int")
-    return met.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    keys = stored(taken_keys(docs, id_col, text_col, source_col, weights, share).filter("copies > 0").select(*_KEY, "n", "copies"), "mix-taken")
+    rows = docs.select(F.struct("*").alias("row"), *_keys(docs, id_col, text_col, source_col))
+
+    def met(own: DataFrame) -> DataFrame:
+        same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(own[c]) for c in _KEY])
+        return rows.join(own, same).select("row", *[rows[c] for c in _KEY], "n", "copies")
+
+    even = F.pmod("copies", "n") == 0
+    out = met(keys.filter(even)).select("row", (F.col("copies") / F.col("n")).alias("times"))
+    if not keys.filter(~even).isEmpty():
+        out = out.unionByName(_ranked(stored(met(keys.filter(~even)), "mix-repeated")).select("row", _share(F.col("rank")).alias("times")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("time")).select("row.*")
