@@ -45,25 +45,30 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
 def dedup_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, and with ``n_lines`` and ``n_dropped`` (long).
 
-    Every row stays, in all its columns; columns named n_lines or n_dropped before are replaced. Null text stays null
-    with 0 lines; an empty text is one blank line. Blank lines are neither counted nor dropped. A page all of whose
-    lines go keeps an empty text. A null host is a host. Repeated rows count as pages each. Lines equal by a 64-bit
-    hash count as equal within a host.
+    Every row stays, in all its columns, whatever their names; columns named n_lines or n_dropped before are replaced. Null
+    text stays null with 0 lines; an empty text is one blank line; whole texts count, however long. Blank lines are neither
+    counted nor dropped. A page all of whose lines go keeps an empty text. A null host is a host. Repeated rows count as
+    pages each. An empty table gives an empty result. Lines equal by a 64-bit hash count as equal within a host.
     """
     bad = stored(boilerplate(docs, text_col, host_col, ratio, least_pages), "lines")
     n = bad.count()
-    lists = bad.groupBy("host").agg(F.collect_list("h").alias("_bad")).withColumnRenamed("host", "_host")  # at most lines a page / ratio
+    lists = bad.groupBy("host").agg(F.collect_list("h").alias("bad"))  # at most lines a page / ratio
     docs = docs.drop("n_lines", "n_dropped")
-    same = docs[host_col].eqNullSafe(lists["_host"])
+    rows = docs.select(F.struct("*").alias("row"), F.col(host_col).alias("own_host"))
+    same = rows["own_host"].eqNullSafe(lists["host"])
+    text = F.col("row").getField(text_col)
     if n <= BROADCAST_LINES:
-        met = docs.join(F.broadcast(lists), same, "left")
+        met = rows.join(F.broadcast(lists), same, "left")
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)))
-        lists = lists.withColumn("_salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        met = salted.join(lists, same & (F.col("_salt") == F.col("_salts")), "left").drop("_salt", "_salts")
-    lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.coalesce(F.array_contains("_bad", F.xxhash64(x)), F.lit(False)))
-    met = met.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size("_kept"), F.lit(0)))
-    met = met.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    text = F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    return met.withColumn(text_col, text).drop("_kept", "_bad", "_host")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
+        lists = lists.withColumn("salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        met = salted.join(lists, salted["own_host"].eqNullSafe(lists["host"]) & (F.col("salt") == F.col("salts")), "left")
+    # a page's own boilerplate first, by hash sets; few pages have any, and only those are cut up again
+    hashes = F.transform(lines_of(text), lambda x: F.xxhash64(x))
+    met = met.select("row", F.coalesce(F.size(hashes), F.lit(0)).cast("long").alias("lines"), F.array_intersect(hashes, "bad").alias("hit"))
+    kept = F.filter(lines_of(text), lambda x: _blank(x) | ~F.array_contains("hit", F.xxhash64(x)))
+    met = met.select("row", F.when(text.isNull(), 0).otherwise(F.col("lines")).alias("lines"), F.when(F.size("hit") > 0, kept).alias("kept"))
+    dropped = F.when(F.col("kept").isNotNull(), F.col("lines") - F.size("kept")).otherwise(0).cast("long")
+    left = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(text)
+    columns = [left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return met.select(*columns, F.col("lines").alias("n_lines"), dropped.alias("n_dropped"))
