@@ -341,22 +341,30 @@ def round_trip(spark: SparkSession, vocabulary: Vocabulary, sharpness: float = S
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "pieces", model: str = MODEL, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
     """``docs`` with ``out_col``: a sampled segmentation of each whole text as piece ids (replaced if it was there).
 
-    Null text gives null, an empty text no pieces. The row's key is its id: rows with one id and one text get one
-    segmentation; null ids share a key. ``seed`` gives other samples.
+    Null text gives null, an empty text no pieces; texts are never cut off, however long. The row's key is its id: rows with one id and
+    one text get one segmentation; null ids share a key. ``seed`` gives other samples. An empty table gives an empty result; all other
+    columns stay, whatever their names.
     """
     key = F.xxhash64(F.col(id_col), F.lit(seed))
-    return docs.drop(out_col).withColumn(out_col, encoder(docs.sparkSession, load(model), sharpness)(F.col(text_col), key))
+    return docs.withColumn(out_col, encoder(docs.sparkSession, load(model), sharpness)(F.col(text_col), key))
 
 
 def decode_pieces(docs: DataFrame, pieces_col: str = "pieces", out_col: str = "text", model: str = MODEL) -> DataFrame:
-    """``docs`` with ``out_col``: the text its pieces stand for."""
+    """``docs`` with ``out_col``: the text its pieces stand for (replaced if it was there).
+
+    Null pieces give null, none the empty text. Ids outside the vocabulary are an error. All other columns stay.
+    """
     return docs.withColumn(out_col, decoder(docs.sparkSession, load(model))(F.col(pieces_col)))
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
-    """``docs`` with ``pieces`` as from ``encode_texts`` and ``back``, the text decoded from them."""
+    """``docs`` with ``pieces`` as from ``encode_texts`` and ``back``, the text decoded from them (both replaced if they were there).
+
+    All other columns stay, whatever their names.
+    """
     both = round_trip(docs.sparkSession, load(model), sharpness)(F.col(text_col), F.xxhash64(F.col(id_col), F.lit(seed)))
-    return docs.drop("pieces", "back").withColumn("_both", both).select("*", "_both.pieces", "_both.back").drop("_both")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("pieces", "back")]).alias("row"), both.alias("both"))
+    return rows.select("row.*", "both.pieces", "both.back")
 
 
 def fallback_count(pieces: Column, vocabulary: Vocabulary) -> Column:
