@@ -16,6 +16,8 @@ from .context_tree import DEPTH, START, TEXT_END, WORD_END, counted, log_kt
 from .words import U, Block, mix
 
 TOP = 3
+#: Codes of a unit that are worked on together.
+PART_CODES = 1 << 17
 _CHANGE = np.asarray([*(i.bit_length() for i in range(256)), 9], np.uint8)
 #: Sums of weights are kept in whole steps, so that their order does not matter.
 STEPS = float(1 << 20)
@@ -60,12 +62,18 @@ class Entries:
     def __init__(self, code: np.ndarray):
         # sorted as numbers of a hash's first bits and the place: codes that are equal come together
         bits = max(20, len(code).bit_length())
-        key = mix(code)
+        key, step = code.copy(), np.empty_like(code)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            np.right_shift(key, U(shift), out=step)
+            key ^= step
+            key *= U(factor)
+        del step
         key &= ~U((1 << bits) - 1)
         key |= np.arange(len(code), dtype=U)
         key.sort()
         key &= U((1 << bits) - 1)
         self.place = key.astype(np.uint32 if bits <= 32 else np.int64)
+        del key
         own = code[self.place]
         new = np.ones(len(own), bool)
         np.not_equal(own[1:], own[:-1], out=new[1:])
@@ -74,15 +82,26 @@ class Entries:
         self.order = np.argsort(own)
         self.code = own[self.order]
 
+    def _parts(self) -> Iterator[tuple[int, int, int, int]]:
+        """Some codes, and the places that have them, at a time."""
+        for a in range(0, len(self.head), PART_CODES):
+            b = min(a + PART_CODES, len(self.head))
+            yield a, b, int(self.head[a]), int(self.head[b]) if b < len(self.head) else len(self.place)
+
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Per code: the sum of x over the places that have it."""
-        return np.add.reduceat(x[self.place], self.head, dtype=np.int64)[self.order] if len(self.head) else np.zeros(0, np.int64)
+        out = np.zeros(len(self.head), np.int64)
+        for a, b, i, j in self._parts():
+            out[a:b] = np.add.reduceat(x[self.place[i:j]], self.head[a:b] - i, dtype=np.int64)
+        return out[self.order]
 
     def per_row(self, price: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Sums over rows of what the codes at their places are priced at."""
-        own = np.empty(len(price))
+        own, out = np.empty(len(price)), np.zeros(rows)
         own[self.order] = price
-        return np.bincount(row[self.place], np.repeat(own, np.diff(np.append(self.head, len(self.place)))), rows)
+        for a, b, i, j in self._parts():
+            out += np.bincount(row[self.place[i:j]], np.repeat(own[a:b], np.diff(np.append(self.head[a:b], j))), rows)
+        return out
 
 
 def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
