@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .context_tree import DEPTH
-from .running_tree import Entries, Subtrees, Top, bucket_of, codes, merged, runs, stream, total_sums
+from .running_tree import Subtrees, Top, bucket_of, merged, runs, stream, total_sums, unit_parts
 from .store import stored
 from .words import U, blocks, by_key, mix
 
@@ -162,9 +162,9 @@ def _grams(buckets: int):
             for i in range(len(batch)):
                 size = np.asarray(batch.column(2)[i].values)
                 learnt = ~batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                own = Entries(codes(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size))
-                n = own.sums(np.repeat(learnt, size))
-                rows = [(j, len(at), _packed(own.code[at]), _packed(n[at])) for j, at in by_key(bucket_of(own.code, buckets))]
+                found = [(own.code, own.sums(learnt[row])) for row, own in unit_parts(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size)]
+                code, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                rows = [(j, len(at), _packed(code[at]), _packed(n[at])) for j, at in by_key(bucket_of(code, buckets))]
                 unit = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([unit] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
@@ -203,7 +203,7 @@ def _priced(sent):
                 log = np.concatenate([Subtrees(code[s], n[s]).log2(sent.value) for s in runs(code, UNIT_POSITIONS)])
                 log = np.rint(log * PRICE_STEPS).astype(np.int32)
                 prices = [_packed(log[np.cumsum(_unpacked(p, k, np.uint32), dtype=np.int64)]) for p, k in zip(r["places"], r["sizes"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["units"], pa.int64()), pa.array([r["bucket"]] * len(prices), pa.int64()), pa.array(prices, pa.binary())], ["unit", "bucket", "price"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["units"], pa.int64()), pa.array([r["bucket"]] * len(prices), pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(prices, pa.binary())], ["unit", "bucket", "size", "price"])
 
     return run
 
@@ -213,12 +213,15 @@ def _summed(buckets: int):
 
     def run(unit: pa.Table, prices: pa.Table) -> pa.Table:
         size = unit["n_bytes"].combine_chunks().flatten().to_numpy()
-        own = Entries(codes(_unpacked(unit["stream"][0].as_py(), int((size + DEPTH).sum()), np.uint8), size))
-        price = dict(zip(prices["bucket"].to_pylist(), prices["price"], strict=True))
-        log = np.empty(len(own.code))
-        for j, at in by_key(bucket_of(own.code, buckets)):
-            log[at] = _unpacked(price[j].as_py(), len(at), np.int32)
-        score = own.per_row(log, np.repeat(np.arange(len(size), dtype=np.int32), size), len(size)) * (np.log10(2.0) / PRICE_STEPS)
+        price = {j: _unpacked(x.as_py(), n, np.int32) for j, n, x in zip(prices["bucket"].to_pylist(), prices["size"].to_pylist(), prices["price"], strict=True)}
+        used, score = dict.fromkeys(price, 0), np.zeros(len(size))
+        for row, own in unit_parts(_unpacked(unit["stream"][0].as_py(), int((size + DEPTH).sum()), np.uint8), size):
+            log = np.empty(len(own.code))
+            for j, at in by_key(bucket_of(own.code, buckets)):  # a bucket's codes come in order of the parts
+                log[at] = price[j][used[j] : used[j] + len(at)]
+                used[j] += len(at)
+            score += own.per_row(log, row, len(size))
+        score *= np.log10(2.0) / PRICE_STEPS
         return pa.table({"row": unit["unit"][0].as_py() + np.arange(len(size)), "score": score})
 
     return run
@@ -234,7 +237,7 @@ def running_scores(units: DataFrame) -> DataFrame:
     top = tables.select(F.explode(F.arrays_zip(*_SUMS)).alias("s")).select("s.*").groupBy("top").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]])
     nodes = top.toArrow()  # nodes of two context bytes: at most 2^16 contexts, whatever the corpus
     sent = spark.sparkContext.broadcast(Top(*(nodes[x].to_numpy().astype(U if x == "top" else np.int64) for x in _SUMS)) if len(nodes) else None)
-    prices = tables.select("bucket", "size", "code", "n", "units", "sizes", "places").mapInArrow(_priced(sent), "unit long, bucket long, price binary")
+    prices = tables.select("bucket", "size", "code", "n", "units", "sizes", "places").mapInArrow(_priced(sent), "unit long, bucket long, size long, price binary")
     return units.select("unit", "n_bytes", "stream").groupBy("unit").cogroup(prices.groupBy("unit")).applyInArrow(_summed(buckets), "row long, score double")
 
 

@@ -16,8 +16,8 @@ from .context_tree import DEPTH, START, TEXT_END, WORD_END, counted, log_kt
 from .words import U, Block, mix
 
 TOP = 3
-#: Codes of a unit that are worked on together.
-PART_CODES = 1 << 17
+#: Places of a unit that are worked on together, more or less.
+PART_PLACES = 1 << 20
 _CHANGE = np.asarray([*(i.bit_length() for i in range(256)), 9], np.uint8)
 #: Sums of weights are kept in whole steps, so that their order does not matter.
 STEPS = float(1 << 20)
@@ -40,24 +40,33 @@ def stream(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def codes(coded: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The code of every byte coded, row after row."""
+def unit_parts(coded: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, Entries]]:
+    """The coded bytes of a unit by ranges of the byte before them, in order: the row of each, and their codes."""
     n = len(coded)
     back = np.zeros(n + 8, np.uint8)
     back[:n] = coded[::-1]
     # eight bytes read backwards from the one before each place, newest first; the last of them gives way to the byte itself
     before = np.ndarray((n,), np.dtype(">u8"), back, 1, (1,))[::-1]
-    own = np.ones(n, bool)
+    newest = np.empty(n, np.int16)
+    newest[1:] = coded[:-1]
     at = np.cumsum(size + DEPTH) - size - DEPTH
-    own[(at[:, None] + np.arange(DEPTH)).ravel()] = False
-    out = before.astype(U)
-    out &= ~U(255)
-    out |= coded
-    return out[own]
+    newest[(at[:, None] + np.arange(DEPTH)).ravel()] = 256
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size + DEPTH)
+    upto = np.cumsum(np.bincount(newest, minlength=257)[:256])
+    low = 0
+    while low < 256 and (low == 0 or upto[low - 1] < upto[-1]):
+        high = max(low, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PART_PLACES, "right")) - 1)
+        place = np.flatnonzero((newest >= low) & (newest <= min(high, 255)))
+        if len(place):
+            code = before[place].astype(U)
+            code &= ~U(255)
+            code |= coded[place]
+            yield row[place], Entries(code)
+        low = high + 1
 
 
 class Entries:
-    """The distinct codes of a unit, sorted, and the places that have each. A code may be listed twice; that does no harm."""
+    """Distinct codes, sorted, and the places that have each. A code may be listed twice; that does no harm."""
 
     def __init__(self, code: np.ndarray):
         # sorted as numbers of a hash's first bits and the place: codes that are equal come together
@@ -82,26 +91,15 @@ class Entries:
         self.order = np.argsort(own)
         self.code = own[self.order]
 
-    def _parts(self) -> Iterator[tuple[int, int, int, int]]:
-        """Some codes, and the places that have them, at a time."""
-        for a in range(0, len(self.head), PART_CODES):
-            b = min(a + PART_CODES, len(self.head))
-            yield a, b, int(self.head[a]), int(self.head[b]) if b < len(self.head) else len(self.place)
-
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Per code: the sum of x over the places that have it."""
-        out = np.zeros(len(self.head), np.int64)
-        for a, b, i, j in self._parts():
-            out[a:b] = np.add.reduceat(x[self.place[i:j]], self.head[a:b] - i, dtype=np.int64)
-        return out[self.order]
+        return np.add.reduceat(x[self.place], self.head, dtype=np.int64)[self.order]
 
     def per_row(self, price: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Sums over rows of what the codes at their places are priced at."""
-        own, out = np.empty(len(price)), np.zeros(rows)
+        own = np.empty(len(price))
         own[self.order] = price
-        for a, b, i, j in self._parts():
-            out += np.bincount(row[self.place[i:j]], np.repeat(own[a:b], np.diff(np.append(self.head[a:b], j))), rows)
-        return out
+        return np.bincount(row[self.place], np.repeat(own, np.diff(np.append(self.head, len(self.place)))), rows)
 
 
 def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
