@@ -29,7 +29,7 @@ from .words import U, blocks, by_key, mix, shingles
 
 #: Bytes of text a range of tokens stands for on average; tokens in a block of documents; sets in a chunk of a large class;
 #: bytes of tokens in a task of small classes, and the least number of such tasks.
-TOKEN_BLOCK_BYTES = 16 << 20
+TOKEN_BLOCK_BYTES = 8 << 20
 BLOCK_TOKENS = 1 << 20
 CHUNK_SETS = 512
 TASK_BYTES, LEAST_TASKS = 4 << 20, 64
