@@ -1,9 +1,9 @@
 """Exact top-k inner products: longest vectors first, rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are rotated to the principal axes of all of them, so that the leading coordinates hold most of every inner
-product; what the others can add is at most the product of the two remainders' lengths. Candidates are cut by length
-into blocks. The longest ones are scored first and give each query a score that its k-th best cannot fall below; a block
-whose vectors are too short for all queries of a block is never met with it. Scores are exact integers.
+Vectors are rotated so that the leading coordinates are the main singular directions of all of them and hold most of
+every inner product; what the others can add is at most the product of the two remainders' lengths. Candidates are cut by
+length into blocks. The longest ones are scored first and give each query a score that its k-th best cannot fall below;
+a block whose vectors are too short for all queries of a chunk is never met with it. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -12,15 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import stored
 
-QUERY_ROWS, CANDIDATE_ROWS, HEAD_ROWS = 512, 2048, 2048
-LEADING = 16
-#: Dimensions beyond which the matrix of products of all vectors is not formed (it goes through the driver: 8 MB).
-MOST_DIMENSIONS = 1024
+#: Queries in a chunk and candidates in a block, which are shipped once for each pair of them that meets; longest vectors scored first.
+QUERY_ROWS, CANDIDATE_ROWS, HEAD_ROWS = 1024, 8192, 2048
+#: Lengths by which candidates are cut.
+BANDS = 64
+#: Leading coordinates, and random directions that they are found from (with fewer dimensions, exactly).
+LEADING, SKETCH = 16, 64
+#: Groups that tasks' sums of products meet in before they meet in one; parts of the table of blocks.
+SLOTS = 32
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -29,31 +35,69 @@ def quantised(vector: Column, scale: float = 256.0) -> Column:
     return F.when((F.size(vector) > 0) & ok, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _directions(dim: int) -> np.ndarray:
+    return np.eye(dim) if dim <= SKETCH else np.random.default_rng(dim).standard_normal((dim, SKETCH))
 
 
-def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per dimension: the matrix of products of a task's vectors, times the directions; a narrow matrix, whatever the rows."""
     total: dict[int, np.ndarray] = {}
+    slot = TaskContext.get().partitionId() % SLOTS
     for b in batches:
         for n, own in b.groupby(b["v"].map(len)):
-            x = _matrix(own["v"])
-            total[n] = total.get(n, 0.0) + x.T @ x
-    yield pd.DataFrame([(n, g.tobytes()) for n, g in total.items()], columns=["dim", "gram"])
+            x = np.stack(own["v"].to_numpy()).astype(np.float64)
+            total[n] = total.get(n, 0.0) + x.T @ (x @ _directions(n))
+    yield pd.DataFrame([(n, slot, g.tobytes()) for n, g in total.items()], columns=["dim", "slot", "sum"])
 
 
-def _rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes per dimension, from the sum of products over all vectors (one matrix per task)."""
-    total: dict[int, np.ndarray] = {}
-    for r in vectors.select("v").filter(F.size("v") <= MOST_DIMENSIONS).mapInPandas(_gram, "dim int, gram binary").toLocalIterator():
-        g = np.frombuffer(r["gram"]).reshape(r["dim"], r["dim"])
-        total[r["dim"]] = total.get(r["dim"], 0.0) + g
-    return {n: np.linalg.eigh(g)[1][:, ::-1] for n, g in total.items()}
+def _added(rows: pd.DataFrame) -> np.ndarray:
+    out = np.frombuffer(rows["sum"].iloc[0]).copy()
+    for x in rows["sum"].iloc[1:]:
+        out += np.frombuffer(x)
+    return out
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"dim": rows["dim"].iloc[:1], "sum": [_added(rows).tobytes()]})
+
+
+def _turn(rows: pd.DataFrame) -> pd.DataFrame:
+    """The leading directions of a dimension: orthonormal, whatever they were found from, so that bounds hold."""
+    dim = int(rows["dim"].iloc[0])
+    turn = np.linalg.svd(_added(rows).reshape(dim, -1), full_matrices=False)[0][:, :LEADING]
+    return pd.DataFrame({"dim": [dim], "turn": [np.ascontiguousarray(turn).tobytes()]})
+
+
+def rotations(vectors: DataFrame) -> DataFrame:
+    """dim, turn: the leading directions of all vectors of each dimension, found in the cluster in one pass."""
+    sums = vectors.select("v").mapInPandas(_products, "dim int, slot int, sum binary").groupBy("dim", "slot").applyInPandas(_summed, "dim int, sum binary")
+    return sums.groupBy("dim").applyInPandas(_turn, "dim int, turn binary")
+
+
+_PACKED = "dim int, {} ids binary, floors binary, rows binary, most2 double, need double"
+
 
+def _pack(*by: str):
+    """The rows of a group behind each other, longest first: ids, floors (a score that the k-th best cannot fall below) and vectors."""
 
-def _packed(vectors: DataFrame, *by: Column) -> DataFrame:
-    """Blocks of the rows with the same ``by``, longest first."""
-    return vectors.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("norm2"), F.col("vec_id"), F.col("v"))), asc=False).alias("rows"))
+    def run(rows: pa.Table) -> pa.Table:
+        norm2 = rows["norm2"].to_numpy()
+        order = np.argsort(-norm2, kind="stable")
+        v = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(norm2), -1)[order]
+        floor = rows["floor"].to_numpy(zero_copy_only=False).astype(np.float64)[order]  # null: not a number
+        need = np.where(floor > 0, floor / np.sqrt(np.maximum(norm2[order], 1e-300)), 0.0).min()
+        out = {c: rows[c].combine_chunks()[:1] for c in ("dim", *by)}
+        out |= {"ids": pa.array([rows["vec_id"].to_numpy()[order].tobytes()], pa.binary()), "floors": pa.array([floor.tobytes()], pa.binary()), "rows": pa.array([v.tobytes()], pa.binary())}
+        return pa.table(out | {"most2": pa.array([float(norm2.max())]), "need": pa.array([float(need)])})
+
+    return run
+
+
+def _packed(vectors: DataFrame, **by: str) -> DataFrame:
+    """Blocks of rows with the same values of the columns named, given with their types."""
+    own = vectors if "floor" in vectors.columns else vectors.withColumn("floor", F.lit(None).cast("double"))
+    schema = _PACKED.format("".join(f"{c} {t}, " for c, t in by.items()))
+    return own.select("dim", *by, "vec_id", "v", "norm2", "floor").groupBy("dim", *by).applyInArrow(_pack(*by), schema)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +107,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.nda
     return scores[order], ids[order]
 
 
-def _search(sent, k: int):
-    """Meet a block of queries with a block of candidates: per query, its k best of the block that can be among all k best."""
+def _search(k: int):
+    """Meet a chunk of queries with a block of candidates: per query, its k best of the block that can be among all k best."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pairs in batches:
             for r in pairs.itertuples(index=False):
-                q, c = _matrix(pd.Series([x["v"] for x in r.queries])), _matrix(pd.Series([x["v"] for x in r.rows]))
-                qid, cid = np.asarray([x["vec_id"] for x in r.queries], np.int64), np.asarray([x["vec_id"] for x in r.rows], np.int64)
-                floor = np.asarray([-np.inf if x["floor"] is None else float(x["floor"]) for x in r.queries])
-                turn = sent.value.get(q.shape[1])
-                lead = min(LEADING, q.shape[1])
-                if turn is None:
-                    turn = np.eye(q.shape[1])
+                qid, cid = np.frombuffer(r.ids, np.int64), np.frombuffer(r.c_ids, np.int64)
+                q, c = (np.frombuffer(x, np.int64).reshape(-1, r.dim).astype(np.float64) for x in (r.rows, r.c_rows))
+                floor = np.frombuffer(r.floors).copy()
+                floor[np.isnan(floor)] = -np.inf
+                turn = np.frombuffer(r.turn).reshape(r.dim, -1)
                 qr, cr = q @ turn, c @ turn
-                q_rest, c_rest = np.sqrt((qr[:, lead:] ** 2).sum(1)), np.sqrt((cr[:, lead:] ** 2).sum(1))
                 q_norm, c_norm = np.sqrt((q**2).sum(1)), np.sqrt((c**2).sum(1))
-                slack = 1e-9 * (1 + q_norm[:, None] * c_norm[None, :].max(initial=0.0))
+                q_rest, c_rest = (np.sqrt(np.maximum(n**2 - (x**2).sum(1), 0)) for n, x in ((q_norm, qr), (c_norm, cr)))
+                slack = 1e-6 * (1 + q_norm[:, None] * c_norm[None, :].max(initial=0.0))
                 out: list[tuple] = []
                 kept_s: list[np.ndarray] = [np.zeros(0)] * len(q)
                 kept_i: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
@@ -88,7 +130,7 @@ def _search(sent, k: int):
                     live = np.flatnonzero(q_norm * c_norm[a] * (1 + 1e-12) + slack[:, 0] >= floor)
                     if not len(live):
                         break
-                    bound = qr[live, :lead] @ cr[a:b, :lead].T + q_rest[live, None] * c_rest[None, a:b] + slack[live]
+                    bound = qr[live] @ cr[a:b].T + q_rest[live, None] * c_rest[None, a:b] + slack[live]
                     for i, may in zip(live.tolist(), bound >= floor[live, None], strict=True):
                         at = a + np.flatnonzero(may)
                         if len(at):
@@ -103,47 +145,48 @@ def _search(sent, k: int):
     return run
 
 
+def _bands(own: DataFrame, count: int) -> DataFrame:
+    """``own`` with band (a range of lengths) and part (of a band, by hash; about CANDIDATE_ROWS rows, also where very many are of one length)."""
+    cuts = sorted(set(own.approxQuantile("norm2", [i / BANDS for i in range(1, BANDS)], 0.005))) if count else []
+    band = F.lit(0)
+    for x in cuts:
+        band = band + (F.col("norm2") > x).cast("int")
+    banded = own.withColumn("band", band)
+    sizes = banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / CANDIDATE_ROWS).alias("parts"))
+    return banded.join(sizes, ["dim", "band"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
     """query_id, rank, vec_id, score: for each query row, its k highest inner products with all other rows (all, if there
     are fewer); ties go to the smaller id.
 
-    ``vector_col`` holds arrays of long; a null one takes no part, nor does a null id. Vectors of different lengths do not
-    meet. Rows with the query's id are its own; repeated rows of another id count each, repeated query rows once.
+    ``vector_col`` holds arrays of long, of any length; a null or empty one takes no part, nor does a null id. Vectors of different
+    lengths do not meet. Rows with the query's id are its own; repeated rows of another id count each, repeated query rows once.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    spark = vectors.sparkSession
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and size(v) > 0")
     norm2 = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     own = stored(own.withColumn("norm2", norm2).withColumn("dim", F.size("v")), "vectors")
-    count = own.count()
-    sent = spark.sparkContext.broadcast(_rotations(own))
-    # lengths by which candidates are cut into blocks, even in rows; rows of one length are dealt by hash
-    cuts = [x for x in own.approxQuantile("norm2", [i / 64 for i in range(1, 64)], 0.005)] if count else []
-    band = F.lit(0)
-    for x in sorted(set(cuts)):
-        band = band + (F.col("norm2") > x).cast("int")
-    spread = F.xxhash64("vec_id", "v")
-    parts = max(1, -(-count // (max(1, len(set(cuts)) + 1) * CANDIDATE_ROWS)))
-    blocks = stored(_packed(own, F.col("dim"), band.alias("band"), F.pmod(spread, F.lit(parts)).alias("part")).withColumn("most2", F.element_at("rows", 1)["norm2"]), "blocks")
+    turns = stored(rotations(own), "rotations")
+    blocks = stored(_packed(_bands(own, own.count()), band="int", part="long"), "blocks")
     queries = own.filter("is_query").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "norm2", "dim")
     chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")
-    row = F.struct(F.col("vec_id"), F.col("v"), F.lit(None).cast("double").alias("floor"), F.col("norm2"))
-    asked = queries.groupBy("dim", chunk).agg(F.collect_list(row).alias("queries"))
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)))
+    found = "query_id long, vec_id long, score long"
     # first the longest vectors of all, at most HEAD_ROWS
-    head = own.orderBy(F.desc("norm2"), "vec_id").limit(HEAD_ROWS).drop("is_query")
-    head = _packed(head, F.col("dim"))
-    first = asked.join(F.broadcast(head), "dim").select("queries", "rows").mapInPandas(_search(sent, k), "query_id long, vec_id long, score long")
+    head = _packed(own.orderBy(F.desc("norm2"), "vec_id").limit(HEAD_ROWS)).select("dim", F.col("ids").alias("c_ids"), F.col("rows").alias("c_rows"))
+    asked = _packed(queries, chunk="long").join(turns, "dim")
+    first = asked.join(F.broadcast(head), "dim").select("dim", "turn", "ids", "floors", "rows", "c_ids", "c_rows").mapInPandas(_search(k), found)
     floor = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    known = stored(queries.join(floor, queries["vec_id"] == floor["query_id"], "left").drop("query_id"), "queries")
-    row = F.struct("vec_id", "v", "floor", "norm2")
-    # the block's least demand: lengths below it cannot reach any of its queries' floors
-    need = F.when(F.col("floor").isNull() | (F.col("floor") <= 0), F.lit(0.0)).otherwise(F.col("floor") / F.sqrt(F.greatest("norm2", F.lit(1e-300))))
-    asked = stored(known.groupBy("dim", chunk).agg(F.collect_list(row).alias("queries"), F.min(need).alias("need")), "chunks")
-    # which blocks meet is settled on their names and lengths alone; then the blocks are fetched by name
-    names = blocks.select("dim", "band", "part", "most2")
-    meet = asked.select("dim", "chunk", "need").join(names, "dim").filter(F.sqrt("most2") * (1 + 1e-9) >= F.col("need")).select("dim", "chunk", "band", "part")
-    pairs = meet.join(blocks, ["dim", "band", "part"]).join(asked, ["dim", "chunk"]).select("queries", "rows")
-    found = pairs.mapInPandas(_search(sent, k), "query_id long, vec_id long, score long")
+    known = queries.join(floor, queries["vec_id"] == floor["query_id"], "left").drop("query_id")
+    asked = stored(_packed(known, chunk="long").join(turns, "dim"), "chunks")
+    # which blocks meet is settled on their names and lengths alone, dealt over many tasks; then they are fetched by name
+    names = blocks.select("dim", "band", "part", "most2", F.pmod(F.xxhash64("band", "part"), F.lit(SLOTS)).alias("slot"))
+    want = asked.select("dim", "chunk", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))).alias("slot"))
+    meet = want.join(names, ["dim", "slot"]).filter(F.sqrt("most2") * (1 + 1e-9) >= F.col("need")).select("dim", "chunk", "band", "part")
+    shipped = blocks.select("dim", "band", "part", F.col("ids").alias("c_ids"), F.col("rows").alias("c_rows"))
+    pairs = meet.join(shipped, ["dim", "band", "part"]).join(asked.select("dim", "chunk", "turn", "ids", "floors", "rows"), ["dim", "chunk"])
+    out = pairs.select("dim", "turn", "ids", "floors", "rows", "c_ids", "c_rows").mapInPandas(_search(k), found)
     # k at most of each pair of blocks; one query's come together
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
