@@ -12,7 +12,7 @@ REQUIRED = ("unique_key", "created_date", "complaint_type", "borough")
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def missing(c: Column) -> Column:
@@ -60,3 +60,8 @@ def reject_reason(bad_time: Column, bad_number: Column) -> Column:
     for broken, reason in reversed(rules):
         out = F.when(broken, F.lit(reason)).otherwise(out)
     return out
+
+
+def row_digest(*columns: str) -> Column:
+    """A hash of a row's values, null included."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]))

@@ -44,14 +44,15 @@ def protocol_violations(settings: DataFrame, candidates: DataFrame) -> DataFrame
     d = {k: F.col(k) for k in ("data_start", "validation_first", "validation_last", "evaluation_first", "evaluation_last")}
     rules = [
         (F.date_add(d["validation_last"], 7) > d["evaluation_first"], "validation reaches into evaluation"),
-        (F.date_add(d["data_start"], HISTORY - 1) > d["validation_first"], "too little history before validation"),
+        (F.date_add(d["data_start"], HISTORY) > d["validation_first"], "too little history before validation"),
         ((d["validation_first"] > d["validation_last"]) | (d["evaluation_first"] > d["evaluation_last"]), "origins out of order"),
         ((F.datediff(d["validation_last"], d["validation_first"]) % 7 != 0) | (F.datediff(d["evaluation_last"], d["evaluation_first"]) % 7 != 0), "origins on different weekdays"),
     ]
     found = settings.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in rules]))).alias("violation"))
     twice = candidates.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate candidate id").alias("violation"))
     odd = candidates.filter(~F.coalesce(F.col("id"), F.lit("")).rlike("^[A-Za-z0-9_]*[A-Za-z0-9][A-Za-z0-9_]*$")).select(F.lit("bad candidate id").alias("violation"))
-    return found.unionByName(twice).unionByName(odd)
+    none = candidates.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("no candidates").alias("violation"))
+    return found.unionByName(twice).unionByName(odd).unionByName(none)
 
 
 def windows(series: DataFrame, first_day: date, last_day: date, horizon: int = 7, segment: tuple[str, ...] = SEGMENT) -> DataFrame:

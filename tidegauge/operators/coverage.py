@@ -23,7 +23,7 @@ def live_requests(observations: DataFrame, versions: DataFrame, state: DataFrame
     version (greater version_id first). Each frame has request_id, run_id and the fields; versions also version_id. Untrusted runs go before
     the shuffle, and the newest row is taken by aggregation."""
     fields = ["demand_date", "agency", "category", "area"]
-    runs = F.broadcast(trusted_runs(ledger).select("run_id", "started_at"))  # one row per fetch job
+    runs = trusted_runs(ledger).select("run_id", "started_at")
 
     def evidence(df: DataFrame, rank: Column) -> DataFrame:
         return df.join(runs, "run_id").select("request_id", F.struct("started_at", rank.cast("long").alias("rank")).alias("_at"), F.struct(*fields).alias("_r"))
@@ -38,7 +38,7 @@ def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 def calendar_grid(spark: SparkSession, start: date, end: date, categories: DataFrame, areas: DataFrame) -> DataFrame:
     """Every day with every category and area in scope (frames of labels: dimensions, small by nature)."""
-    return calendar(spark, start, end).crossJoin(F.broadcast(categories.select("category").distinct())).crossJoin(F.broadcast(areas.select("area").distinct()))
+    return calendar(spark, start, end).crossJoin(categories.select("category").distinct()).crossJoin(areas.select("area").distinct())
 
 
 def distinct_daily_counts(requests: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def covered_days_strict(ledger: DataFrame, scopes: DataFrame, start: date, end:
 
     The ledger has agency and area of each run's query (null for a query of another shape)."""
     keys = ["agency", "area"]
-    runs = trusted_runs(ledger).filter("window_start is not null and window_end is not null and fetched_at is not null").join(F.broadcast(scopes.select(*keys).distinct()), keys)
+    runs = trusted_runs(ledger).filter("window_start is not null and window_end is not null and fetched_at is not null").join(scopes.select(*keys).distinct(), keys)
     lo, hi = F.greatest("window_start", F.lit(start)), F.least("window_end", F.lit(end))
     days = runs.filter(lo <= hi).select(*keys, "fetched_at", F.explode(F.sequence(lo, hi)).alias("demand_date"))
     return days.filter(F.col("fetched_at") >= _midnight_after(F.col("demand_date"), zone)).select(*keys, "demand_date").distinct()
@@ -73,7 +73,7 @@ def covered_days_strict(ledger: DataFrame, scopes: DataFrame, start: date, end:
 
 def daily_display_grid(grid: DataFrame, counts: DataFrame, covered: DataFrame) -> DataFrame:
     """The grid with counts (0 where there are none) and whether the day is complete."""
-    met = grid.join(counts, ["demand_date", "category", "area"], "left").join(F.broadcast(covered.withColumn("_c", F.lit(True))), "demand_date", "left")
+    met = grid.join(counts, ["demand_date", "category", "area"], "left").join(covered.withColumn("_c", F.lit(True)), "demand_date", "left")
     return met.select("demand_date", "category", "area", F.coalesce("request_count", F.lit(0)).alias("request_count"), F.coalesce("_c", F.lit(False)).alias("is_complete"))
 
 
@@ -103,7 +103,7 @@ def archive_violations(partitions: DataFrame, records: DataFrame, agency: str, a
 
     ``partitions``: partition_key, window_start, window_end, mode, status, expected_rows. ``records``: partition_key, request_id, demand_date,
     agency, area. An id that two records share breaks the rule in each partition that holds it."""
-    met = records.join(F.broadcast(partitions.select("partition_key", "window_start", "window_end")), "partition_key")  # a manifest: one row per partition
+    met = records.join(partitions.select("partition_key", "window_start", "window_end"), "partition_key")
 
     def found(df: DataFrame, reason: str) -> DataFrame:
         return df.groupBy("partition_key").agg(F.count("*").alias("n")).select("partition_key", F.lit(reason).alias("violation"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.holidays import holiday_calendar
+from ..functions.scalars import row_digest
 from .backtest import HISTORY, SEGMENT, lag_value, windows
 
 # The feature columns and their order.
@@ -96,8 +97,8 @@ def training_slice(examples: DataFrame, cutoff: date) -> DataFrame:
 
 
 def training_slices(examples: DataFrame, origins: DataFrame) -> DataFrame:
-    """All slices at once: each example with every cutoff (fit_date) not before its target. Cutoffs are few and broadcast; aggregate the result, don't keep it."""
-    cutoffs = F.broadcast(origins.select(F.col("origin_date").alias("fit_date")))
+    """All slices at once: each example with every cutoff (fit_date) not before its target. Aggregate the result, don't keep it."""
+    cutoffs = origins.select(F.col("origin_date").alias("fit_date"))
     return examples.filter("actual is not null").join(cutoffs, F.col("target_date") <= F.col("fit_date"))
 
 
@@ -115,11 +116,6 @@ def example_weights(examples: DataFrame) -> DataFrame:
     return examples.withColumn("weight", share).crossJoin(F.broadcast(total)).withColumn("weight", F.col("weight") * F.col("_n") / F.col("_t")).drop("_n", "_t")
 
 
-def row_digest(*columns: str) -> Column:
-    """A hash of a row's values, null included."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]))
-
-
 def training_audit(examples: DataFrame, origins: DataFrame) -> DataFrame:
     """Per cutoff: first and last target, rows, distinct targets and an order-free sum of row hashes.
 
@@ -127,5 +123,5 @@ def training_audit(examples: DataFrame, origins: DataFrame) -> DataFrame:
     known = examples.filter("actual is not null")
     digest = F.conv(F.substring(row_digest("origin_date", "target_date", *SEGMENT), 1, 15), 16, 10).cast("decimal(38,0)")
     daily = known.groupBy("target_date").agg(F.count("*").alias("n"), F.countDistinct(*SEGMENT).alias("t"), F.sum(digest).alias("d"))
-    met = daily.join(F.broadcast(origins.select(F.col("origin_date").alias("fit_date"))), F.col("target_date") <= F.col("fit_date"))
+    met = daily.join(origins.select(F.col("origin_date").alias("fit_date")), F.col("target_date") <= F.col("fit_date"))
     return met.groupBy("fit_date").agg(F.min("target_date").alias("min_training_target"), F.max("target_date").alias("max_training_target"), F.sum("n").alias("training_rows"), F.sum("t").alias("unique_training_targets"), F.sum("d").cast("string").alias("content_sum"))

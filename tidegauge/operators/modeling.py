@@ -16,8 +16,10 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import tree_digests
+from ..sources.shared import stored
 from .backtest import SEGMENT, summarize_errors
-from .features import CATEGORICAL, NUMERIC, example_weights, leakage_violations, training_slice
+from .features import CATEGORICAL, NUMERIC, example_weights, leakage_violations, training_audit, training_slice
 
 KEY = ("origin_date", "target_date", "horizon_days", *SEGMENT)
 METHODS = ("gbt", "seasonal_naive", "weekday_mean_4w")
@@ -70,18 +72,28 @@ def predict_challenger(model: PipelineModel | None, rows: DataFrame) -> DataFram
     return out.withColumn("prediction", F.when(F.isnan(p) | (F.abs(p) == float("inf")), None).otherwise(F.greatest(p, F.lit(0.0))))
 
 
-def save_model(model: PipelineModel, path: str, cutoff: date) -> None:
-    """Model, feature list and cutoff; never over an older one."""
+def save_model(model: PipelineModel | None, path: str, cutoff: date) -> None:
+    """Model (None: the constant zero), feature list, cutoff and the digests of the model's files; never over an older one."""
     spark = SparkSession.getActiveSession()
-    model.save(f"{path}/model")
-    spark.createDataFrame([(list((*NUMERIC, *CATEGORICAL)), cutoff)], "features array<string>, cutoff date").write.mode("errorifexists").parquet(f"{path}/metadata")
+    digests = "array<struct<path: string, sha256: string>>"
+    if model is not None:
+        model.save(f"{path}/model")
+        files = tree_digests(spark, f"{path}/model").agg(F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("files"))  # a few files of a model
+    else:
+        files = spark.range(1).select(F.array().cast(digests).alias("files"))
+    about = spark.createDataFrame([(list((*NUMERIC, *CATEGORICAL)), cutoff, "constant_zero" if model is None else "pipeline")], "features array<string>, cutoff date, kind string")
+    about.crossJoin(files).write.mode("errorifexists").parquet(f"{path}/metadata")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, date]:
-    """Model and cutoff; refused where the saved feature list is not this one."""
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel | None, date]:
+    """Model and cutoff; refused where the saved feature list is not this one, or a file of the model is not the one saved."""
     row = spark.read.parquet(f"{path}/metadata").first()
     if list(row["features"]) != [*NUMERIC, *CATEGORICAL]:
         raise ValueError("the saved model has other features")
+    if row["kind"] == "constant_zero":
+        return None, row["cutoff"]
+    if sorted((r["path"], r["sha256"]) for r in row["files"]) != sorted(tuple(r) for r in tree_digests(spark, f"{path}/model").collect()):
+        raise ValueError("model checksum mismatch")
     return PipelineModel.load(f"{path}/model"), row["cutoff"]
 
 
@@ -91,21 +103,59 @@ def _scored(rows: DataFrame) -> DataFrame:
     return out.withColumn("error", F.col("actual") - F.col("prediction")).withColumn("absolute_error", F.abs("error"))
 
 
-def walk_forward(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidate: Candidate, minimum_rows: int = 100) -> DataFrame:
-    """Per origin: fit on what has matured, score the window, all three methods on the same keys. An origin that cannot be fitted is left out for all."""
-    parts = []
+@dataclass
+class Walk:
+    """A walk's predictions, the origins left out with the reason, and a row about the training of each fit."""
+
+    predictions: DataFrame
+    skips: DataFrame
+    audit: DataFrame
+
+
+def _fitted(train: DataFrame, window: DataFrame, origin: date, candidate: Candidate, minimum_rows: int) -> DataFrame:
+    """Scored predictions of one origin's window; ValueError where they cannot be had."""
+    if train.limit(minimum_rows).count() < minimum_rows:
+        raise ValueError("too few training rows")
+    for c in CATEGORICAL:
+        if not window.select(c).distinct().join(train.select(c).distinct(), c, "left_anti").isEmpty():
+            raise ValueError(f"unseen or missing label in {c}")
+    out = stored(_scored(predict_challenger(fit_challenger(train, origin, candidate), window)), "walk")
+    if not out.filter("prediction is null").isEmpty():
+        raise ValueError("a prediction is not finite")
+    return out
+
+
+def walk(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidate: Candidate, minimum_rows: int = 100) -> Walk:
+    """Per origin: fit on what has matured, score the window, all three methods on the same keys.
+
+    A segment's window must have all seven days (ValueError). An origin without windows, or one that cannot be fitted or
+    scored, is left out for all methods and named in ``skips``."""
+    spark = training.sparkSession
+    asked = forecast.filter(F.col("origin_date").isin(list(origins)))
+    week = F.array(*[F.lit(h) for h in range(1, 8)])
+    partial = asked.groupBy("origin_date", *SEGMENT).agg(F.sort_array(F.collect_list(F.col("horizon_days").cast("int"))).alias("h")).filter(F.col("h") != week)
+    if not partial.isEmpty():
+        raise ValueError("the forecast frame has a partial segment window")
+    there = {r[0] for r in asked.select("origin_date").distinct().collect()}  # at most the origins asked for
+    parts, skips, fits = [], [], []
     for origin in origins:
-        train = training_slice(training, origin)
-        if train.limit(minimum_rows).count() < minimum_rows:
+        if origin not in there:
+            skips.append((origin, "*", "*", "no_complete_forecast_windows"))
             continue
-        window = forecast.filter(F.col("origin_date") == F.lit(origin))
-        parts.append(_scored(predict_challenger(fit_challenger(train, origin, candidate), window)))
-    if not parts:
-        return _scored(forecast.limit(0).withColumn("prediction", F.lit(0.0)))
-    out = parts[0]
+        try:
+            parts.append(_fitted(training_slice(training, origin), asked.filter(F.col("origin_date") == F.lit(origin)), origin, candidate, minimum_rows))
+            fits.append((origin,))
+        except ValueError as e:
+            skips.append((origin, "*", "*", f"model_ineligible: {e}"))
+    out = parts[0] if parts else _scored(forecast.limit(0).withColumn("prediction", F.lit(0.0)))
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return Walk(out, spark.createDataFrame(skips, "origin_date date, category string, area string, reason string"), training_audit(training, spark.createDataFrame(fits, "origin_date date")))
+
+
+def walk_forward(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidate: Candidate, minimum_rows: int = 100) -> DataFrame:
+    """The predictions of ``walk``."""
+    return walk(training, forecast, origins, candidate, minimum_rows).predictions
 
 
 def pairing_violations(predictions: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
@@ -121,10 +171,14 @@ def rank_candidates(errors: DataFrame) -> DataFrame:
 
 
 def select_candidate(training: DataFrame, validation: DataFrame, origins: Sequence[date], candidates: Sequence[Candidate], minimum_rows: int = 100) -> tuple[Candidate, DataFrame, DataFrame]:
-    """The best candidate, the ranking, and all predictions; refused where candidates cover different keys."""
+    """The best candidate, the ranking, and all predictions; refused where a candidate's methods were not scored on the same keys, or candidates cover different ones."""
     every = None
     for c in candidates:
-        own = walk_forward(training, validation, origins, c, minimum_rows).withColumn("candidate", F.lit(c.id)).cache()
+        own = walk_forward(training, validation, origins, c, minimum_rows).withColumn("candidate", F.lit(c.id))
+        if own.isEmpty():
+            raise ValueError("no eligible paired predictions")
+        if not pairing_violations(own).isEmpty():
+            raise ValueError("methods were not scored on identical keys")
         every = own if every is None else every.unionByName(own)
     uneven = every.groupBy(*KEY).agg(F.countDistinct("candidate").alias("n")).filter(F.col("n") != len(candidates))
     if not uneven.isEmpty():

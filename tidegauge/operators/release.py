@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .features import row_digest
+from ..functions.scalars import row_digest
 
-QUANTITIES = ("seasonal_naive", "weekday_mean_4w")
+MODELS = ("weekday_mean_4w", "seasonal_naive", "gbt")
 
 
 def snapshot_drift(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -27,15 +27,30 @@ def content_fingerprint(table: DataFrame, *columns: str) -> DataFrame:
     return table.agg(F.count("*").alias("n_rows"), F.concat_ws("-", *[F.coalesce(h, F.lit(0)).cast("string") for h in halves]).alias("fingerprint"))
 
 
-def release_violations(releases: DataFrame, forecasts: DataFrame, quantities: Sequence[str] = QUANTITIES) -> DataFrame:
+def publication_violations(settings: DataFrame, forecast: DataFrame, baseline_skips: DataFrame) -> DataFrame:
+    """violation: why a forecast must not be published. ``settings``: one row of experiment_scope, release_scope (arrays of labels),
+    categories (array), origin_date, evaluation_last_origin. An origin must not lie before the end of the evaluation's targets, every category
+    needs a forecast, and the baselines' comparison must have skipped nothing."""
+    found = forecast.agg(F.sort_array(F.collect_set("category")).alias("found"))
+    rules = [
+        (~F.col("experiment_scope").eqNullSafe(F.col("release_scope")), "experiment scope differs"),
+        (F.col("origin_date") < F.date_add("evaluation_last_origin", 7), "origin before the evaluation's end"),
+        (F.col("found") != F.sort_array("categories"), "categories without a forecast"),
+    ]
+    own = settings.crossJoin(found).select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))).alias("violation"))
+    return own.unionByName(baseline_skips.limit(1).select(F.lit("incomplete baseline comparison").alias("violation")))
+
+
+def release_violations(releases: DataFrame, forecasts: DataFrame, quantities: Sequence[str] | None = None) -> DataFrame:
     """release_id, violation: once per broken rule.
 
     ``releases``: release_id, version, policy, origin_date, area, categories (array), model_cutoff. ``forecasts``: release_id, origin_date, target_date, category,
-    area and the quantities. Rules: supported version and policy; the very categories and area; no repeats; its own origin; the seven days after it
+    area and the quantities (of every model that it has a column for; the policy's own must be there). Rules: supported version and policy; the very categories and area; no repeats; its own origin; the seven days after it
     for each category; finite quantities not below 0; a model not newer than the origin."""
+    quantities = quantities or [m for m in MODELS if m in forecasts.columns]
     r = releases.alias("r")
     met = forecasts.alias("f").join(r, F.col("f.release_id") == F.col("r.release_id"))
-    bad_quantity = F.lit(False)
+    bad_quantity = ~F.col("r.policy").isin(*quantities)
     for q in quantities:
         x = F.col(f"f.{q}").cast("double")
         bad_quantity = bad_quantity | x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))
@@ -48,7 +63,7 @@ def release_violations(releases: DataFrame, forecasts: DataFrame, quantities: Se
     per = per.groupBy("release_id").agg(F.max((F.col("n") > F.size("days")).cast("int")).alias("repeated"), F.max((F.col("days") != days).cast("int")).alias("days"))
     own = releases.join(rows, "release_id", "left").join(per, "release_id", "left")
     rules = [
-        ((F.col("version") != 1) | ~F.col("policy").isin(*quantities, "gbt"), "unsupported version or policy"),
+        ((F.col("version") != 1) | ~F.col("policy").isin(*MODELS), "unsupported version or policy"),
         (F.col("found").isNull() | (F.col("found") != F.col("wanted")) | F.coalesce(rows["area"] == 1, F.lit(False)), "scope mismatch"),
         (F.col("repeated") == 1, "duplicate forecasts"),
         (F.col("origin") == 1, "wrong origin"),

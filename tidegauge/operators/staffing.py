@@ -32,7 +32,7 @@ def staffing_scenarios(forecast: DataFrame, scenarios: DataFrame, methods: Seque
     """The plan for many scenarios (scenario_id, model, throughput, staff) over every scope at once. Demand is pooled first; scenarios are few and meet totals only."""
     long = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("decimal(28,6)").alias("v")) for m in methods])).alias("m")
     pooled = forecast.select(*scope, "target_date", long).groupBy(*scope, "target_date", F.col("m.model").alias("model")).agg(F.sum("m.v").alias("total"))
-    met = pooled.join(F.broadcast(scenarios), "model")
+    met = pooled.join(scenarios, "model")
     return met.select("scenario_id", *scope, "model", "target_date", *_plan(F.col("total"), F.col("throughput"), F.col("staff")))
 
 

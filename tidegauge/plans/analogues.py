@@ -137,13 +137,13 @@ SQL = {
         covered AS (SELECT DISTINCT demand_date FROM days JOIN trusted ON demand_date BETWEEN window_start AND window_end AND fetched_at >= demand_date + INTERVAL 29 HOUR)""",
     "grid": """grid AS (SELECT demand_date, category, area FROM days CROSS JOIN (SELECT DISTINCT o_orderpriority AS category FROM orders) CROSS JOIN (SELECT DISTINCT upper(r_name) AS area FROM region))""",
     "counts": """counts AS (SELECT demand_date, category, area, count(DISTINCT request_id) AS request_count FROM requests GROUP BY ALL)""",
-    "series": """series AS (SELECT g.demand_date, g.category, g.area, CASE WHEN c.demand_date IS NOT NULL THEN coalesce(n.request_count, 0) END AS request_count, c.demand_date IS NOT NULL AS is_complete
+    "series": """series AS MATERIALIZED (SELECT g.demand_date, g.category, g.area, CASE WHEN c.demand_date IS NOT NULL THEN coalesce(n.request_count, 0) END AS request_count, c.demand_date IS NOT NULL AS is_complete
         FROM grid g LEFT JOIN counts n ON g.demand_date = n.demand_date AND g.category = n.category AND g.area = n.area LEFT JOIN covered c ON g.demand_date = c.demand_date)""",
     "win": """win AS (SELECT category, area, demand_date AS origin_date, CAST(request_count AS DOUBLE) AS v, count(request_count) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS n_hist,
         count(request_count) OVER (w ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS n_fut FROM series WINDOW w AS (PARTITION BY category, area ORDER BY demand_date))""",
     "origins": """origins AS (SELECT *, CASE WHEN n_hist < 28 THEN 'incomplete_28_day_history' WHEN n_fut < 7 THEN 'incomplete_target_window' END AS reason FROM win
         WHERE origin_date BETWEEN DATE '1995-02-04' AND DATE '2001-06-30' AND (origin_date - DATE '1995-02-04') % 7 = 0)""",
-    "lags": """lags AS (SELECT category, area, demand_date AS target_date, CAST(request_count AS DOUBLE) AS actual, lag(CAST(request_count AS DOUBLE), 7) OVER w AS l1, lag(CAST(request_count AS DOUBLE), 14) OVER w AS l2,
+    "lags": """lags AS MATERIALIZED (SELECT category, area, demand_date AS target_date, CAST(request_count AS DOUBLE) AS actual, lag(CAST(request_count AS DOUBLE), 7) OVER w AS l1, lag(CAST(request_count AS DOUBLE), 14) OVER w AS l2,
         lag(CAST(request_count AS DOUBLE), 21) OVER w AS l3, lag(CAST(request_count AS DOUBLE), 28) OVER w AS l4 FROM series WINDOW w AS (PARTITION BY category, area ORDER BY demand_date))""",
     "pred": """pred AS (SELECT origin_date, target_date, CAST(h AS INTEGER) AS horizon_days, category, area, model, actual, prediction, actual - prediction AS error, abs(actual - prediction) AS absolute_error
         FROM (SELECT o.origin_date, l.target_date, h, category, area, unnest(['seasonal_naive', 'weekday_mean_4w']) AS model, unnest([l1, (l1 + l2 + l3 + l4) / 4]) AS prediction, actual

@@ -18,26 +18,35 @@ FORECAST = "origin_date date, target_date date, horizon_days int, category strin
 def read_request_pages(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-lines pages, plain or gzip: the tracked fields as text, ``file`` and ``ordinal`` (file, then place in it).
 
-    Blank lines are passed over; unknown fields are ignored. A page is one file of a few thousand lines, read in one piece, so places in it are
-    in line order."""
-    return records_of(spark.read.option("wholetext", True).text(path))
+    Blank lines are passed over; unknown fields are ignored. Files are read line by line, plain ones in splits, so pages may be of any
+    size; a place is the split's start and the line's number within what one task reads, which grow in line order."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("line"), F.col("value").alias("text"))
+    return _parsed(lines)
 
 
 def stream_request_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream of files as they land."""
+    """The same as a stream of files as they land; a page is a small file and is read in one piece."""
     return records_of(spark.readStream.option("wholetext", True).text(path))
 
 
 def records_of(pages: DataFrame) -> DataFrame:
     """Records of pages read in one piece each."""
     lines = pages.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    return _parsed(lines)
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
     rows = lines.filter(F.trim("text") != "").select("file", "line", F.from_json("text", RAW).alias("r"))
     return rows.select("file", F.struct("file", "line").alias("ordinal"), "r.*")
 
 
+#: Records of a page, and rows of a file of a report or release.
+PAGE_RECORDS, FILE_ROWS = 50_000, 1_000_000
+
+
 def write_request_pages(raw: DataFrame, path: str, run: str = "run_id") -> None:
-    """The untouched records as gzip JSON lines, a folder per run."""
-    raw.write.mode("append").partitionBy(run).option("compression", "gzip").json(path)
+    """The untouched records as gzip JSON lines, a folder per run, pages of bounded size in it."""
+    raw.write.mode("append").partitionBy(run).option("maxRecordsPerFile", PAGE_RECORDS).option("compression", "gzip").json(path)
 
 
 def read_archive_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +61,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+def tree_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path (below the folder), sha256 of every file of a folder and those in it; files are bounded by their writers."""
+    root = path.split("://", 1)[-1].rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.expr(f"substring(path, instr(path, '{root}') + {len(root) + 1})").alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def read_table(spark: SparkSession, path: str, scope: dict[str, str] | None = None, day: str | None = None, start=None, end=None) -> DataFrame:
     """A Parquet table cut to a scope and to days; the conditions reach the scan."""
     df = spark.read.parquet(path)
@@ -74,19 +90,38 @@ def read_release_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_report_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
     """Each table in a folder of its own; an existing one is never written over."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").option("header", True).format(form).save(f"{path}/{name}")
+        df.write.mode("errorifexists").option("header", True).option("maxRecordsPerFile", FILE_ROWS).format(form).save(f"{path}/{name}")
 
 
 def write_release(tables: dict[str, DataFrame], path: str, manifest: DataFrame) -> None:
-    """A new release: all tables under the path, then its manifest. A reader takes a release without a manifest for unfinished; an existing one is refused."""
+    """A new release: all tables under the path, the digests of their files, then its manifest. A reader takes a release without a manifest for unfinished; an existing one is refused."""
     spark = manifest.sparkSession
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         raise FileExistsError(path)
-    write_report_tables(tables, path)
+    write_report_tables(tables, f"{path}/tables")
+    tree_digests(spark, f"{path}/tables").write.mode("errorifexists").parquet(f"{path}/checksums")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
+# The tables that a complete release has.
+REQUIRED = ("forecast", "history", "evaluation", "validation", "baseline_full", "model")
+
+
+def release_file_violations(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """path, violation: tables that a release's digests lack, files that are gone, that nobody listed, or whose bytes differ."""
+    listed, found = spark.read.parquet(f"{path}/checksums").alias("l"), tree_digests(spark, f"{path}/tables").alias("f")
+    met = listed.join(found, F.col("l.path") == F.col("f.path"), "full_outer")
+    reason = F.when(F.col("f.path").isNull(), "file missing").when(F.col("l.path").isNull(), "file not listed").when(F.col("l.sha256") != F.col("f.sha256"), "checksum mismatch")
+    names = spark.createDataFrame([(t,) for t in required], "path string")
+    lacking = names.join(listed.select(F.substring_index("path", "/", 1).alias("path")), "path", "left_anti").select("path", F.lit("incomplete release").alias("violation"))
+    return met.select(F.coalesce("l.path", "f.path").alias("path"), reason.alias("violation")).filter("violation is not null").unionByName(lacking)
+
+
+def read_release_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/tables/{name}")
+
+
 def file_rows(pages: DataFrame) -> DataFrame:
     """path (name), rows: records per page."""
     return pages.groupBy(F.element_at(F.split("file", "/"), -1).alias("path")).agg(F.count("*").alias("rows"))
