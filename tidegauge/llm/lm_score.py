@@ -23,9 +23,11 @@ from .store import stored
 from .words import U, blocks, by_key, mix
 
 HEAD = 1 << 19
-#: Bytes of text that are counted and scored together, bytes of text for which there is one bucket, and codes weighted at a time.
-UNIT_BYTES = 8 << 20
+#: Bytes of text that are counted and scored together, bytes of text for which there is one bucket, bytes of text whose
+#: words are told apart together, and codes weighted at a time.
+UNIT_BYTES = 5 << 20
 BUCKET_BYTES = 8 << 20
+VOCABULARY_BYTES = 12 << 20
 UNIT_POSITIONS = 1 << 18
 #: Scores of bytes travel in steps of this part of a bit, as fine as single floats near one.
 PRICE_STEPS = float(1 << 16)
@@ -78,7 +80,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column(0)):
             found.take(b.data, b.start, b.end, b.hashes())
-            if found.size >= 2 * UNIT_BYTES:
+            if found.size >= VOCABULARY_BYTES:
                 yield out()
                 found = _Distinct()
     yield out()
@@ -165,6 +167,8 @@ def _grams(buckets: int):
                 found = [(own.code, own.sums(learnt[row])) for row, own in unit_parts(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size)]
                 code, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 rows = [(j, len(at), _packed(code[at]), _packed(n[at])) for j, at in by_key(bucket_of(code, buckets))]
+                del found, code, n
+                pa.default_memory_pool().release_unused()
                 unit = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([unit] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
