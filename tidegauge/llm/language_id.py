@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .words import row_runs, text_buffers
 
-#: Bounds of the fitted sample, over all languages and per language. All documents are scored.
+#: Bounds of the fitted sample, over all languages and per language, and characters from which a row is drawn last. All documents are scored.
 TRAIN_ROWS, TRAIN_PER_LANGUAGE = 1600, 300
 LANDMARK_ROWS, LANDMARKS_PER_LANGUAGE = 400, 64
+SAMPLE_CHARS = 20_000
 RIDGE = 1e-2
 
 
@@ -105,8 +106,8 @@ def fit(texts: list[str], labels: list[str], landmark: list[bool]) -> Model:
     return Model(languages, vocabulary, folded.astype(np.float32), beta[-1])
 
 
-def sample(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
-    """A sample of labelled rows, even over languages, drawn by hash of the id: bounded, but for four rows of every language."""
+def sample(docs: DataFrame, id_col: str, lang_col: str, *last: str) -> DataFrame:
+    """A sample of labelled rows, even over languages, drawn by hash of the id: bounded, but for four rows of every language. ``last``: flags of rows that are drawn if there are no others."""
     spread = F.xxhash64(F.col(id_col), F.lit(7))
     counts = docs.groupBy(lang_col).agg(F.count("*").alias("_n"))
     langs = counts.count()
@@ -114,15 +115,16 @@ def sample(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
     # first a thinning to a few times what is wanted, so that no language's rows meet in one task
     u = F.pmod(spread, F.lit(1 << 30)) / float(1 << 30)
     thin = docs.join(F.broadcast(counts), lang_col).filter(u * F.col("_n") < 3 * most + 20).withColumn("_spread", spread)
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy("_spread", id_col))
+    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(*last, "_spread", id_col))
     marks = max(2, min(LANDMARKS_PER_LANGUAGE, LANDMARK_ROWS // max(1, langs)))
     return thin.withColumn("_rank", rank).filter(F.col("_rank") <= most).withColumn("_mark", F.col("_rank") <= marks)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the languages of ``docs``, whose rows are all for training; None without any."""
-    labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = sample(labelled, id_col, lang_col).select(text_col, lang_col, "_mark").collect()  # at most TRAIN_ROWS, or four a language
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    # a sample of languages with enough rows of SAMPLE_CHARS at most has no longer ones
+    rows = sample(rows.withColumn("long", F.length("text") > SAMPLE_CHARS), "id", "lang", "long").select("text", "lang", "_mark").collect()  # at most TRAIN_ROWS, or four a language
     rows.sort(key=lambda r: (r[1], r[0]))
     return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) if rows else None
 
@@ -136,7 +138,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """Per row of ``docs``: id, the columns of ``keep``, lang_pred and score (0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where there was nothing to learn from. Whole
-    texts count. Repeated rows are scored each.
+    texts count, however long. Repeated rows are scored each; of languages with one score, the first in order is taken. An empty
+    table gives an empty result. Columns outside ``keep`` are ignored, whatever their names.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)

@@ -104,7 +104,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     ``labels`` has the id and ``quality`` (0 or 1; other values and unknown ids are passed over). A text without words
     scores 0 and is not kept. Null hosts and paths are sites like any other. Without labels, or with one kind only, evidence is the
-    same for all. Rows that repeat an id count each.
+    same for all. Rows that repeat an id count each, and null ids like any other. Whole texts count, however long. An empty table
+    gives an empty result; other columns are ignored, whatever their names. Scores at the threshold are kept.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), surface(F.col(text_col)).alias("x"))
     rows = stored(rows, "surface")
