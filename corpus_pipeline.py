@@ -23,31 +23,52 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it learns from ``labels``."""
+    """Documents that the quality classifier keeps; it learns from ``labels``.
+
+    Null, empty and blank texts score 0 and go; whole texts count. Ties with the threshold stay, as do rows of a null id, which no
+    rejection names. Repeated rows stay or go together. An empty table gives an empty one. Columns other than COLUMNS go, whatever
+    their names, here and in the stages after.
+    """
     ship(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines."""
+    """All documents, without their source's boilerplate lines; n_chars is counted anew.
+
+    Null texts stay null (n_chars null), empty ones empty; a null source is a source; whole texts count. Repeated rows are pages each.
+    An empty table gives an empty one.
+    """
     ship(spark)
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words a shingle, 80 per cent): that of the smallest id."""
+    """One document of each group of near copies (five words a shingle, 80 per cent): that of the smallest id.
+
+    Null, empty and blank texts are like nothing and stay, as do rows of a null id. Rows that repeat an id and a text stay or go
+    together. Whole texts count. An empty table gives an empty one.
+    """
     ship(spark)
     return drop_near_copies(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: 0, 1 or 2 times.
+
+    Null and empty texts have no words and are taken by their rounded rate; a null source is a source, last in order; repeated rows
+    share their copies evenly; ties go by id, then by text. Whole texts are counted. An empty table gives an empty one.
+    """
     ship(spark)
     return mix(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of each document, and whether they decode to its text."""
+    """Sampled pieces of each document, and whether they decode to its text.
+
+    A null text has null pieces and counts as lossless, an empty one has none; whole texts are encoded. Rows that repeat an id and a
+    text have the same pieces. An empty table gives an empty result.
+    """
     ship(spark)
     out = encode_and_decode(docs)
     return out.select("doc_id", "lang", "source", "n_chars", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("text").eqNullSafe(F.col("back")).alias("lossless"))
