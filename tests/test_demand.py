@@ -15,11 +15,12 @@ from tidegauge.operators import coverage as cv
 from tidegauge.operators import features as ft
 from tidegauge.operators import modeling as md
 from tidegauge.operators import normalize as nz
+from tidegauge.operators import release as rl
 from tidegauge.operators import staffing as st
 from tidegauge.sources import files
 
 RECORD = {
-    "unique_key": "7", "created_date": "2026-09-09T23:40:00.000", "closed_date": None, "agency": "NYPD", "agency_name": None, "complaint_type": " Noise ", "descriptor": "", "status": "Open", "borough": "brooklyn",
+    "unique_key": "7", "created_date": "2026-09-09T23:40:00.000", "closed_date": None, "agency": "WORKS", "agency_name": None, "complaint_type": " Noise ", "descriptor": "", "status": "Open", "borough": "north side",
     "community_board": None, "resolution_action_updated_date": None, "open_data_channel_type": None,
 }
 
@@ -30,7 +31,7 @@ def raw(spark, *changes):
 
 def test_normalize(spark):
     row = nz.normalize_requests(raw(spark, {})).first()
-    assert (row.request_id, row.created_day, row.complaint_type, row.borough, row.descriptor) == (7, date(2026, 9, 9), "Noise", "BROOKLYN", None)
+    assert (row.request_id, row.created_day, row.complaint_type, row.borough, row.descriptor) == (7, date(2026, 9, 9), "Noise", "NORTH SIDE", None)
     assert row.created_at == datetime(2026, 9, 9, 23, 40)
     assert list(json.loads(row.payload)) == sorted(k for k, v in RECORD.items() if v is not None)
     missing = nz.normalize_requests(raw(spark, {"agency": None})).first()
@@ -225,3 +226,120 @@ def test_ingest_job_is_idempotent(spark, tmp_path):
     views = take()
     assert {r.request_id: r.status for r in views["state"].collect()} == {7: "Closed", 8: "Open"}
     assert {r.run_id: (r.rows_new, r.rows_changed) for r in merge_counts(views["observations"]).collect()} == {1: (2, 0), 2: (0, 1)}
+
+
+PROTOCOL = "data_start date, validation_first date, validation_last date, evaluation_first date, evaluation_last date"
+
+
+@pytest.mark.parametrize(("first", "broken"), [(date(2026, 2, 1), True), (date(2026, 2, 2), False)])
+def test_protocol_asks_for_28_days(spark, first, broken):
+    """The first validation origin lies 28 days after the start of the data, or later."""
+    days = (date(2026, 1, 5), first, first + timedelta(days=21), first + timedelta(days=28), first + timedelta(days=35))
+    ids = spark.createDataFrame([("a",)], "id string")
+    settings = spark.createDataFrame([days], PROTOCOL)
+    assert [r.violation for r in bt.protocol_violations(settings, ids).collect()] == (["too little history before validation"] if broken else [])
+    assert "no candidates" in [r.violation for r in bt.protocol_violations(settings, ids.limit(0)).collect()]
+
+
+@pytest.fixture(scope="module")
+def examples(spark):
+    s = daily(spark, [(i * 7919) % 50 + i % 7 for i in range(90)])
+    return ft.build_examples(s, date(2026, 1, 28), date(2026, 3, 15)).cache()
+
+
+def test_walk_tells_what_it_leaves_out(spark, examples):
+    poisson, good, none = md.Candidate("p", "poisson"), date(2026, 3, 10), date(2026, 6, 1)
+    got = md.walk(examples, examples, [good, none], poisson)
+    assert got.predictions.count() == 21 and md.pairing_violations(got.predictions).isEmpty()
+    assert [tuple(r) for r in got.skips.collect()] == [(none, "*", "*", "no_complete_forecast_windows")]
+    row = got.audit.first()
+    assert got.audit.count() == 1 and row.fit_date == good and row.max_training_target <= good and row.training_rows == ft.training_slice(examples, good).count()
+    few = md.walk(examples, examples, [good], poisson, minimum_rows=100_000)
+    assert few.predictions.isEmpty() and few.audit.isEmpty() and few.skips.first().reason == "model_ineligible: too few training rows"
+    unseen = md.walk(examples, examples.withColumn("category", F.lit("new")), [good], poisson)
+    assert unseen.predictions.isEmpty() and unseen.skips.first().reason.startswith("model_ineligible: unseen")
+    with pytest.raises(ValueError, match="partial"):
+        md.walk(examples, examples.filter("horizon_days <> 3"), [good], poisson)
+    with pytest.raises(ValueError, match="no eligible"):
+        md.select_candidate(examples, examples, [none], [poisson])
+
+
+def test_a_changed_model_is_refused(spark, examples, tmp_path):
+    cutoff = date(2026, 3, 10)
+    md.save_model(md.fit_challenger(ft.training_slice(examples, cutoff), cutoff, md.Candidate("p", "poisson")), f"file://{tmp_path}/m", cutoff)
+    assert md.load_model(spark, f"file://{tmp_path}/m")[1] == cutoff
+    part = next(p for p in glob.glob(f"{tmp_path}/m/model/**/part-*", recursive=True))
+    with open(part, "ab") as f:
+        f.write(b"\n")
+    crc = os.path.join(os.path.dirname(part), f".{os.path.basename(part)}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    with pytest.raises(ValueError, match="checksum"):
+        md.load_model(spark, f"file://{tmp_path}/m")
+    md.save_model(None, f"file://{tmp_path}/zero", cutoff)
+    assert md.load_model(spark, f"file://{tmp_path}/zero") == (None, cutoff)
+
+
+def test_a_changed_release_is_refused(spark, tmp_path):
+    t = spark.range(3).toDF("x")
+    root = f"{tmp_path}/r"
+    files.write_release(dict.fromkeys(files.REQUIRED, t), f"file://{root}", t.limit(1))
+    assert files.release_file_violations(spark, f"file://{root}").isEmpty()
+    part = glob.glob(f"{root}/tables/forecast/part-*")[0]
+    with open(part, "ab") as f:
+        f.write(b"x")
+    os.remove(os.path.join(os.path.dirname(part), f".{os.path.basename(part)}.crc"))
+    os.remove(glob.glob(f"{root}/tables/history/part-*")[0])
+    found = {(r.path.split("/")[0], r.violation) for r in files.release_file_violations(spark, f"file://{root}").collect()}
+    assert found == {("forecast", "checksum mismatch"), ("history", "file missing")}
+    files.write_release({"forecast": t}, f"file://{tmp_path}/part", t.limit(1))
+    lacking = {r.path for r in files.release_file_violations(spark, f"file://{tmp_path}/part").filter("violation = 'incomplete release'").collect()}
+    assert lacking == set(files.REQUIRED) - {"forecast"}
+
+
+@pytest.mark.parametrize(
+    ("change", "violation"),
+    [({}, None), ({"experiment_scope": ["x"]}, "experiment scope differs"), ({"origin_date": date(2026, 3, 6)}, "origin before the evaluation's end"), ({"categories": ["a", "b"]}, "categories without a forecast")],
+)
+def test_publication_rules(spark, change, violation):
+    settings = {"experiment_scope": ["a"], "release_scope": ["a"], "categories": ["a"], "origin_date": date(2026, 3, 7), "evaluation_last_origin": date(2026, 2, 28)} | change
+    row = spark.createDataFrame([tuple(settings.values())], "experiment_scope array<string>, release_scope array<string>, categories array<string>, origin_date date, evaluation_last_origin date")
+    forecast = spark.createDataFrame([("a",)], "category string")
+    assert [r.violation for r in rl.publication_violations(row, forecast, forecast.limit(0)).collect()] == ([violation] if violation else [])
+    assert "incomplete baseline comparison" in [r.violation for r in rl.publication_violations(row, forecast, forecast).collect()]
+
+
+def test_a_release_checks_every_models_quantities(spark):
+    o = date(2026, 3, 7)
+    releases = spark.createDataFrame([("r", 1, "gbt", o, "X", ["a"], o)], "release_id string, version int, policy string, origin_date date, area string, categories array<string>, model_cutoff date")
+    rows = [("r", o, o + timedelta(days=i), "a", "X", 1.0, 1.0, -1.0 if i == 3 else 1.0) for i in range(1, 8)]
+    forecasts = spark.createDataFrame(rows, "release_id string, origin_date date, target_date date, category string, area string, seasonal_naive double, weekday_mean_4w double, gbt double")
+    assert [r.violation for r in rl.release_violations(releases, forecasts).collect()] == ["invalid quantities"]
+    assert [r.violation for r in rl.release_violations(releases, forecasts.drop("gbt")).collect()] == ["invalid quantities"]
+    assert rl.release_violations(releases, forecasts.withColumn("gbt", F.lit(2.0))).isEmpty()
+
+
+def test_strip_takes_any_white_space(spark):
+    row = nz.normalize_requests(raw(spark, {"complaint_type": "  Noise  "})).first()
+    assert row.complaint_type == "Noise"
+
+
+def test_a_runs_checksum_follows_order_and_content(spark):
+    rows = [(1, i, i % 7, f"h{i}", "P") for i in range(50)]
+    first = cl.run_checksum(spark.createDataFrame(rows, STAGE)).first().checksum
+    assert cl.run_checksum(spark.createDataFrame(rows[::-1], STAGE).repartition(5)).first().checksum == first
+    swapped = [(1, 1, 0, "h0", "P"), (1, 0, 1, "h1", "P"), *rows[2:]]
+    assert cl.run_checksum(spark.createDataFrame(swapped, STAGE)).first().checksum != first
+
+
+def test_lines_of_a_split_page_keep_their_order(spark, tmp_path):
+    n = 3000
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"unique_key": str(i), "descriptor": "x" * 40}) + "\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        pages = files.read_request_pages(spark, f"file://{tmp_path}/p.jsonl")
+        assert pages.rdd.getNumPartitions() > 3
+        assert [int(r.unique_key) for r in pages.orderBy("ordinal").select("unique_key").collect()] == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
