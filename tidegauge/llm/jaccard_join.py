@@ -29,14 +29,16 @@ from .words import U, blocks, by_key, mix, shingles
 
 #: Bytes of text a range of tokens stands for on average; tokens in a block of documents; sets in a chunk of a large class;
 #: bytes of tokens in a task of small classes, and the least number of such tasks.
-TOKEN_BLOCK_BYTES = 8 << 20
-BLOCK_TOKENS = 1 << 20
+TOKEN_BLOCK_BYTES = 16 << 20
+BLOCK_TOKENS = 1 << 21
 CHUNK_SETS = 512
 TASK_BYTES, LEAST_TASKS = 4 << 20, 64
 #: A class of fewer sets is large, too, if its tokens take so many bytes.
 LARGE_BYTES = 64 << 20
 #: Coarse class members that go to all executors (48 bytes each) to pick out their texts; beyond it, a shuffle join does.
 BROADCAST_MEMBERS = 1 << 20
+#: A group of copies that holds more than one document in so many is hot: there are fewer than so many of them.
+HOT_GROUPS = 2000
 #: Sets of a large class that all its others are compared with first.
 PIVOTS = 8
 _LOW = U(0xFFFFFFFF)
@@ -126,18 +128,25 @@ def _held(rows: pd.DataFrame) -> pd.DataFrame:
     bucket = int(rows["bucket"].iloc[0])
     if bucket < 0:
         return rows
-    ones, shared = [], []
+    entries, keys, shared, first = [], [], [], 0
     for at, r in enumerate(rows.itertuples(index=False)):
         counts, many = np.frombuffer(r.counts, np.uint32), np.frombuffer(r.many, np.uint32)
-        ones.append((np.repeat(np.frombuffer(r.docs, np.uint16), counts), np.repeat(np.frombuffer(r.names, np.int64), counts), np.frombuffer(r.tokens, np.uint32), np.full(int(counts.sum()), at, np.int32)))
+        entries.append((np.frombuffer(r.docs, np.uint16), np.frombuffer(r.names, np.int64), np.full(len(counts), at, np.int32)))
+        # a token and the entry of its set (a set in a block) in one number
+        keys.append((np.frombuffer(r.tokens, np.uint32).astype(U) << U(32)) | np.repeat(np.arange(first, first + len(counts), dtype=U), counts))
+        first += len(counts)
         shared.append((many, np.frombuffer(r.many_counts, np.uint16), np.full(len(many), at, np.int32)))
-    doc, name, token, at = (np.concatenate(x) for x in zip(*ones, strict=True))
+    doc, name, at = (np.concatenate(x) for x in zip(*entries, strict=True))
     many, many_n, many_at = (np.concatenate(x) for x in zip(*shared, strict=True))
-    order = _in_order(token.astype(U) << U(32))
-    token, name = token[order], name[order]
+    key = np.concatenate(keys)
+    del keys
+    key.sort()
+    token, entry = (key >> U(32)).astype(np.uint32), (key & _LOW).astype(np.uint32)
+    del key
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
     size = np.diff(np.append(start, len(token)))
-    held = np.minimum.reduceat(name, start) != np.maximum.reduceat(name, start) if len(start) else np.zeros(0, bool)
+    own = name[entry]
+    held = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start) if len(start) else np.zeros(0, bool)
     # a token's sets in all: those of blocks where one has it, and of blocks where several do
     found, place = np.unique(many, return_inverse=True)
     total = np.bincount(place, many_n, len(found)).astype(np.int64)
@@ -150,13 +159,13 @@ def _held(rows: pd.DataFrame) -> pd.DataFrame:
         held |= also
     held = np.repeat(held, size)
     df = np.repeat(np.minimum(both, 65535).astype(np.uint16), size)[held]
-    order, token = order[held], token[held]
+    entry, token = entry[held], token[held]
     many_df = np.minimum(total, 65535).astype(np.uint16)[place]
-    own, some = dict(by_key(at[order])), dict(by_key(many_at))
+    own, some = dict(by_key(at[entry])), dict(by_key(many_at))
     none, out = np.zeros(0, np.int64), []
     for i in sorted({*own, *some}):
         a, m = own.get(i, none), some.get(i, none)
-        out.append((bucket, int(rows["block"].iloc[i]), doc[order[a]].tobytes(), df[a].tobytes(), b"", token[a].tobytes(), b"", many_df[m].tobytes()))
+        out.append((bucket, int(rows["block"].iloc[i]), doc[entry[a]].tobytes(), df[a].tobytes(), b"", token[a].tobytes(), b"", many_df[m].tobytes()))
     return pd.DataFrame(out, columns=list(rows.columns))
 
 
@@ -311,8 +320,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, per: int = 80, id_col: str =
     small = sets.filter(~large).groupBy(F.pmod(F.xxhash64("class"), F.lit(tasks)).alias("task")).applyInPandas(_class_links(per), "a long, b long")
     links = small.unionByName(_large_links(sets.filter(large).select("class", "sets", "doc_id", F.expr("octet_length(tokens) div 8").alias("n"), "tokens"), rare.select("doc_id", "token"), per))
     final = components(links)
-    many = heads.filter("copies > 1").select("k1", "k2", "n", "head")
-    out = about.select("doc_id", "n", "k1", "k2").join(many, ["k1", "k2", "n"], "left").withColumn("head", F.coalesce("head", "doc_id"))
+    many = stored(heads.filter("copies > 1"), "copies")
+    # groups of very many copies are few, and meet their documents without a shuffle
+    hot = F.col("copies") * HOT_GROUPS > about.count()
+    names, one = ["k1", "k2", "n"], about.select("doc_id", "n", "k1", "k2")
+    near = one.join(F.broadcast(many.filter(hot).select(*names, F.col("head").alias("hot"))), names, "left")
+    far = near.filter("hot is null").drop("hot").join(many.filter(~hot).select(*names, "head"), names, "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head"))
+    out = near.filter("hot is not null").select("doc_id", "n", F.col("hot").alias("head")).unionByName(far)
     out = out.join(final, F.col("head") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
     lone = nameless.mapInArrow(_sizes(k), "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lone)
