@@ -299,8 +299,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, per: int = 80, id_col: str =
     named, nameless = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-size // TOKEN_BLOCK_BYTES))
-    held = named.mapInArrow(_packed(k, buckets), _SHAPE).groupBy("bucket").applyInPandas(_held, _SHAPE)
-    about = stored(held.groupBy("block").applyInPandas(_rare(per, buckets), "doc_id long, n long, k1 long, k2 long, rare array<bigint>"), "sets")
+    # as many tasks as ranges, so that a task reads no more of a larger table
+    held = named.mapInArrow(_packed(k, buckets), _SHAPE).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_held, _SHAPE)
+    about = stored(held.repartition(buckets, "block").groupBy("block").applyInPandas(_rare(per, buckets), "doc_id long, n long, k1 long, k2 long, rare array<bigint>"), "sets")
     # copies of a set are one set; its documents follow their smallest
     full = about.filter("n > 0")
     heads = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
