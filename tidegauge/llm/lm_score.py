@@ -237,12 +237,14 @@ def running_scores(units: DataFrame) -> DataFrame:
     size = units.agg(F.coalesce(F.sum(F.aggregate("n_bytes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(16, -(-size // BUCKET_BYTES))
     grams = units.select("unit", "held_out", "n_bytes", "stream").mapInArrow(_grams(buckets), "unit long, bucket long, size long, code binary, n binary")
-    tables = stored(grams.groupBy("bucket").applyInArrow(lambda rows: _bucket(rows).append_column("bucket", rows["bucket"].combine_chunks()[:1]), f"{_BUCKET}, bucket long"), "contexts")
+    # as many tasks as buckets, so that a task reads no more of a larger corpus
+    tables = stored(grams.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: _bucket(rows).append_column("bucket", rows["bucket"].combine_chunks()[:1]), f"{_BUCKET}, bucket long"), "contexts")
     top = tables.select(F.explode(F.arrays_zip(*_SUMS)).alias("s")).select("s.*").groupBy("top").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]])
     nodes = top.toArrow()  # nodes of two context bytes: at most 2^16 contexts, whatever the corpus
     sent = spark.sparkContext.broadcast(Top(*(nodes[x].to_numpy().astype(U if x == "top" else np.int64) for x in _SUMS)) if len(nodes) else None)
     prices = tables.select("bucket", "size", "code", "n", "units", "sizes", "places").mapInArrow(_priced(sent), "unit long, bucket long, size long, price binary")
-    return units.select("unit", "n_bytes", "stream").groupBy("unit").cogroup(prices.groupBy("unit")).applyInArrow(_summed(buckets), "row long, score double")
+    streams = units.select("unit", "n_bytes", "stream").repartition(buckets, "unit")
+    return streams.groupBy("unit").cogroup(prices.repartition(buckets, "unit").groupBy("unit")).applyInArrow(_summed(buckets), "row long, score double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
