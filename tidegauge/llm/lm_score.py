@@ -2,7 +2,7 @@
 
 The corpus is counted whole: words with counts meet in one shuffle, contexts of running text with counts in a second
 one, dealt by their newest bytes. Every context counts, and each bucket of them is weighted in a task of its own; only the
-nodes of up to two context bytes go to all executors. What texts ask for travels with what they teach, and the scores
+nodes above those bytes go to all executors. What texts ask for travels with what they teach, and the scores
 travel back. Of the word counts, the most frequent HEAD words go to all executors; the other words of each text meet
 their counts in a join.
 """
@@ -29,6 +29,8 @@ UNIT_BYTES = 5 << 20
 BUCKET_BYTES = 8 << 20
 VOCABULARY_BYTES = 12 << 20
 UNIT_POSITIONS = 1 << 18
+#: Newest context bytes by which contexts are dealt, if the nodes above are so many at most (32 bytes each go to all executors); beyond it, one byte less.
+TOP, TOP_NODES = 4, 1 << 22
 #: Scores of bytes travel in steps of this part of a bit, as fine as single floats near one.
 PRICE_STEPS = float(1 << 16)
 
@@ -156,7 +158,7 @@ def _units(sent_head):
     return run
 
 
-def _grams(buckets: int):
+def _grams(buckets: int, top: int):
     """Per unit and bucket: the distinct codes of all its texts, and how often those learnt from have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def _grams(buckets: int):
                 learnt = ~batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool)
                 found = [(own.code, own.sums(learnt[row])) for row, own in unit_parts(_unpacked(batch.column(3)[i].as_py(), int((size + DEPTH).sum()), np.uint8), size)]
                 code, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                rows = [(j, len(at), _packed(code[at]), _packed(n[at])) for j, at in by_key(bucket_of(code, buckets))]
+                rows = [(j, len(at), _packed(code[at]), _packed(n[at])) for j, at in by_key(bucket_of(code, buckets, top))]
                 del found, code, n
                 pa.default_memory_pool().release_unused()
                 unit = batch.column(0)[i].as_py()
@@ -182,13 +184,13 @@ _SUMS = ("top", "zeros", "ones", "below")
 _BUCKET = "size long, code binary, n binary, units array<bigint>, sizes array<bigint>, places array<binary>, " + ", ".join(f"{x} array<bigint>" for x in _SUMS)
 
 
-def _bucket(rows: pa.Table) -> pa.Table:
+def _bucket(rows: pa.Table, top: int) -> pa.Table:
     """One bucket of all units: distinct codes, counts, each unit's places among them, and sums for the nodes above."""
     units, sizes = rows["unit"].to_pylist(), rows["size"].to_pylist()
     given = np.concatenate([_unpacked(x.as_py(), k, U) for x, k in zip(rows["code"], sizes, strict=True)])
     counts = np.concatenate([_unpacked(x.as_py(), k, np.int64) for x, k in zip(rows["n"], sizes, strict=True)])
     code, n, at = merged(given, counts)
-    sums = total_sums([Subtrees(code[s], n[s]).sums() for s in runs(code, UNIT_POSITIONS)])
+    sums = total_sums([Subtrees(code[s], n[s], top).sums() for s in runs(code, UNIT_POSITIONS, top)])
     places = [_packed(np.diff(x, prepend=0).astype(np.uint32)) for x in np.split(at, np.cumsum(sizes)[:-1])]
     own = {"size": [len(code)], "code": [_packed(code)], "n": [_packed(n)], "units": [units], "sizes": [sizes], "places": [places]}
     own |= {k: [x.astype(np.int64)] for k, x in zip(_SUMS, sums, strict=True)}
@@ -197,14 +199,18 @@ def _bucket(rows: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, types[k]) for k, v in own.items()})
 
 
-def _priced(sent):
+def _dealt(top: int):
+    return lambda rows: _bucket(rows, top).append_column("bucket", rows["bucket"].combine_chunks()[:1])
+
+
+def _priced(sent, top: int):
     """The scores of each unit's codes, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 code, n = _unpacked(r["code"], r["size"], U), _unpacked(r["n"], r["size"], np.int64)
-                log = np.concatenate([Subtrees(code[s], n[s]).log2(sent.value) for s in runs(code, UNIT_POSITIONS)])
+                log = np.concatenate([Subtrees(code[s], n[s], top).log2(sent.value) for s in runs(code, UNIT_POSITIONS, top)])
                 log = np.rint(log * PRICE_STEPS).astype(np.int32)
                 prices = [_packed(log[np.cumsum(_unpacked(p, k, np.uint32), dtype=np.int64)]) for p, k in zip(r["places"], r["sizes"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(r["units"], pa.int64()), pa.array([r["bucket"]] * len(prices), pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(prices, pa.binary())], ["unit", "bucket", "size", "price"])
@@ -212,7 +218,7 @@ def _priced(sent):
     return run
 
 
-def _summed(buckets: int):
+def _summed(buckets: int, top: int):
     """A unit's texts with the scores of their codes: one score per row."""
 
     def run(unit: pa.Table, prices: pa.Table) -> pa.Table:
@@ -221,7 +227,7 @@ def _summed(buckets: int):
         used, score = dict.fromkeys(price, 0), np.zeros(len(size))
         for row, own in unit_parts(_unpacked(unit["stream"][0].as_py(), int((size + DEPTH).sum()), np.uint8), size):
             log = np.empty(len(own.code))
-            for j, at in by_key(bucket_of(own.code, buckets)):  # a bucket's codes come in order of the parts
+            for j, at in by_key(bucket_of(own.code, buckets, top)):  # a bucket's codes come in order of the parts
                 log[at] = price[j][used[j] : used[j] + len(at)]
                 used[j] += len(at)
             score += own.per_row(log, row, len(size))
@@ -236,15 +242,19 @@ def running_scores(units: DataFrame) -> DataFrame:
     spark = units.sparkSession
     size = units.agg(F.coalesce(F.sum(F.aggregate("n_bytes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(16, -(-size // BUCKET_BYTES))
-    grams = units.select("unit", "held_out", "n_bytes", "stream").mapInArrow(_grams(buckets), "unit long, bucket long, size long, code binary, n binary")
-    # as many tasks as buckets, so that a task reads no more of a larger corpus
-    tables = stored(grams.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: _bucket(rows).append_column("bucket", rows["bucket"].combine_chunks()[:1]), f"{_BUCKET}, bucket long"), "contexts")
-    top = tables.select(F.explode(F.arrays_zip(*_SUMS)).alias("s")).select("s.*").groupBy("top").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]])
-    nodes = top.toArrow()  # nodes of two context bytes: at most 2^16 contexts, whatever the corpus
-    sent = spark.sparkContext.broadcast(Top(*(nodes[x].to_numpy().astype(U if x == "top" else np.int64) for x in _SUMS)) if len(nodes) else None)
-    prices = tables.select("bucket", "size", "code", "n", "units", "sizes", "places").mapInArrow(_priced(sent), "unit long, bucket long, size long, price binary")
+    for top in (TOP, TOP - 1):
+        grams = units.select("unit", "held_out", "n_bytes", "stream").mapInArrow(_grams(buckets, top), "unit long, bucket long, size long, code binary, n binary")
+        # as many tasks as buckets, so that a task reads no more of a larger corpus
+        dealt = grams.repartition(buckets, "bucket").groupBy("bucket")
+        tables = stored(dealt.applyInArrow(_dealt(top), f"{_BUCKET}, bucket long"), "contexts")
+        above = stored(tables.select(F.explode(F.arrays_zip(*_SUMS)).alias("s")).select("s.*").groupBy("top").agg(*[F.sum(x).alias(x) for x in _SUMS[1:]]), "nodes")
+        if above.count() <= TOP_NODES:
+            break
+    nodes = above.toArrow()  # at most TOP_NODES, or those of two context bytes: 2^16 contexts, whatever the corpus
+    sent = spark.sparkContext.broadcast(Top(*(nodes[x].to_numpy().astype(U if x == "top" else np.int64) for x in _SUMS), top) if len(nodes) else None)
+    prices = tables.select("bucket", "size", "code", "n", "units", "sizes", "places").mapInArrow(_priced(sent, top), "unit long, bucket long, size long, price binary")
     streams = units.select("unit", "n_bytes", "stream").repartition(buckets, "unit")
-    return streams.groupBy("unit").cogroup(prices.repartition(buckets, "unit").groupBy("unit")).applyInArrow(_summed(buckets), "row long, score double")
+    return streams.groupBy("unit").cogroup(prices.repartition(buckets, "unit").groupBy("unit")).applyInArrow(_summed(buckets, top), "row long, score double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

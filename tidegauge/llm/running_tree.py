@@ -2,7 +2,7 @@
 
 Nodes and estimates are those of ``context_tree``; contexts are the DEPTH bytes before a byte, across words, with START
 before a text. A code holds them newest first, then the byte, so that a sorted run of codes is a subtree. Subtrees below
-TOP context bytes are dealt out by those bytes; the nodes above them are few and are weighted in one place. Codes that
+some context bytes (``top`` of them) are dealt out by those bytes; the nodes above are few and are weighted in one place. Codes that
 were only asked for have count 0: they change no estimate and take the chance of the deepest node that has counts.
 """
 
@@ -15,7 +15,6 @@ import numpy as np
 from .context_tree import DEPTH, START, TEXT_END, WORD_END, counted, log_kt
 from .words import U, Block, mix
 
-TOP = 3
 #: Places of a unit that are worked on together, more or less.
 PART_PLACES = 1 << 20
 _CHANGE = np.asarray([*(i.bit_length() for i in range(256)), 9], np.uint8)
@@ -102,16 +101,17 @@ class Entries:
         return np.bincount(row[self.place], np.repeat(own, np.diff(np.append(self.head, len(self.place)))), rows)
 
 
-def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(code >> U(64 - 8 * TOP)) % U(buckets)).astype(np.int64)
+def bucket_of(code: np.ndarray, buckets: int, top: int) -> np.ndarray:
+    return (mix(code >> U(64 - 8 * top)) % U(buckets)).astype(np.int64)
 
 
 class Subtrees:
-    """Subtrees from TOP context bytes on, over all codes below some of those contexts."""
+    """Subtrees from ``top`` context bytes on, over all codes below some of those contexts."""
 
-    def __init__(self, code: np.ndarray, n: np.ndarray):
+    def __init__(self, code: np.ndarray, n: np.ndarray, top: int):
+        self.top = top
         self.key, self.n, self.up = {DEPTH: code}, {DEPTH: n}, {}
-        for d in range(DEPTH, TOP, -1):
+        for d in range(DEPTH, top, -1):
             k = self.key[d]
             self.key[d - 1], self.up[d] = np.unique(((k >> U(16)) << U(8)) | (k & U(255)), return_inverse=True)
             self.n[d - 1] = np.bincount(self.up[d], self.n[d], len(self.key[d - 1])).astype(np.int64)
@@ -122,16 +122,16 @@ class Subtrees:
     def _bit(self, j: int):
         """Per depth, of the nodes with j leading bits: first row, node of each row, zeros, ones, parent; and weights and shares."""
         head, node, zeros, ones, above, weight, share = {}, {}, {}, {}, {}, {}, {}
-        for d in range(TOP, DEPTH + 1):
+        for d in range(self.top, DEPTH + 1):
             n = self.n[d]
             new = self.change[d] > 8 - j
             head[d], node[d] = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
             total = np.add.reduceat(n, head[d])
             ones[d] = np.add.reduceat(np.where(self.byte[d] & np.uint8(1 << (7 - j)), n, 0), head[d])
             zeros[d] = total - ones[d]
-            if d > TOP:
+            if d > self.top:
                 above[d] = node[d - 1][self.up[d][head[d]]]
-        for d in range(DEPTH, TOP - 1, -1):
+        for d in range(DEPTH, self.top - 1, -1):
             own = log_kt(zeros[d], ones[d])
             if d == DEPTH:
                 weight[d], share[d] = own, np.ones(len(own))
@@ -140,7 +140,7 @@ class Subtrees:
                 e = np.exp(-np.abs(more))
                 weight[d] = own + np.maximum(more, 0) + np.log((1 + e) / 2)
                 share[d] = np.where(more > 0, e, 1.0) / (1 + e)
-        k = self.key[TOP][head[TOP]]
+        k = self.key[self.top][head[self.top]]
         parent = ((k >> U(16)) << U(8)) | U(1 << j) | ((k & U(255)) >> U(8 - j))
         return head, node, zeros, ones, above, weight, share, parent
 
@@ -150,18 +150,18 @@ class Subtrees:
         for j in range(8):
             _, _, zeros, ones, _, weight, _, parent = self._bit(j)
             k, at = np.unique(parent, return_inverse=True)
-            found.append((k, *(np.bincount(at, x, len(k)).astype(np.int64) for x in (zeros[TOP], ones[TOP], np.rint(weight[TOP] * STEPS)))))
+            found.append((k, *(np.bincount(at, x, len(k)).astype(np.int64) for x in (zeros[self.top], ones[self.top], np.rint(weight[self.top] * STEPS)))))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def log2(self, top: Top) -> np.ndarray:
+    def log2(self, above_all: Top) -> np.ndarray:
         """log2 of the chance of each code's byte after its context."""
         out = np.zeros(len(self.key[DEPTH]))
         for j in range(8):
             _, node, zeros, ones, above, _, share, parent = self._bit(j)
-            at = np.searchsorted(top.key, parent)
-            mass, sure, chance = top.mass[at], top.sure[at], top.chance[at]
-            for d in range(TOP, DEPTH + 1):
-                if d > TOP:
+            at = np.searchsorted(above_all.key, parent)
+            mass, sure, chance = above_all.mass[at], above_all.sure[at], above_all.chance[at]
+            for d in range(self.top, DEPTH + 1):
+                if d > self.top:
                     mass, sure, chance = mass[above[d]], sure[above[d]], chance[above[d]]
                 total = zeros[d] + ones[d]
                 kt = (ones[d] + 0.5) / (total + 1.0)
@@ -173,13 +173,13 @@ class Subtrees:
 
 
 class Top:
-    """The nodes above: belief left to deeper nodes, chance already sure, and chance where the path ends, at TOP - 1 bytes."""
+    """The nodes above: belief left to deeper nodes, chance already sure, and chance where the path ends, at ``top`` - 1 bytes."""
 
-    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int):
         order = np.argsort(key)
         keys, z, o, deep = [key[order]], [zeros[order]], [ones[order]], below[order] / STEPS
         above, share = [], []
-        for d in range(TOP - 1, -1, -1):
+        for d in range(top - 1, -1, -1):
             own = log_kt(z[-1], o[-1])
             both = np.logaddexp(own, deep)
             share.append(np.exp(own - both))
@@ -191,8 +191,8 @@ class Top:
                 o.append(np.bincount(at, o[-1], len(up)).astype(np.int64))
                 keys.append(up)
         mass, sure, chance = np.ones(len(keys[-1])), np.zeros(len(keys[-1])), np.full(len(keys[-1]), 0.5)
-        for i in range(TOP - 1, -1, -1):
-            if i < TOP - 1:
+        for i in range(top - 1, -1, -1):
+            if i < top - 1:
                 mass, sure, chance = mass[above[i]], sure[above[i]], chance[above[i]]
             total = z[i] + o[i]
             kt = (o[i] + 0.5) / (total + 1.0)
@@ -201,10 +201,10 @@ class Top:
         self.key, self.mass, self.sure, self.chance = keys[0], mass, sure, chance
 
 
-def runs(code: np.ndarray, most: int) -> Iterator[slice]:
+def runs(code: np.ndarray, most: int, top: int) -> Iterator[slice]:
     """Whole subtrees of sorted codes, some at a time: at most so many codes, or one subtree."""
-    top = code >> U(64 - 8 * TOP)
-    heads = np.append(np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])), len(code)) if len(code) else np.zeros(1, np.int64)
+    lead = code >> U(64 - 8 * top)
+    heads = np.append(np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])), len(code)) if len(code) else np.zeros(1, np.int64)
     a = 0
     while a < len(heads) - 1:
         b = max(a + 1, int(np.searchsorted(heads, heads[a] + most, "right")) - 1)
