@@ -292,3 +292,13 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert out.filter("not lossless").isEmpty() and out.filter("doc_id = 6").first().n_pieces > 100_000
             continue
         docs = out
+
+
+def test_lm_scores_do_not_depend_on_how_contexts_are_dealt(spark, monkeypatch):
+    from tidegauge.llm import lm_score
+
+    df = frame(spark, [prose(20) for _ in range(30)] + [None, ""])
+    want = {r.doc_id: r.score for r in score_texts(df).collect()}
+    monkeypatch.setattr(lm_score, "TOP_NODES", 0)
+    got = {r.doc_id: r.score for r in score_texts(df).collect()}
+    assert all(abs(got[i] - s) < 1e-5 * max(1, -s) for i, s in want.items())
