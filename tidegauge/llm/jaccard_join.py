@@ -37,7 +37,7 @@ TASK_BYTES, LEAST_TASKS = 4 << 20, 64
 LARGE_BYTES = 64 << 20
 #: Coarse class members that go to all executors (48 bytes each) to pick out their texts; beyond it, a shuffle join does.
 BROADCAST_MEMBERS = 1 << 20
-#: A group of copies that holds more than one document in so many is hot: there are fewer than so many of them.
+#: A group of copies, or of sets with a token, that holds more than one row in so many is hot: there are fewer than so many of them.
 HOT_GROUPS = 2000
 #: Sets of a large class that all its others are compared with first.
 PIVOTS = 8
@@ -286,6 +286,15 @@ def _large_links(sets: DataFrame, rare: DataFrame, per: int) -> DataFrame:
     return met.unionByName(links)
 
 
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, value: str, total: int) -> DataFrame:
+    """``rows`` with ``value`` of the group that has their keys, null where there is none. Groups of very many rows are few, and
+    meet them without a shuffle."""
+    hot = F.col(size) * HOT_GROUPS > total
+    near = rows.join(F.broadcast(groups.filter(hot).select(*keys, F.col(value).alias("found"))), keys, "left")
+    far = near.filter("found is null").drop("found").join(groups.filter(~hot).select(*keys, value), keys, "left").select(*rows.columns, value)
+    return near.filter("found is not null").select(*rows.columns, F.col("found").alias(value)).unionByName(far)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, per: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -307,8 +316,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, per: int = 80, id_col: str =
     heads = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     rare = full.filter("rare is not null").join(heads, ["k1", "k2", "n"]).filter(F.col("doc_id") == F.col("head"))
     rare = stored(rare.select("doc_id", "k1", "k2", "n", F.explode(F.array_distinct("rare")).alias("token")), "rare")
-    groups = rare.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).filter(F.col("b") < F.col("most"))
-    coarse = components(rare.join(groups, "token").select(F.col("doc_id").alias("a"), "b"))
+    groups = stored(rare.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most"), F.count("*").alias("size")).filter(F.col("b") < F.col("most")), "groups")
+    coarse = components(_met(rare.select("doc_id", "token"), groups, ["token"], "size", "b", rare.count()).filter("b is not null").select(F.col("doc_id").alias("a"), "b"))
     members = stored(rare.select("doc_id", "k1", "k2", "n").distinct().join(coarse, F.col("doc_id") == F.col("id")).select("doc_id", F.col("component").alias("class"), "k1", "k2", "n"), "members")
     classes = members.groupBy("class").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens_n"))
     total = members.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -322,12 +331,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, per: int = 80, id_col: str =
     links = small.unionByName(_large_links(sets.filter(large).select("class", "sets", "doc_id", F.expr("octet_length(tokens) div 8").alias("n"), "tokens"), rare.select("doc_id", "token"), per))
     final = components(links)
     many = stored(heads.filter("copies > 1"), "copies")
-    # groups of very many copies are few, and meet their documents without a shuffle
-    hot = F.col("copies") * HOT_GROUPS > about.count()
-    names, one = ["k1", "k2", "n"], about.select("doc_id", "n", "k1", "k2")
-    near = one.join(F.broadcast(many.filter(hot).select(*names, F.col("head").alias("hot"))), names, "left")
-    far = near.filter("hot is null").drop("hot").join(many.filter(~hot).select(*names, "head"), names, "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head"))
-    out = near.filter("hot is not null").select("doc_id", "n", F.col("hot").alias("head")).unionByName(far)
+    met = _met(about.select("doc_id", "n", "k1", "k2"), many, ["k1", "k2", "n"], "copies", "head", about.count())
+    out = met.select("doc_id", "n", F.coalesce("head", "doc_id").alias("head"))
     out = out.join(final, F.col("head") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
     lone = nameless.mapInArrow(_sizes(k), "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lone)
