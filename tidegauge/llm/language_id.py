@@ -23,6 +23,8 @@ from .words import row_runs, text_buffers
 TRAIN_ROWS, TRAIN_PER_LANGUAGE = 1600, 300
 LANDMARK_ROWS, LANDMARKS_PER_LANGUAGE = 400, 64
 SAMPLE_CHARS = 20_000
+#: Languages whose counts go to all executors; more of them meet their rows in a shuffle.
+SENT_LANGUAGES = 1 << 16
 RIDGE = 1e-2
 
 
@@ -114,7 +116,7 @@ def sample(docs: DataFrame, id_col: str, lang_col: str, *last: str) -> DataFrame
     most = max(4, min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(1, langs)))
     # first a thinning to a few times what is wanted, so that no language's rows meet in one task
     u = F.pmod(spread, F.lit(1 << 30)) / float(1 << 30)
-    thin = docs.join(F.broadcast(counts), lang_col).filter(u * F.col("_n") < 3 * most + 20).withColumn("_spread", spread)
+    thin = docs.join(F.broadcast(counts) if langs <= SENT_LANGUAGES else counts, lang_col).filter(u * F.col("_n") < 3 * most + 20).withColumn("_spread", spread)
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(*last, "_spread", id_col))
     marks = max(2, min(LANDMARKS_PER_LANGUAGE, LANDMARK_ROWS // max(1, langs)))
     return thin.withColumn("_rank", rank).filter(F.col("_rank") <= most).withColumn("_mark", F.col("_rank") <= marks)
