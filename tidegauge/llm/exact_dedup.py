@@ -23,6 +23,8 @@ from ..sources.shared import stored
 SHARD_BITS = 1 << 20
 #: Bytes of a filter sent to all executors (16 bits a row: 33 million rows); more rows are filtered in more turns.
 FILTER_BYTES = 64 << 20
+#: A filter is not cut smaller than this.
+LEAST_BYTES = 128
 #: Rows whose hits are merged in a task before they shuffle.
 TASK_ROWS = 4 << 20
 #: A group that holds more than one row in so many is hot: there are fewer than so many of them.
@@ -124,7 +126,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.count()
-    turns = max(1, -(-rows * 2 // FILTER_BYTES))
+    turns = max(1, -(-rows * 2 // max(FILTER_BYTES, LEAST_BYTES)))
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("h"))
     # digests are read several times, texts once; a turn reads its own range of hashes
     if turns == 1:
