@@ -200,7 +200,7 @@ def test_licence_chances_by_loops(licence_model):
     for t in ("Released under the MIT License.", "ab cd the GNU General Public License ef", prose(12), "Licensed under the Foo License"):
         grams, row = licences._grams([t])
         found, place = m.find(grams)
-        number, family, chance, _ = m.judge(row[found], place)
+        number, family, chance, *_ = m.judge(row[found], place)
         z = np.sum([weight[int(h)] for h in set(grams.tolist()) if int(h) in weight], axis=0) + m.constant if len(found) else m.constant
         p = np.exp(z / m.heat - (z / m.heat).max())
         p /= p.sum()
