@@ -25,7 +25,7 @@ from .words import U, blocks, by_key, mix
 HEAD = 1 << 19
 #: Bytes of text that are counted and scored together, bytes of text for which there is one bucket, bytes of text whose
 #: words are told apart together, and codes weighted at a time.
-UNIT_BYTES = 5 << 20
+UNIT_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 VOCABULARY_BYTES = 12 << 20
 UNIT_POSITIONS = 1 << 18
