@@ -13,10 +13,12 @@ from .language_id import identify
 from .licences import scan
 from .line_dedup import dedup_lines
 from .lm_score import score_texts
+from .merkle import verified_rows
 from .mixing import mix_rates
 from .pieces import encode_and_decode, fallback_count, load
 from .quality import quality
 from .topk_search import quantised, top_k
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_rows(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_topk_search": op2_topk_search,
@@ -91,9 +101,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_score": op10_lm_score,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
+
+
+def _merkle_sql(levels: int = 8, top: int = 4) -> str:
+    """SQL of operator 12 for up to 8 ** levels rows of a language and 8 ** top languages; every level is a table of its own here."""
+
+    def value(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    parts = [
+        # CRC-32 of the id as text, a byte at a time with its table of 256 entries
+        "t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)",
+        "c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),"
+        " lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM documents, t)",
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf('altered')} AS altered FROM (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, '{letters}', '{letters.lower()}') ELSE text END AS altered FROM c))",
+        "f0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, altered AS h, '' AS proof FROM d)",
+        "a0 AS (SELECT lang, p, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM f0)",
+    ]
+
+    def level(nodes: str, rows: str, k: int, key: str) -> None:
+        """The level above of the nodes, and the rows folded so far."""
+        parts.append(f"{nodes}r{k} AS (SELECT {key}, p // 8 AS b, list(h ORDER BY p) AS hs, max(n) AS n FROM {nodes}{k} GROUP BY {key}, p // 8)")
+        parts.append(f"{nodes}{k + 1} AS (SELECT {key}, b AS p, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE n END AS n FROM {nodes}r{k})")
+        before, after = "array_to_string(r.hs[1:f.p % 8], '')", "array_to_string(r.hs[f.p % 8 + 2:], '')"
+        parts.append(
+            f"{rows}{k + 1} AS (SELECT f.* REPLACE (f.p // 8 AS p, CASE WHEN r.n > 1 THEN sha256({before} || f.h || {after}) ELSE f.h END AS h, CASE WHEN r.n > 1 THEN f.proof || {before} || {after} ELSE f.proof END AS proof)"
+            f" FROM {rows}{k} f JOIN {nodes}r{k} r ON f.{key} IS NOT DISTINCT FROM r.{key} AND f.p // 8 = r.b)"
+        )
+
+    for k in range(levels):
+        level("a", "f", k, "lang")
+    parts.append(f"s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p FROM a{levels})")
+    parts.append("b0 AS (SELECT 1 AS one, p, subroot AS h, count(*) OVER () AS n FROM s)")
+    parts.append(f"g0 AS (SELECT 1 AS one, doc_id, leaf, subroot, s.p, f.h, f.proof FROM f{levels} f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang)")
+    for k in range(top):
+        level("b", "g", k, "one")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, (SELECT h FROM b{top}) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM b{top}) AS verified FROM g{top}"
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op2_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
