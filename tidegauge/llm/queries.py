@@ -17,6 +17,7 @@ from .merkle import verified_rows
 from .mixing import mix_rates
 from .pieces import encode_and_decode, fallback_count, load
 from .quality import quality
+from .substring_dedup import dedup_substrings
 from .topk_search import quantised, top_k
 from .whitening import whiten
 
@@ -82,6 +83,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 bytes."""
+    return dedup_substrings(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_rows(_table(spark, sf_dir, "documents"))
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

@@ -127,3 +127,16 @@ def shingles(word: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             out = out * U(0x2545F4914F6CDD1D) + word[i : len(word) - k + 1 + i]
         return mix(out)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, which compress well."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    """``n`` numbers of ``packed``."""
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T).view(kind).ravel()
