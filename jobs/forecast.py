@@ -1,42 +1,31 @@
-"""spark-submit jobs/forecast.py SERIES OUT ORIGIN: choose a challenger on the four weeks before the origin, refit, publish a week's forecast."""
+"""spark-submit jobs/forecast.py SERIES OUT ORIGIN: choose a challenger on four weeks, evaluate it on the four after, refit, publish a week's forecast."""
 
 import sys
 from datetime import date, timedelta
 
-from tidegauge.operators import backtest as bt
 from tidegauge.operators import features as ft
 from tidegauge.operators import modeling as md
-from tidegauge.operators.changelog import require_empty
-from tidegauge.operators.release import publication_violations
+from tidegauge.operators.experiment import Experiment, release
 from tidegauge.session import session, ship
-from tidegauge.sources.files import release_file_violations, write_release
 from tidegauge.sources.shared import stored
 
+# The three challengers that are tried.
+CANDIDATES = (
+    md.Candidate("shallow_60", "gbt", {"maxIter": 60, "maxDepth": 3, "minInstancesPerNode": 30}),
+    md.Candidate("shallow_120", "gbt", {"maxIter": 120, "maxDepth": 3, "minInstancesPerNode": 30}),
+    md.Candidate("regularized_120", "gbt", {"maxIter": 120, "maxDepth": 4, "minInstancesPerNode": 50}),
+)
 
-def main(series: str, out: str, origin: str) -> None:
-    spark = ship(session("forecast"))
+
+def main(series: str, out: str, origin: str, candidates: tuple[md.Candidate, ...] = CANDIDATES) -> Experiment:
+    """Validation and evaluation are the eight weekly origins whose targets are known at ORIGIN, the earlier four and the later four."""
+    spark = ship(session("forecast", spark__scheduler__mode="FAIR"))
     at = date.fromisoformat(origin)
     s = spark.read.parquet(series)
     first = s.agg({"demand_date": "min"}).first()[0] + timedelta(days=27)
     x = stored(ft.build_examples(s, first, at, 1, require_targets=False), "examples")
-    known = x.filter("actual is not null")
-    origins = [at - timedelta(days=7 * k) for k in (5, 4, 3, 2)]
-    candidates = [md.Candidate("shallow", "gbt", {"maxDepth": 3}), md.Candidate("deeper", "gbt", {"maxDepth": 5}), md.Candidate("poisson", "poisson")]
-    best, board, every = md.select_candidate(known, known, origins, candidates)
-    chosen = every.filter(every["candidate"] == best.id).drop("candidate")
-    require_empty(md.pairing_violations(chosen), "methods were not scored on the same keys")
-    train = ft.training_slice(known, at)
-    model = md.fit_challenger(train, at, best)
-    forecast = stored(md.forecast_next_week(x, at, model, at), "forecast")
-    ends = origins[0], origins[-1]
-    labels = sorted(r[0] for r in s.select("category").distinct().collect())
-    settings = spark.createDataFrame([(labels, labels, labels, at, origins[-1])], "experiment_scope array<string>, release_scope array<string>, categories array<string>, origin_date date, evaluation_last_origin date")
-    history = s.filter(s["demand_date"] <= at)
-    require_empty(publication_violations(settings, forecast, bt.backtest_skips(history, *ends)), "not fit to publish")
-    md.save_model(model, f"{out}-model", at)
-    tables = {"forecast": forecast, "history": history, "validation": board, "evaluation": bt.summarize_errors(chosen, "model"), "baseline_full": bt.summarize_errors(bt.rolling_backtest(history, *ends), "model"), "model": spark.read.parquet(f"{out}-model/metadata")}
-    write_release(tables, out, md.select_policy(chosen))
-    require_empty(release_file_violations(spark, out), "the release is damaged")
+    origins = [at - timedelta(days=7 * k) for k in range(8, 0, -1)]
+    return release(s, x, out, at, origins[:4], origins[4:], candidates)
 
 
 if __name__ == "__main__":

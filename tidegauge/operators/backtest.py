@@ -1,7 +1,7 @@
 """Checks of daily series, rolling-origin baselines and their errors.
 
-One window pass over a dense spine carries, per segment and day, the last 28 values and the next ones; everything else is
-arithmetic on those arrays. A series has demand_date, category, area, request_count, is_complete; its segment is category
+A segment's values are packed into arrays of a block of days with margins; of them, each day slices the last 28 values and
+the next ones, and everything else is arithmetic on those arrays. A series has demand_date, category, area, request_count, is_complete; its segment is category
 and area.
 """
 
@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT = ("category", "area")
 HISTORY = 28
+#: Days of a block of a packed series, without its margins.
+BLOCK_DAYS = 64
 MODELS = ("seasonal_naive", "weekday_mean_4w")
 CUTS = {"overall": ("model",), "by_category": ("model", "category", "area"), "by_horizon": ("model", "horizon_days"), "by_origin": ("model", "origin_date"), "by_category_horizon": ("model", "category", "area", "horizon_days")}
 NEEDED = ("demand_date", "category", "area", "request_count", "is_complete")
@@ -55,22 +57,40 @@ def protocol_violations(settings: DataFrame, candidates: DataFrame) -> DataFrame
     return found.unionByName(twice).unionByName(odd).unionByName(none)
 
 
+def packed_series(series: DataFrame, first_day: date, last_day: date, horizon: int = 7, segment: tuple[str, ...] = SEGMENT) -> DataFrame:
+    """Per segment and block of BLOCK_DAYS days of the range: ``start``, the block's first day as a number, and ``values``, dense: from HISTORY - 1
+    days before it to ``horizon`` days after its last one; null where a day has no complete value. Every segment has all blocks.
+
+    The series shuffles once: a value goes to its own block and, if it lies in their margin, to the blocks beside it."""
+    keys = list(segment)
+    first, blocks = (first_day - date(1970, 1, 1)).days, (last_day - first_day).days // BLOCK_DAYS + 1
+    n = F.unix_date("demand_date")
+    at = n - F.lit(first)
+
+    def block(days: Column) -> Column:
+        return F.floor(days / BLOCK_DAYS).cast("int")
+
+    own = F.sequence(F.greatest(block(at - horizon), F.lit(0)), F.least(block(at + HISTORY - 1), F.lit(blocks - 1)))
+    known = series.filter("is_complete and request_count is not null").filter(F.col("demand_date").between(F.lit(first_day - timedelta(days=HISTORY - 1)), F.lit(last_day + timedelta(days=horizon))))
+    placed = known.select(*keys, F.struct(n.alias("n"), F.col("request_count").cast("double").alias("v")).alias("e"), F.explode(own).alias("block"))
+    none = F.lit(None).cast("struct<n:int,v:double>").alias("e")
+    every = series.select(*keys).distinct().select(*keys, none, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = placed.unionByName(every).groupBy(*keys, "block").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    start = F.lit(first) + F.col("block") * BLOCK_DAYS
+    days = F.sequence(start - (HISTORY - 1), start + BLOCK_DAYS - 1 + horizon)
+    return found.select(*keys, start.alias("start"), F.transform(days, lambda d: F.try_element_at("m", d)).alias("values"))
+
+
 def windows(series: DataFrame, first_day: date, last_day: date, horizon: int = 7, segment: tuple[str, ...] = SEGMENT) -> DataFrame:
     """Per segment and day of the range: hist (complete values of the 28 days up to it, oldest first) and fut (horizon to value after it).
 
-    The spine has every day, so that a day without a row is a hole and not a shift; the frames are counted in days."""
-    keys = list(segment)
-    values = series.filter("is_complete and request_count is not null").select(*keys, F.col("demand_date").alias("day"), F.col("request_count").cast("double").alias("v"))
-    values = values.filter(F.col("day").between(F.lit(first_day - timedelta(days=HISTORY - 1)), F.lit(last_day + timedelta(days=horizon))))
-    days = F.explode(F.sequence(F.lit(first_day - timedelta(days=HISTORY - 1)), F.lit(last_day + timedelta(days=horizon)))).alias("day")
-    spine = series.select(*keys).distinct().select(*keys, days)
-    n = F.unix_date("day")
-    w = Window.partitionBy(*keys).orderBy(n)
-    entry = F.when(F.col("v").isNotNull(), F.struct(n.alias("n"), F.col("v").alias("v")))
-    own = spine.join(values, [*keys, "day"], "left").select(*keys, "day", F.collect_list(entry).over(w.rangeBetween(1 - HISTORY, 0)).alias("h"), F.collect_list(entry).over(w.rangeBetween(1, horizon)).alias("f"))
-    own = own.filter(F.col("day").between(F.lit(first_day), F.lit(last_day)))
-    fut = F.map_from_entries(F.transform("f", lambda x: F.struct((x["n"] - n).cast("int").alias("k"), x["v"].alias("v"))))
-    return own.select(*keys, F.col("day").alias("origin_date"), F.transform("h", lambda x: x["v"]).alias("hist"), fut.alias("fut"))
+    Both are slices of a packed series, in which a day without a row is a hole and not a shift."""
+    packed = packed_series(series, first_day, last_day, horizon, segment)
+    day = packed.select(*segment, "start", "values", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1))).alias("i"))
+    day = day.withColumn("origin_date", F.date_from_unix_date(F.col("start") + F.col("i"))).filter(F.col("origin_date") <= F.lit(last_day))
+    hist = F.filter(F.slice("values", F.col("i") + 1, HISTORY), lambda v: v.isNotNull())
+    ahead = F.transform(F.slice("values", F.col("i") + 1 + HISTORY, horizon), lambda v, k: F.struct((k + 1).alias("k"), v.alias("v")))
+    return day.select(*segment, "origin_date", hist.alias("hist"), F.map_from_entries(F.filter(ahead, lambda e: e["v"].isNotNull())).alias("fut"))
 
 
 def _at_origins(series: DataFrame, first: date, last: date, horizon: int, step: int) -> DataFrame:

@@ -102,11 +102,15 @@ def training_slices(examples: DataFrame, origins: DataFrame) -> DataFrame:
     return examples.filter("actual is not null").join(cutoffs, F.col("target_date") <= F.col("fit_date"))
 
 
+def leak_free(cutoff: date | None = None) -> Column:
+    """feature_max_date <= origin_date < target_date <= cutoff."""
+    fine = (F.col("feature_max_date") <= F.col("origin_date")) & (F.col("origin_date") < F.col("target_date"))
+    return fine & (F.col("target_date") <= F.lit(cutoff)) if cutoff else fine
+
+
 def leakage_violations(examples: DataFrame, cutoff: date | None = None) -> DataFrame:
     """Rows that break feature_max_date <= origin_date < target_date <= cutoff."""
-    fine = (F.col("feature_max_date") <= F.col("origin_date")) & (F.col("origin_date") < F.col("target_date"))
-    fine = fine & (F.col("target_date") <= F.lit(cutoff)) if cutoff else fine
-    return examples.filter(~F.coalesce(fine, F.lit(False))).select("origin_date", "target_date", "feature_max_date", *SEGMENT)
+    return examples.filter(~F.coalesce(leak_free(cutoff), F.lit(False))).select("origin_date", "target_date", "feature_max_date", *SEGMENT)
 
 
 def example_weights(examples: DataFrame) -> DataFrame:

@@ -6,23 +6,32 @@ regression with a log link, in the same protocol. The method column says ``gbt``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 
+from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import tree_digests
 from ..sources.shared import stored
 from .backtest import SEGMENT, summarize_errors
-from .features import CATEGORICAL, NUMERIC, example_weights, leakage_violations, training_audit, training_slice
+from .features import CATEGORICAL, NUMERIC, example_weights, leak_free, training_audit, training_slice
 
 KEY = ("origin_date", "target_date", "horizon_days", *SEGMENT)
 METHODS = ("gbt", "seasonal_naive", "weekday_mean_4w")
+#: Fits that run at the same time, each in a scheduler pool of its own (of use with spark.scheduler.mode FAIR).
+FITS_AT_ONCE = 6
+#: What a fit or a score may fail with: rows that break a rule, and errors of Spark.
+FIT_ERRORS = (ValueError, PySparkException, Py4JError)
 
 
 @dataclass
@@ -46,21 +55,41 @@ def encode_features(train: DataFrame, rows: DataFrame) -> DataFrame:
     return Pipeline(stages=encoder_stages()).fit(train).transform(rows.select(*numeric))
 
 
+def _not_finite() -> Column:
+    """Rows of which a numeric feature is null, NaN or infinite."""
+    out = F.lit(False)
+    for c in NUMERIC:
+        x = F.col(c).cast("double")
+        out = out | x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return out
+
+
 def fit_challenger(train: DataFrame, cutoff: date, candidate: Candidate) -> PipelineModel | None:
-    """A model of matured examples; None stands for the constant zero where all labels are zero."""
-    if not leakage_violations(train, cutoff).isEmpty():
+    """A model of matured examples; None stands for the constant zero where all labels are zero.
+
+    All rules are checked in one pass over the rows, which also finds the labels of the categories. Rows may have their ``weight``
+    already, in any scale, of which the mean is made one; else they get it here."""
+    row = train.agg(
+        F.count("*").alias("n"), F.sum("actual").alias("s"), F.min("actual").alias("m"), F.count_if(~F.coalesce(leak_free(cutoff), F.lit(False))).alias("leaks"), F.count_if(_not_finite()).alias("odd"),
+        *[F.collect_set(c).alias(c) for c in CATEGORICAL], F.sum(F.col("weight") if "weight" in train.columns else F.lit(1.0)).alias("w"),
+    ).first()
+    if row["leaks"]:
         raise ValueError("immature targets or future features in the training rows")
-    row = train.agg(F.count("*").alias("n"), F.sum("actual").alias("s"), F.min("actual").alias("m")).first()
     if not row["n"] or row["m"] is None or row["m"] < 0:
         raise ValueError("no training rows, or labels below zero")
+    if row["odd"]:
+        raise ValueError("a feature is missing or not finite in the training rows")
     if row["s"] == 0:
         return None
-    weighted = example_weights(train).withColumn("label", F.col("actual"))
+    scaled = F.round(F.col("weight") * (row["n"] / row["w"]), 12)
+    weighted = (train.withColumn("weight", scaled) if "weight" in train.columns else example_weights(train)).withColumn("label", F.col("actual"))
     if candidate.family == "gbt":
         model = GBTRegressor(**({"maxDepth": 3, "maxIter": 20, "minInstancesPerNode": 20, "stepSize": 0.05, "maxBins": 32, "seed": 42, "weightCol": "weight", "checkpointInterval": 10} | candidate.params))
     else:
         model = GeneralizedLinearRegression(**({"family": "poisson", "link": "log", "regParam": 0.1, "maxIter": 15, "weightCol": "weight"} | candidate.params))
-    return Pipeline(stages=[*encoder_stages(), model]).fit(weighted)
+    codes = StringIndexerModel.from_arrays_of_labels([sorted(row[c]) for c in CATEGORICAL], list(CATEGORICAL), [f"{c}_code" for c in CATEGORICAL], handleInvalid="error")
+    assembler = encoder_stages()[1]
+    return PipelineModel([codes, assembler, model.fit(assembler.transform(codes.transform(weighted)).select("features", "label", "weight"))])
 
 
 def predict_challenger(model: PipelineModel | None, rows: DataFrame) -> DataFrame:
@@ -72,9 +101,9 @@ def predict_challenger(model: PipelineModel | None, rows: DataFrame) -> DataFram
     return out.withColumn("prediction", F.when(F.isnan(p) | (F.abs(p) == float("inf")), None).otherwise(F.greatest(p, F.lit(0.0))))
 
 
-def save_model(model: PipelineModel | None, path: str, cutoff: date) -> None:
+def save_model(model: PipelineModel | None, path: str, cutoff: date, spark: SparkSession | None = None) -> None:
     """Model (None: the constant zero), feature list, cutoff and the digests of the model's files; never over an older one."""
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     digests = "array<struct<path: string, sha256: string>>"
     if model is not None:
         model.save(f"{path}/model")
@@ -112,24 +141,40 @@ class Walk:
     audit: DataFrame
 
 
-def _fitted(train: DataFrame, window: DataFrame, origin: date, candidate: Candidate, minimum_rows: int) -> DataFrame:
+def at_once(spark: SparkSession, jobs: Sequence[Callable[[], object]], most: int = FITS_AT_ONCE) -> list[object]:
+    """What each job returns, or the FIT_ERRORS it ends with, which touches no other. Jobs run side by side, so that one's small
+    stages fill the cores that another leaves idle."""
+
+    def alone(i: int) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % most}")
+        try:
+            return jobs[i]()
+        except FIT_ERRORS as e:
+            return e
+
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as pool:
+        return list(pool.map(inheritable_thread_target(alone), range(len(jobs))))
+
+
+def _fitted(train: DataFrame, window: DataFrame, origin: date, candidate: Candidate, minimum_rows: int, keep: str | None) -> DataFrame:
     """Scored predictions of one origin's window; ValueError where they cannot be had."""
     if train.limit(minimum_rows).count() < minimum_rows:
         raise ValueError("too few training rows")
     for c in CATEGORICAL:
         if not window.select(c).distinct().join(train.select(c).distinct(), c, "left_anti").isEmpty():
             raise ValueError(f"unseen or missing label in {c}")
-    out = stored(_scored(predict_challenger(fit_challenger(train, origin, candidate), window)), "walk")
+    model = fit_challenger(train, origin, candidate)
+    out = stored(_scored(predict_challenger(model, window)), "walk")
     if not out.filter("prediction is null").isEmpty():
         raise ValueError("a prediction is not finite")
+    if keep:
+        save_model(model, f"{keep}/{origin}", origin, train.sparkSession)
     return out
 
 
-def walk(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidate: Candidate, minimum_rows: int = 100) -> Walk:
-    """Per origin: fit on what has matured, score the window, all three methods on the same keys.
-
-    A segment's window must have all seven days (ValueError). An origin without windows, or one that cannot be fitted or
-    scored, is left out for all methods and named in ``skips``."""
+def _walks(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidates: Sequence[Candidate], minimum_rows: int, keep: str | None) -> list[Walk]:
+    """A walk per candidate. All fits, of all candidates and origins, run at once over one stored table, cut by cutoff: an example's
+    weight is one over the horizons that share its target, the same at every cutoff."""
     spark = training.sparkSession
     asked = forecast.filter(F.col("origin_date").isin(list(origins)))
     week = F.array(*[F.lit(h) for h in range(1, 8)])
@@ -137,20 +182,39 @@ def walk(training: DataFrame, forecast: DataFrame, origins: Sequence[date], cand
     if not partial.isEmpty():
         raise ValueError("the forecast frame has a partial segment window")
     there = {r[0] for r in asked.select("origin_date").distinct().collect()}  # at most the origins asked for
-    parts, skips, fits = [], [], []
-    for origin in origins:
-        if origin not in there:
-            skips.append((origin, "*", "*", "no_complete_forecast_windows"))
-            continue
-        try:
-            parts.append(_fitted(training_slice(training, origin), asked.filter(F.col("origin_date") == F.lit(origin)), origin, candidate, minimum_rows))
-            fits.append((origin,))
-        except ValueError as e:
-            skips.append((origin, "*", "*", f"model_ineligible: {e}"))
-    out = parts[0] if parts else _scored(forecast.limit(0).withColumn("prediction", F.lit(0.0)))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return Walk(out, spark.createDataFrame(skips, "origin_date date, category string, area string, reason string"), training_audit(training, spark.createDataFrame(fits, "origin_date date")))
+    known = stored(example_weights(training_slice(training, max(origins))), "training")
+    asked = stored(asked, "asked")
+    todo = [(c, o) for c in candidates for o in origins if o in there]
+
+    def job(c: Candidate, o: date) -> Callable[[], object]:
+        return lambda: _fitted(training_slice(known, o), asked.filter(F.col("origin_date") == F.lit(o)), o, c, minimum_rows, keep)
+
+    found = dict(zip([(c.id, o) for c, o in todo], at_once(spark, [job(c, o) for c, o in todo]), strict=True))
+    out = []
+    for c in candidates:
+        parts, skips, fits = [], [], []
+        for o in origins:
+            got = found.get((c.id, o))
+            if got is None:
+                skips.append((o, "*", "*", "no_complete_forecast_windows"))
+            elif isinstance(got, DataFrame):
+                parts.append(got)
+                fits.append((o,))
+            else:
+                skips.append((o, "*", "*", f"model_ineligible: {str(got).strip().splitlines()[0]}"))
+        every = parts[0] if parts else _scored(forecast.limit(0).withColumn("prediction", F.lit(0.0)))
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        out.append(Walk(every, spark.createDataFrame(skips, "origin_date date, category string, area string, reason string"), training_audit(known, spark.createDataFrame(fits, "origin_date date"))))
+    return out
+
+
+def walk(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidate: Candidate, minimum_rows: int = 100, keep: str | None = None) -> Walk:
+    """Per origin: fit on what has matured, score the window, all three methods on the same keys.
+
+    A segment's window must have all seven days (ValueError). An origin without windows, or one that cannot be fitted or
+    scored, whatever the error, is left out for all methods and named in ``skips``. ``keep``: a folder for the model of each origin."""
+    return _walks(training, forecast, origins, [candidate], minimum_rows, keep)[0]
 
 
 def walk_forward(training: DataFrame, forecast: DataFrame, origins: Sequence[date], candidate: Candidate, minimum_rows: int = 100) -> DataFrame:
@@ -170,22 +234,58 @@ def rank_candidates(errors: DataFrame) -> DataFrame:
     return summarize_errors(errors.filter(F.col("model") == "gbt"), "candidate").drop("actual_total").orderBy("mae", "candidate")
 
 
-def select_candidate(training: DataFrame, validation: DataFrame, origins: Sequence[date], candidates: Sequence[Candidate], minimum_rows: int = 100) -> tuple[Candidate, DataFrame, DataFrame]:
-    """The best candidate, the ranking, and all predictions; refused where a candidate's methods were not scored on the same keys, or candidates cover different ones."""
-    every = None
-    for c in candidates:
-        own = walk_forward(training, validation, origins, c, minimum_rows).withColumn("candidate", F.lit(c.id))
-        if own.isEmpty():
-            raise ValueError("no eligible paired predictions")
-        if not pairing_violations(own).isEmpty():
-            raise ValueError("methods were not scored on identical keys")
-        every = own if every is None else every.unionByName(own)
+@dataclass
+class Selection:
+    """The candidate chosen, the ranking, and predictions, skips and audit of all candidates (column ``candidate``)."""
+
+    best: Candidate
+    board: DataFrame
+    predictions: DataFrame
+    skips: DataFrame
+    audit: DataFrame
+
+    def chosen(self) -> DataFrame:
+        """Predictions of the candidate chosen."""
+        return self.predictions.filter(F.col("candidate") == self.best.id).drop("candidate")
+
+
+def select_candidate(training: DataFrame, validation: DataFrame, origins: Sequence[date], candidates: Sequence[Candidate], minimum_rows: int = 100) -> Selection:
+    """The best candidate by validation. Refused where a candidate's methods were not scored on the same keys, or candidates cover
+    different ones. No target after the last validation origin is learnt from."""
+    walks = _walks(training_slice(training, max(origins)), validation, origins, candidates, minimum_rows, None)
+    tables = []
+    for part in ("predictions", "skips", "audit"):
+        own = [getattr(w, part).withColumn("candidate", F.lit(c.id)) for c, w in zip(candidates, walks, strict=True)]
+        every = own[0]
+        for x in own[1:]:
+            every = every.unionByName(x)
+        tables.append(every)
+    every = tables[0]
+    covered = {r["candidate"] for r in every.select("candidate").distinct().collect()}  # candidates are few
+    if covered != {c.id for c in candidates}:
+        raise ValueError("no eligible paired predictions")
+    per = every.groupBy("candidate", *KEY).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("model")).alias("models"), F.countDistinct("actual").alias("actuals"))
+    if not per.filter((F.col("n") > F.size("models")) | (F.col("models") != F.array(*[F.lit(m) for m in sorted(METHODS)])) | (F.col("actuals") != 1)).isEmpty():
+        raise ValueError("methods were not scored on identical keys")
     uneven = every.groupBy(*KEY).agg(F.countDistinct("candidate").alias("n")).filter(F.col("n") != len(candidates))
     if not uneven.isEmpty():
         raise ValueError("candidates cover different keys")
     board = rank_candidates(every)
     best = board.first()["candidate"]
-    return next(c for c in candidates if c.id == best), board, every
+    return Selection(next(c for c in candidates if c.id == best), board, *tables)
+
+
+def record_selection(selection: Selection, path: str, target_end: date, evaluation_first: date) -> DataFrame:
+    """Write the choice, before anything of the evaluation is fitted: candidate, its parameters, the last target it was chosen on, the
+    first origin of the evaluation and the default method. Never over an older one."""
+    if target_end > evaluation_first:
+        raise ValueError("validation reaches into evaluation")
+    spark = selection.predictions.sparkSession
+    c = selection.best
+    about = (c.id, c.family, json.dumps(c.params, sort_keys=True), "pooled validation mae", target_end, evaluation_first, select_policy(selection.chosen()).first()["model"])
+    row = spark.createDataFrame([about], "candidate string, family string, params string, metric string, selection_target_end date, evaluation_first_origin date, policy string")
+    row.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(row.schema).parquet(path)
 
 
 def select_policy(predictions: DataFrame) -> DataFrame:
@@ -207,10 +307,17 @@ def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
-def forecast_next_week(examples: DataFrame, origin: date, model: PipelineModel | None = None, cutoff: date | None = None) -> DataFrame:
-    """Seven days of every segment from one origin: the challenger (null without a model) and both baselines. ``examples`` come from ``build_examples`` without required targets."""
+def forecast_next_week(examples: DataFrame, origin: date, model: PipelineModel | None = None, cutoff: date | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """Seven days of every segment from one origin: the challenger (null without a model) and both baselines. ``examples`` come from ``build_examples``
+    without required targets. Refused where one of ``segments`` (all that ``examples`` have, if none are given) lacks its seven days, as
+    after a day of its history that is not complete."""
     if cutoff is not None and cutoff > origin:
         raise ValueError("the model is newer than the origin")
     rows = examples.filter(F.col("origin_date") == F.lit(origin))
+    wanted = (examples if segments is None else segments).select(*SEGMENT).distinct()
+    there = rows.groupBy(*SEGMENT).agg(F.countDistinct("horizon_days").alias("days")).filter("days = 7")
+    missing = wanted.join(there, list(SEGMENT), "left_anti").limit(1).collect()
+    if missing or rows.isEmpty():
+        raise ValueError(f"no complete history at the origin: {missing[0].asDict() if missing else 'no segment has one'}")
     rows = predict_challenger(model, rows) if model is not None else rows.withColumn("prediction", F.lit(None).cast("double"))
     return rows.select("origin_date", "target_date", "horizon_days", *SEGMENT, F.col("weekday_lag1").alias("seasonal_naive"), F.col("weekday_mean4").alias("weekday_mean_4w"), F.col("prediction").alias("gbt"), F.lit(cutoff).cast("date").alias("model_cutoff"))

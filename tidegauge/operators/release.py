@@ -45,14 +45,14 @@ def release_violations(releases: DataFrame, forecasts: DataFrame, quantities: Se
     """release_id, violation: once per broken rule.
 
     ``releases``: release_id, version, policy, origin_date, area, categories (array), model_cutoff. ``forecasts``: release_id, origin_date, target_date, category,
-    area and the quantities (of every model that it has a column for; the policy's own must be there). Rules: supported version and policy; the very categories and area; no repeats; its own origin; the seven days after it
+    area and the quantities of all methods (or those named); a column that is not there is an invalid quantity. Rules: supported version and policy; the very categories and area; no repeats; its own origin; the seven days after it
     for each category; finite quantities not below 0; a model not newer than the origin."""
-    quantities = quantities or [m for m in MODELS if m in forecasts.columns]
+    quantities = quantities or MODELS
     r = releases.alias("r")
     met = forecasts.alias("f").join(r, F.col("f.release_id") == F.col("r.release_id"))
     bad_quantity = ~F.col("r.policy").isin(*quantities)
     for q in quantities:
-        x = F.col(f"f.{q}").cast("double")
+        x = F.col(f"f.{q}").cast("double") if q in forecasts.columns else F.lit(None).cast("double")
         bad_quantity = bad_quantity | x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))
     rows = met.groupBy(F.col("r.release_id").alias("release_id")).agg(
         F.sort_array(F.collect_set("f.category")).alias("found"), F.first(F.sort_array("r.categories")).alias("wanted"),
