@@ -30,6 +30,8 @@ KEY = ("origin_date", "target_date", "horizon_days", *SEGMENT)
 METHODS = ("gbt", "seasonal_naive", "weekday_mean_4w")
 #: Fits that run at the same time, each in a scheduler pool of its own (of use with spark.scheduler.mode FAIR).
 FITS_AT_ONCE = 6
+#: Rows of a part of a fit's table.
+FIT_ROWS = 25_000
 #: What a fit or a score may fail with: rows that break a rule, and errors of Spark.
 FIT_ERRORS = (ValueError, PySparkException, Py4JError)
 
@@ -89,7 +91,10 @@ def fit_challenger(train: DataFrame, cutoff: date, candidate: Candidate) -> Pipe
         model = GeneralizedLinearRegression(**({"family": "poisson", "link": "log", "regParam": 0.1, "maxIter": 15, "weightCol": "weight"} | candidate.params))
     codes = StringIndexerModel.from_arrays_of_labels([sorted(row[c]) for c in CATEGORICAL], list(CATEGORICAL), [f"{c}_code" for c in CATEGORICAL], handleInvalid="error")
     assembler = encoder_stages()[1]
-    return PipelineModel([codes, assembler, model.fit(assembler.transform(codes.transform(weighted)).select("features", "label", "weight"))])
+    # a fit reads its rows many times: they are assembled once, and dealt by their keys, so that a refit sees them in the same parts
+    dealt = weighted.repartition(max(1, -(-row["n"] // FIT_ROWS)), *[F.col(c) for c in KEY])
+    rows = stored(assembler.transform(codes.transform(dealt)).select("features", "label", "weight"), "assembled")
+    return PipelineModel([codes, assembler, model.fit(rows)])
 
 
 def predict_challenger(model: PipelineModel | None, rows: DataFrame) -> DataFrame:

@@ -593,362 +593,13 @@ def training_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 2.7 model selection and forecasting
 
 _ORIGINS = [date(1998, 5, 9), date(1998, 5, 16), date(1998, 5, 23), date(1998, 5, 30)]
-#: As jobs/forecast.py has them, with a sixth of the trees.
+#: As jobs/forecast.py has them, with a twelfth of the trees and larger steps.
 _CANDIDATES = [
+    md.Candidate("shallow_5", "gbt", {"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 30, "stepSize": 0.3}),
     md.Candidate("shallow_10", "gbt", {"maxIter": 10, "maxDepth": 3, "minInstancesPerNode": 30, "stepSize": 0.3}),
-    md.Candidate("shallow_20", "gbt", {"maxIter": 20, "maxDepth": 3, "minInstancesPerNode": 30, "stepSize": 0.3}),
-    md.Candidate("regularized_20", "gbt", {"maxIter": 20, "maxDepth": 4, "minInstancesPerNode": 50, "stepSize": 0.3}),
+    md.Candidate("regularized_10", "gbt", {"maxIter": 10, "maxDepth": 4, "minInstancesPerNode": 50, "stepSize": 0.3}),
 ]
-_KNOWN = "known AS (SELECT row_number() OVER (ORDER BY o_orderpriority) AS category_id, o_orderpriority AS source_label FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3'))"
-
-
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = an.table(spark, sf_dir, "orders").filter("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("source_label"))
-    none = spark.createDataFrame([], "category_id long, source_label string, display_name string, in_scope boolean")
-    return cl.discover_dimension(none, labels, "category_id", [])
-
-
-@query(f"""WITH {_KNOWN}, new AS (SELECT DISTINCT o_orderpriority AS source_label FROM orders WHERE o_orderpriority NOT IN (SELECT source_label FROM known))
-    SELECT (SELECT coalesce(max(category_id), 0) FROM known) + row_number() OVER (ORDER BY source_label) AS category_id, source_label, source_label AS display_name, source_label IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS in_scope FROM new""")
-def discover_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.discover_dimension(_known(spark, sf_dir), an.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source_label")), "category_id", PRIORITIES)
-
-
-@query(f"""WITH {_KNOWN}, wanted AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM']) AS label),
-    new AS (SELECT label FROM wanted WHERE label NOT IN (SELECT source_label FROM known))
-    SELECT category_id, source_label, source_label AS display_name, source_label IN (SELECT label FROM wanted) AS in_scope FROM known
-    UNION ALL SELECT (SELECT coalesce(max(category_id), 0) FROM known) + row_number() OVER (ORDER BY label), label, label, TRUE FROM new""")
-def sync_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.sync_scope(_known(spark, sf_dir), PRIORITIES, "category_id")
-
-
-@query(sql("""SELECT run_id, concat_ws('-', CAST(sum(CAST('0x' || substr(d, 1, 15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(d, 16, 15) AS HUGEINT)) AS VARCHAR)) AS checksum
-    FROM (SELECT run_id, md5(concat_ws('|', l_partkey, l_suppkey, l_shipdate, l_extendedprice, request_id, payload_hash)) AS d FROM stage) GROUP BY run_id""", "stage"))
-def run_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.run_checksum(an.stage(spark, sf_dir), ORDER)
-
-
-@query(sql("""SELECT l.run_id, coalesce(rows_staged, 0) AS rows_staged, coalesce(rows_skipped, 0) AS rows_skipped, coalesce(distinct_keys, 0) AS distinct_keys,
-    CASE WHEN coalesce(rows_skipped, 0) = 0 AND coalesce(rows_staged, 0) = source_count AND coalesce(distinct_keys, 0) = source_count THEN 'ok' ELSE 'mismatch' END AS run_status
-    FROM ledger l LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE reject_reason IS NULL) AS rows_staged, count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rows_skipped, count(DISTINCT unique_key) AS distinct_keys FROM judged GROUP BY run_id) j ON l.run_id = j.run_id""", "judged", "ledger"))
-def reconcile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.reconcile_runs(nz.judged(an.raw(spark, sf_dir)), an.ledger(spark))
-
-
-@query("SELECT 'live runs exist' AS violation FROM (SELECT DISTINCT 1 FROM lineitem WHERE l_linenumber IN (1, 2, 4, 5, 6, 7))")
-def guard_fixture_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixtures are refused where runs of a live mode have staged rows."""
-    used = an.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("run_id")).distinct()
-    return cl.guard_fixture_mix(an.ledger(spark).join(used, "run_id", "left_semi"))
-
-
-# 2.4 latest trusted observation, coverage
-
-
-@query(sql("SELECT s.run_id, count(*) AS n_staged FROM stage s JOIN trusted t ON s.run_id = t.run_id GROUP BY s.run_id", "stage", "ledger"))
-def trusted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted runs with the rows they staged."""
-    return an.stage(spark, sf_dir).join(F.broadcast(cv.trusted_runs(an.ledger(spark)).select("run_id")), "run_id").groupBy("run_id").agg(F.count("*").alias("n_staged"))
-
-
-_EVIDENCE = f"""{_STATE}, obs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, request_id ORDER BY {_LATER}) AS rn FROM stage) WHERE rn = 1 AND request_id % 3 <> 0),
-    {_VERSIONS}, ev AS (SELECT request_id, started_at, 9223372036854775806 AS r, created_date, complaint_type, borough FROM obs JOIN trusted USING (run_id)
-    UNION ALL SELECT request_id, started_at, request_id * 100 + run_id * 10 + instr('ANR', complaint_type) * 2 + CAST(borough = 'O' AS INTEGER), created_date, complaint_type, borough FROM versions JOIN trusted USING (run_id)
-    UNION ALL SELECT request_id, started_at, 9223372036854775807, created_date, complaint_type, borough FROM state JOIN trusted ON last_seen_run = run_id)"""
-
-
-@query(sql(f", {_EVIDENCE} SELECT request_id, created_date AS demand_date, CAST(NULL AS VARCHAR) AS agency, complaint_type AS category, borough AS area FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY started_at DESC, r DESC) AS rn FROM ev) WHERE rn = 1", "stage", "ledger"))
-def live_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by their newest trusted evidence; a third of them have no observations, as before the log was kept."""
-    s = an.stage(spark, sf_dir)
-    fields = [F.col("created_date").alias("demand_date"), F.lit(None).cast("string").alias("agency"), F.col("complaint_type").alias("category"), F.col("borough").alias("area")]
-    observed = cl.record_observations(s, ORDER).filter("request_id % 3 <> 0").select("request_id", "run_id", *fields)
-    versions = cl.append_versions(s, ORDER).select("request_id", "run_id", F.expr("request_id * 100 + run_id * 10 + instr('ANR', complaint_type) * 2 + cast(borough = 'O' as int)").alias("version_id"), *fields)
-    state = cl.upsert_requests(s, ORDER).select("request_id", "last_seen_run", *fields)
-    return cv.live_requests(observed, versions, state, an.ledger(spark))
-
-
-@query(sql("SELECT * FROM grid", "grid"))
-def calendar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.calendar_grid(spark, an.START, an.END, *an.labels(spark, sf_dir))
-
-
-@query(sql("SELECT created_date AS demand_date, complaint_type AS category, borough AS area, count(DISTINCT request_id) AS request_count FROM stage GROUP BY ALL", "stage"))
-def distinct_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the raw history of all runs, where requests repeat."""
-    return cv.distinct_daily_counts(an.stage(spark, sf_dir).select("request_id", F.col("created_date").alias("demand_date"), F.col("complaint_type").alias("category"), F.col("borough").alias("area")))
-
-
-@query(sql("SELECT c.demand_date, count(o_orderkey) AS n_requests FROM covered c LEFT JOIN orders ON CAST(o_orderdate AS DATE) = c.demand_date GROUP BY ALL", "covered"))
-def covered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covered days with the requests made on them."""
-    day = an.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("demand_date")).agg(F.count("*").alias("n"))
-    return cv.covered_days(an.ledger(spark), an.START, an.END).join(day, "demand_date", "left").select("demand_date", F.coalesce("n", F.lit(0)).alias("n_requests"))
-
-
-@query(sql("""SELECT s.agency, s.area, d.demand_date, count(request_id) AS n_requests FROM (SELECT DISTINCT d.demand_date, t.agency, t.area FROM days d JOIN trusted t ON d.demand_date BETWEEN window_start AND window_end AND fetched_at >= d.demand_date + INTERVAL 29 HOUR) d
-    JOIN (SELECT DISTINCT agency, area FROM requests) s ON d.agency = s.agency AND d.area = s.area LEFT JOIN requests r ON r.agency = s.agency AND r.area = s.area AND r.demand_date = d.demand_date GROUP BY ALL""", "covered", "requests"))
-def covered_days_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covered days of every agency and area whose own runs cover them, with the requests made on them."""
-    q = an.requests(spark, sf_dir)
-    day = q.groupBy("agency", "area", "demand_date").agg(F.count("*").alias("n"))
-    days = cv.covered_days_strict(an.ledger(spark), day.select("agency", "area").distinct(), an.START, an.END)
-    return days.join(day, ["agency", "area", "demand_date"], "left").select("agency", "area", "demand_date", F.coalesce("n", F.lit(0)).alias("n_requests"))
-
-
-@query(sql("SELECT demand_date, category, area, coalesce(n.request_count, 0) AS request_count, c.demand_date IS NOT NULL AS is_complete FROM grid LEFT JOIN counts n USING (demand_date, category, area) LEFT JOIN covered c USING (demand_date)", "grid", "counts"))
-def daily_display_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = cv.calendar_grid(spark, an.START, an.END, *an.labels(spark, sf_dir))
-    return cv.daily_display_grid(grid, cv.distinct_daily_counts(an.requests(spark, sf_dir)), cv.covered_days(an.ledger(spark), an.START, an.END))
-
-
-@query(sql("SELECT * FROM series", "series"))
-def daily_forecast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.series(spark, sf_dir)
-
-
-@query(sql("SELECT demand_date, category, area, CASE WHEN demand_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' THEN coalesce(request_count, 0) ELSE -1 END AS request_count, CASE WHEN demand_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' THEN is_complete ELSE FALSE END AS is_complete FROM series", "series"))
-def rebuild_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One year of a stale grid rebuilt."""
-    new = an.series(spark, sf_dir).withColumn("request_count", F.coalesce("request_count", F.lit(0)))
-    old = new.withColumn("request_count", F.lit(-1).cast("long")).withColumn("is_complete", F.lit(False))
-    return cv.rebuild_range(old, new, date(1996, 1, 1), date(1996, 12, 31))
-
-
-@query(sql(f""", {_PARTITIONS} SELECT demand_date, category, 'ASIA' AS area, CASE WHEN p.window_start IS NOT NULL THEN coalesce(n, 0) END AS request_count, p.window_start IS NOT NULL AS is_complete
-    FROM (SELECT CAST(d AS DATE) AS demand_date, category FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) AS g(d) CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM']) AS category))
-    LEFT JOIN parts p ON demand_date BETWEEN p.window_start AND p.window_end LEFT JOIN (SELECT demand_date, category, count(*) AS n FROM own GROUP BY ALL) USING (demand_date, category)""", "requests"))
-def archive_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = an.requests(spark, sf_dir).filter("agency = 'BUILDING' and area = 'ASIA'")
-    return cv.archive_demand(_partitions(spark, sf_dir), own, spark, date(1995, 1, 1), date(2001, 12, 31), PRIORITIES, "ASIA")
-
-
-_RECORDS = """records AS (SELECT strftime(demand_date, '%Y-%m') AS partition_key, CASE WHEN request_id % 500 = 1 THEN request_id - 1 ELSE request_id END AS request_id, CASE WHEN request_id % 211 = 0 THEN demand_date + 40 ELSE demand_date END AS demand_date,
-    agency, CASE WHEN request_id % 307 = 0 THEN 'EUROPE' ELSE area END AS area FROM own)"""
-
-
-@query(sql(f""", {_PARTITIONS}, {_RECORDS}, met AS (SELECT r.*, window_start, window_end FROM records r JOIN parts USING (partition_key)), found AS (
-    SELECT partition_key, 'record outside partition' AS violation FROM met WHERE demand_date NOT BETWEEN window_start AND window_end
-    UNION ALL SELECT partition_key, 'record outside scope' FROM met WHERE area <> 'ASIA'
-    UNION ALL SELECT partition_key, 'duplicate id' FROM records WHERE request_id IN (SELECT request_id FROM records GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT partition_key, 'row count' FROM parts LEFT JOIN (SELECT partition_key, count(*) AS n FROM records GROUP BY 1) USING (partition_key) WHERE coalesce(n, 0) <> expected_rows
-    UNION ALL SELECT partition_key, 'bad partition' FROM parts WHERE mode <> 'backfill' OR status <> 'ok')
-    SELECT partition_key, violation, count(*) AS n FROM found GROUP BY ALL""", "requests"))
-def archive_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = an.requests(spark, sf_dir).filter("agency = 'BUILDING' and area = 'ASIA'")
-    k = F.col("request_id")
-    records = own.select(F.date_format("demand_date", "yyyy-MM").alias("partition_key"), F.when(k % 500 == 1, k - 1).otherwise(k).alias("request_id"), F.when(k % 211 == 0, F.date_add("demand_date", 40)).otherwise(F.col("demand_date")).alias("demand_date"), "agency", F.when(k % 307 == 0, "EUROPE").otherwise(F.col("area")).alias("area"))
-    return cv.archive_violations(_partitions(spark, sf_dir), records, "BUILDING", "ASIA")
-
-
-@query(sql("SELECT count(DISTINCT request_id) AS unique_raw_records, count(*) FILTER (WHERE category IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS scoped_records FROM requests WHERE agency = 'BUILDING' AND area = 'ASIA'", "requests"))
-def archive_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.archive_evidence(an.requests(spark, sf_dir).filter("agency = 'BUILDING' and area = 'ASIA'"), PRIORITIES)
-
-
-# 2.5 series checks and baselines
-
-_DIRTY = """dirty AS (SELECT demand_date, category, area, CASE WHEN day(demand_date) = 13 THEN -1 WHEN day(demand_date) = 17 THEN request_count + 0.5 ELSE request_count END AS request_count, is_complete FROM series
-    UNION ALL SELECT demand_date, category, area, request_count, is_complete FROM series WHERE day(demand_date) = 1)"""
-
-
-@query(sql(f""", {_DIRTY} SELECT 'duplicate segment day' AS violation, demand_date, category, area FROM dirty GROUP BY ALL HAVING count(*) > 1
-    UNION ALL SELECT 'bad complete count', demand_date, category, area FROM dirty WHERE is_complete AND (request_count IS NULL OR request_count < 0 OR floor(request_count) <> request_count)""", "series"))
-def series_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a series with planted faults."""
-    s = an.series(spark, sf_dir).withColumn("request_count", F.col("request_count").cast("double"))
-    d = F.dayofmonth("demand_date")
-    faulty = s.withColumn("request_count", F.when(d == 13, F.lit(-1.0)).when(d == 17, F.col("request_count") + 0.5).otherwise(F.col("request_count")))
-    return bt.series_violations(faulty.unionByName(s.filter(d == 1)))
-
-
-@query(sql("SELECT DISTINCT origin_date, count(reason) AS n_skipped, count(*) AS n_segments FROM origins GROUP BY origin_date", "origins"))
-def weekly_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origins with their segments and how many of them are skipped."""
-    o = bt.weekly_origins(spark, FIRST, LAST, modelling=True)
-    e = bt.origin_eligibility(an.series(spark, sf_dir), FIRST, LAST)
-    return o.join(e, "origin_date", "left").groupBy("origin_date").agg(F.count("reason").alias("n_skipped"), F.count("*").alias("n_segments"))
-
-
-@query("""WITH d AS (SELECT CAST(min(o_orderdate) AS DATE) AS data_start FROM orders) SELECT violation FROM (
-    SELECT unnest(['validation reaches into evaluation', 'origins on different weekdays']) AS violation FROM d
-    UNION ALL SELECT 'too little history before validation' FROM d WHERE data_start + 28 > DATE '1995-01-21'
-    UNION ALL SELECT 'duplicate candidate id' UNION ALL SELECT 'bad candidate id')""")
-def protocol_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a faulty protocol for the orders' dates."""
-    start = an.table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("data_start"))
-    days = {"validation_first": date(1995, 1, 21), "validation_last": date(1995, 2, 19), "evaluation_first": date(1995, 2, 20), "evaluation_last": date(1995, 3, 6)}
-    return bt.protocol_violations(start.select("data_start", *[F.lit(v).alias(k) for k, v in days.items()]), spark.createDataFrame([("a_1",), ("a_1",), ("b c",)], "id string"))
-
-
-@query(sql("SELECT origin_date, category, area, reason FROM origins", "origins"))
-def origin_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.origin_eligibility(an.series(spark, sf_dir), FIRST, LAST)
-
-
-@query(sql("SELECT origin_date, target_date, horizon_days, category, area, seasonal_naive FROM base", "base"))
-def seasonal_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.baseline_predictions(an.series(spark, sf_dir), FIRST, LAST).drop("weekday_mean_4w")
-
-
-@query(sql("SELECT origin_date, target_date, horizon_days, category, area, weekday_mean_4w FROM base", "base"))
-def weekday_mean_4w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.baseline_predictions(an.series(spark, sf_dir), FIRST, LAST).drop("seasonal_naive")
-
-
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.rolling_backtest(an.series(spark, sf_dir), FIRST, LAST)
-
-
-@query(sql("SELECT * FROM pred", "pred"))
-def rolling_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predictions(spark, sf_dir)
-
-
-@query(sql("SELECT origin_date, category, area, reason FROM origins WHERE reason IS NOT NULL", "origins"))
-def backtest_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.backtest_skips(an.series(spark, sf_dir), FIRST, LAST)
-
-
-_METRICS = "count(*) AS n, round(avg(absolute_error), 6) AS mae, round(CASE WHEN sum(actual) <> 0 THEN sum(absolute_error) / sum(actual) END, 6) AS wape, round(avg(error), 6) AS bias, sum(actual) AS actual_total"
-
-
-@query(sql(f"SELECT model, category, {_METRICS} FROM pred GROUP BY ALL", "pred"))
-def summarize_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bt.summarize_errors(_predictions(spark, sf_dir), "model", "category"))
-
-
-@query(sql(" UNION ALL ".join(f"SELECT '{k}' AS cut, " + ", ".join(c if c in by else f"NULL AS {c}" for c in ("model", "category", "area", "horizon_days", "origin_date")) + f", {_METRICS} FROM pred GROUP BY {', '.join(by)}" for k, by in bt.CUTS.items()), "pred"))
-def summarize_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bt.summarize_all_levels(_predictions(spark, sf_dir)))
-
-
-# 2.6 features
-
-_NTH = "make_date(y, {m}, 1) + CAST((({d} - dayofweek(make_date(y, {m}, 1))) + 7) % 7 + 7 * ({n} - 1) AS INTEGER)"
-_HOLIDAYS = (
-    "hol AS (SELECT name, CASE WHEN fixed AND dayofweek(d) = 6 THEN d - 1 WHEN fixed AND dayofweek(d) = 0 THEN d + 1 ELSE d END AS holiday_date FROM (SELECT name, since, y, fixed, d FROM (SELECT CAST(y AS INTEGER) AS y FROM range(1994, 2004) AS r(y)) CROSS JOIN LATERAL (VALUES "
-    + ", ".join(f"('{n}', {s or 0}, TRUE, make_date(y, {m}, {d}))" for n, m, d, s in holidays.BY_DATE)
-    + ", "
-    + ", ".join(f"('{n}', {s or 0}, FALSE, {_NTH.format(m=m, d={'MON': 1, 'THU': 4}[w], n=k)})" for n, m, w, k, s in holidays.BY_WEEKDAY)
-    + ", ('Memorial', 0, FALSE, make_date(y, 5, 31) - CAST((dayofweek(make_date(y, 5, 31)) + 6) % 7 AS INTEGER))) AS h(name, since, fixed, d) WHERE y >= since))"
-)
-
-
-@query(f"WITH {_HOLIDAYS} SELECT holiday_date, name, count(o_orderkey) AS n_requests FROM hol LEFT JOIN orders ON CAST(o_orderdate AS DATE) = holiday_date GROUP BY ALL")
-def holiday_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed holidays around the orders' years, with the requests made on them."""
-    day = an.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("holiday_date")).agg(F.count("*").alias("n"))
-    return holidays.holiday_calendar(spark, 1995, 2002).join(day, "holiday_date", "left").select("holiday_date", "name", F.coalesce("n", F.lit(0)).alias("n_requests"))
-
-
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS horizon_days, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS target_weekday, CAST(isodow(l_shipdate) >= 6 AS INTEGER) AS target_weekend, CAST(day(l_shipdate) AS INTEGER) AS target_day_of_month, CAST(month(l_shipdate) AS INTEGER) AS target_month FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of ship dates against order dates."""
-    rows = an.table(spark, sf_dir, "lineitem").join(an.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    target = F.to_date("l_shipdate")
-    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[c.alias(k) for k, c in ft.calendar_features(target, F.datediff(target, F.to_date("o_orderdate"))).items()])
-
-
-@query(f"WITH {_HOLIDAYS}, h AS (SELECT DISTINCT holiday_date FROM hol) SELECT o_orderkey, CAST(o_orderdate AS DATE) AS target_date, CAST(CAST(o_orderdate AS DATE) IN (FROM h) AS INTEGER) AS target_holiday, CAST(CAST(o_orderdate AS DATE) + 1 IN (FROM h) AS INTEGER) AS target_before_holiday, CAST(CAST(o_orderdate AS DATE) - 1 IN (FROM h) AS INTEGER) AS target_after_holiday FROM orders")
-def holiday_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.with_holidays(an.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("target_date")), 1995, 2002)
-
-
-_EXAMPLES = f"""{_HOLIDAYS}, h AS MATERIALIZED (SELECT DISTINCT holiday_date FROM hol), x AS MATERIALIZED (SELECT category, area, demand_date AS origin_date, request_count AS v, count(request_count) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS n_hist, count(request_count) OVER (w ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS n_fut,
-    lag(request_count, 7) OVER w AS lag7, avg(request_count) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean7, avg(request_count) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS mean14, avg(request_count) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS mean28,
-    stddev_pop(request_count) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS std7, stddev_pop(request_count) OVER (w ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS std28, min(request_count) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS min7,
-    max(request_count) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS max7, avg(request_count) OVER (w ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING) AS before7 FROM series WINDOW w AS (PARTITION BY category, area ORDER BY demand_date)),
-    xh AS MATERIALIZED (SELECT x.*, CAST(h AS INTEGER) AS h, origin_date + CAST(h AS INTEGER) AS target_date FROM x CROSS JOIN range(1, 8) AS r(h) WHERE n_hist = 28),
-    ex AS MATERIALIZED (SELECT x.origin_date, target_date, x.origin_date AS feature_max_date, x.origin_date - 27 AS history_start_date, l.actual, category, area, n_fut, CAST(h AS INTEGER) AS horizon_days, CAST(isodow(target_date) - 1 AS INTEGER) AS target_weekday,
-    CAST(isodow(target_date) >= 6 AS INTEGER) AS target_weekend, CAST(day(target_date) AS INTEGER) AS target_day_of_month, CAST(month(target_date) AS INTEGER) AS target_month, CAST(target_date IN (FROM h) AS INTEGER) AS target_holiday, CAST(target_date + 1 IN (FROM h) AS INTEGER) AS target_before_holiday,
-    CAST(target_date - 1 IN (FROM h) AS INTEGER) AS target_after_holiday, CAST(v AS DOUBLE) AS origin_last, CAST(lag7 AS DOUBLE) AS origin_lag7, round(mean7, 6) AS mean7, round(mean14, 6) AS mean14, round(mean28, 6) AS mean28, round(std7, 6) AS std7, round(std28, 6) AS std28,
-    CAST(min7 AS DOUBLE) AS min7, CAST(max7 AS DOUBLE) AS max7, round(mean7 - before7, 6) AS recent_trend, l1 AS weekday_lag1, l2 AS weekday_lag2, l3 AS weekday_lag3, l4 AS weekday_lag4, (l1 + l2 + l3 + l4) / 4 AS weekday_mean4, l1 - (l1 + l2 + l3 + l4) / 4 AS weekday_trend
-    FROM xh AS x JOIN lags AS l USING (category, area, target_date))"""
-_WEEKLY = "origin_date BETWEEN DATE '1995-02-04' AND DATE '2001-06-30' AND (origin_date - DATE '1995-02-04') % 7 = 0"
-
-
-def _examples(spark: SparkSession, sf_dir: str, require: bool = True, first: date = FIRST, last: date = LAST, step: int = 7) -> DataFrame:
-    return ft.build_examples(an.series(spark, sf_dir), first, last, step, require)
-
-
-def _origin_columns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return rounded(_examples(spark, sf_dir).filter("horizon_days = 1").select("origin_date", "category", "area", *columns))
-
-
-@query(sql(f", {_EXAMPLES} SELECT origin_date, category, area, origin_last, origin_lag7 FROM ex WHERE horizon_days = 1 AND n_fut = 7 AND {_WEEKLY}", "lags"))
-def origin_level_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _origin_columns(spark, sf_dir, "origin_last", "origin_lag7")
-
-
-@query(sql(f", {_EXAMPLES} SELECT origin_date, category, area, mean7, mean14, mean28, std7, std28, min7, max7 FROM ex WHERE horizon_days = 1 AND n_fut = 7 AND {_WEEKLY}", "lags"))
-def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _origin_columns(spark, sf_dir, "mean7", "mean14", "mean28", "std7", "std28", "min7", "max7")
-
-
-@query(sql(f", {_EXAMPLES} SELECT origin_date, category, area, recent_trend FROM ex WHERE horizon_days = 1 AND n_fut = 7 AND {_WEEKLY}", "lags"))
-def recent_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _origin_columns(spark, sf_dir, "recent_trend")
-
-
-_LAGS = ("origin_date", "target_date", "category", "area", "weekday_lag1", "weekday_lag2", "weekday_lag3", "weekday_lag4", "weekday_mean4", "weekday_trend")
-
-
-@query(sql(f", {_EXAMPLES} SELECT {', '.join(_LAGS)} FROM ex WHERE n_fut = 7 AND {_WEEKLY}", "lags"))
-def weekday_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _examples(spark, sf_dir).select(*_LAGS)
-
-
-@query(sql(f", {_EXAMPLES} SELECT * EXCLUDE (n_fut) FROM ex WHERE {_WEEKLY}", "lags"))
-def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets need not be known."""
-    return rounded(_examples(spark, sf_dir, require=False))
-
-
-@query(sql(f", {_EXAMPLES} SELECT origin_date, target_date, category, area, actual FROM ex WHERE actual IS NOT NULL AND target_date <= DATE '1998-06-06' AND {_WEEKLY}", "lags"))
-def training_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.training_slice(_examples(spark, sf_dir, require=False), ORIGIN).select("origin_date", "target_date", "category", "area", "actual")
-
-
-@query(sql(f", {_EXAMPLES} SELECT origin_date, target_date, feature_max_date, category, area FROM (SELECT * REPLACE (CASE WHEN day(origin_date) = 1 THEN origin_date + 3 ELSE feature_max_date END AS feature_max_date) FROM ex WHERE {_WEEKLY}) WHERE NOT (feature_max_date <= origin_date AND origin_date < target_date AND target_date <= DATE '2001-06-01')", "lags"))
-def leakage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of examples with planted leaks."""
-    x = _examples(spark, sf_dir, require=False)
-    leaky = x.withColumn("feature_max_date", F.when(F.dayofmonth("origin_date") == 1, F.date_add("origin_date", 3)).otherwise(F.col("feature_max_date")))
-    return ft.leakage_violations(leaky, date(2001, 6, 1))
-
-
-_DAILY_SLICE = "actual IS NOT NULL AND origin_date BETWEEN DATE '1995-02-04' AND DATE '2001-06-30' AND target_date <= DATE '2001-07-01'"
-
-
-def _daily_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.training_slice(_examples(spark, sf_dir, False, FIRST, LAST, 1), LAST + timedelta(days=1))
-
-
-@query(sql(f", {_EXAMPLES} SELECT origin_date, target_date, category, area, round(1.0 / count(*) OVER (PARTITION BY target_date, category, area) * count(*) OVER () / (SELECT count(*) FROM (SELECT DISTINCT target_date, category, area FROM ex WHERE {_DAILY_SLICE})), 6) AS weight FROM ex WHERE {_DAILY_SLICE}", "lags"))
-def example_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all daily origins, where horizons share targets."""
-    return rounded(ft.example_weights(_daily_slice(spark, sf_dir)).select("origin_date", "target_date", "category", "area", "weight"))
-
-
-_FIT_DATES = "(SELECT CAST(d AS DATE) AS fit_date FROM generate_series(DATE '1995-02-04', DATE '2001-06-30', INTERVAL 7 DAY) AS g(d))"
-
-
-@query(sql(f""", {_EXAMPLES} SELECT fit_date, min(target_date) AS min_training_target, max(target_date) AS max_training_target, count(*) AS training_rows, count(DISTINCT (target_date, category, area)) AS unique_training_targets,
-    CAST(sum(CAST(('0x' || substr(md5(origin_date || '|' || target_date || '|' || category || '|' || area), 1, 15)) AS HUGEINT)) AS VARCHAR) AS content_sum FROM {_FIT_DATES} JOIN (SELECT * FROM ex WHERE actual IS NOT NULL AND {_WEEKLY}) ON target_date <= fit_date GROUP BY fit_date""", "lags"))
-def training_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.training_audit(_examples(spark, sf_dir, require=False), bt.weekly_origins(spark, FIRST, LAST))
-
-
-# 2.7 model selection and forecasting
-
-_ORIGINS = [date(1998, 5, 9), date(1998, 5, 16), date(1998, 5, 23), date(1998, 5, 30)]
-_CANDIDATES = [
-    md.Candidate("shallow_60", "gbt", {"maxIter": 60, "maxDepth": 3, "minInstancesPerNode": 30}),
-    md.Candidate("shallow_120", "gbt", {"maxIter": 120, "maxDepth": 3, "minInstancesPerNode": 30}),
-    md.Candidate("regularized_120", "gbt", {"maxIter": 120, "maxDepth": 4, "minInstancesPerNode": 50}),
-]
-_KNOWN = "actual IS NOT NULL AND origin_date BETWEEN DATE '1995-02-04' AND DATE '2001-06-30'"
+_MATURED = "actual IS NOT NULL AND origin_date BETWEEN DATE '1995-02-04' AND DATE '2001-06-30'"
 _KEYS = ["origin_date", "target_date", "horizon_days", "category", "area"]
 _AT = "origin_date IN (DATE '1998-05-09', DATE '1998-05-16', DATE '1998-05-23', DATE '1998-05-30')"
 
@@ -972,7 +623,7 @@ def _with_fine(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.coalesce(F.col("prediction") >= 0, F.lit(False)).alias("fine"))
 
 
-@query(sql(f", {_EXAMPLES} SELECT origin_date, target_date, category, area, actual, TRUE AS fine FROM ex WHERE {_KNOWN} AND target_date <= DATE '1998-06-06'", "lags"))
+@query(sql(f", {_EXAMPLES} SELECT origin_date, target_date, category, area, actual, TRUE AS fine FROM ex WHERE {_MATURED} AND target_date <= DATE '1998-06-06'", "lags"))
 def fit_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-sample predictions of a fitted challenger."""
     train = ft.training_slice(_model_frames(spark, sf_dir)[1], ORIGIN)
@@ -1016,7 +667,7 @@ def pairing_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.pairing_violations(p, bt.MODELS)
 
 
-@query(sql(f"SELECT candidate, n, TRUE AS fine FROM (SELECT count(*) AS n FROM pred WHERE model = 'seasonal_naive' AND {_AT}) CROSS JOIN (SELECT unnest(['shallow_10', 'shallow_20', 'regularized_20']) AS candidate)", "pred"))
+@query(sql(f"SELECT candidate, n, TRUE AS fine FROM (SELECT count(*) AS n FROM pred WHERE model = 'seasonal_naive' AND {_AT}) CROSS JOIN (SELECT unnest(['shallow_5', 'shallow_10', 'regularized_10']) AS candidate)", "pred"))
 def select_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking of three candidates; SQL knows how many predictions each has."""
     _, known = _model_frames(spark, sf_dir)
