@@ -304,7 +304,8 @@ def _shipped(buckets: int, sizes: Sizes):
         if not len(unit):
             return schema.empty_table()
         u = _Unit(unit, 0, w)
-        name, count = _anchor_counts(_all_runs(u.data, u.cut, u.wanted(u.texts), sizes))
+        runs = list(_all_runs(u.data, u.cut, u.wanted(u.texts), sizes))
+        name, count = _anchor_counts(iter(runs))
         flag, stays = np.zeros(len(name), np.uint8), np.ones(len(u.texts), bool)
         said = {r["bucket"]: r for r in replies.to_pylist()}
         for b, x in _dealt(name, buckets):
@@ -316,9 +317,13 @@ def _shipped(buckets: int, sizes: Sizes):
         marks = [(gone, np.zeros(len(gone), np.int64), u.size[gone] - w + 1)]
         hot, several = name[flag == 2], name[flag > 0]
         cols: dict[str, list[np.ndarray]] = {c: [np.zeros(0, np.int64)] for c in ("row", "start", "count")} | {c: [np.zeros(0, U)] for c in ("key", "piece")}
-        for r in _all_runs(u.data, u.cut, u.wanted(own), sizes, hot) if len(several) else ():
+        wanted = u.wanted(own)
+        if len(hot):
+            runs = list(_all_runs(u.data, u.cut, wanted, sizes, hot))
+        for r in runs if len(several) else ():
             short = _short(r.key)
             go = ~r.whole | (several[np.minimum(np.searchsorted(several, short), len(several) - 1)] == short)
+            go &= wanted[r.row]
             for c in cols:
                 cols[c].append(getattr(r, c)[go])
         row, start, count, key, piece = (np.concatenate(x) for x in cols.values())

@@ -21,12 +21,24 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _put(c: np.ndarray, head: np.ndarray, step: int) -> np.ndarray:
     """Places for symbols ``c`` in order, from the heads of their buckets on, which move."""
-    order = np.argsort(c, kind="stable")
+    n = len(c)
+    if c.dtype.itemsize <= 2:
+        order = np.argsort(c, kind="stable")  # by counting
+    else:  # symbols and places in one number
+        bits = n.bit_length()
+        key = (c.astype(np.int64) << bits) | np.arange(n)
+        key.sort()
+        order = key & ((1 << bits) - 1)
     own = c[order]
-    first = np.flatnonzero(np.diff(own, prepend=-1))
-    size = np.diff(first, append=len(own))
-    out = np.empty(len(c), np.int64)
-    out[order] = head[own] + step * (np.arange(len(own)) - np.repeat(first, size))
+    new = np.empty(n, bool)
+    new[:1] = True
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    size = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=size[:-1])
+    size[-1:] = n - first[-1:]
+    out = np.empty(n, np.int64)
+    out[order] = head[own] + step * (np.arange(n) - np.repeat(first, size))
     head[own[first]] += step * size
     return out
 
@@ -108,8 +120,8 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
-    t = t.astype(np.int64)
     k = int(t.max()) + 1 if k is None else k
+    t = t.astype(np.uint8 if k <= 1 << 8 else np.uint16 if k <= 1 << 16 else np.int64)
     is_s = _types(t)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(lms) > 1:
