@@ -18,6 +18,7 @@ from ..operators import modeling as md
 from ..operators import normalize as nz
 from ..operators import release as rl
 from ..operators import staffing as st
+from ..operators.kept import DailyCounts, KeptDemand, KeptState, rebuild_days, write_partitions
 from ..sources import files
 from ..sources.shared import new_path, stored
 from ..streaming import jobs
@@ -246,7 +247,12 @@ def append_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT run_id, request_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY run_id, request_id ORDER BY {_LATER}) AS rn FROM stage) WHERE rn = 1", "stage"))
 def record_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.record_observations(an.stage(spark, sf_dir), ORDER).select("run_id", "request_id", "payload")
+    """Written a partition a run; a run that is recorded again replaces its own partition and no other."""
+    path, s = new_path(spark, "observations"), an.stage(spark, sf_dir)
+    found = cl.record_observations(s, ORDER).select("run_id", "request_id", "payload")
+    write_partitions(found, path, "run_id")
+    write_partitions(found.filter("run_id = 3"), path, "run_id")
+    return spark.read.schema(found.schema).parquet(path)
 
 
 _KNOWN = "known AS (SELECT row_number() OVER (ORDER BY o_orderpriority) AS category_id, o_orderpriority AS source_label FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3'))"
@@ -359,10 +365,13 @@ def daily_forecast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT demand_date, category, area, CASE WHEN demand_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' THEN coalesce(request_count, 0) ELSE -1 END AS request_count, CASE WHEN demand_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' THEN is_complete ELSE FALSE END AS is_complete FROM series", "series"))
 def rebuild_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One year of a stale grid rebuilt."""
+    """One year of a stale grid rebuilt, by overwriting its months' partitions."""
     new = an.series(spark, sf_dir).withColumn("request_count", F.coalesce("request_count", F.lit(0)))
     old = new.withColumn("request_count", F.lit(-1).cast("long")).withColumn("is_complete", F.lit(False))
-    return cv.rebuild_range(old, new, date(1996, 1, 1), date(1996, 12, 31))
+    path = new_path(spark, "grid")
+    rebuild_days(path, old)
+    rebuild_days(path, new.filter(F.col("demand_date").between(F.lit(date(1996, 1, 1)), F.lit(date(1996, 12, 31)))))
+    return spark.read.schema(new.withColumn("month", F.lit("")).schema).parquet(path).drop("month")
 
 
 @query(sql(f""", {_PARTITIONS} SELECT demand_date, category, 'ASIA' AS area, CASE WHEN p.window_start IS NOT NULL THEN coalesce(n, 0) END AS request_count, p.window_start IS NOT NULL AS is_complete
@@ -824,13 +833,25 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f", {_STATE} SELECT request_id, complaint_type, borough, payload_hash, first_seen_run, last_seen_run FROM state", "stage"))
 def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged rows landed as files by run, streamed one file a batch into the log; the state seen over it equals the batch result."""
-    pages, log = new_path(spark, "landed"), new_path(spark, "log")
+    """Staged rows landed as files by run, streamed a file a batch into state that is kept; it equals the batch result."""
+    pages, kept = new_path(spark, "landed"), new_path(spark, "state")
     an.stage(spark, sf_dir).repartition("run_id").write.partitionBy("run_id").parquet(pages)
     schema = spark.read.parquet(pages).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(pages).withColumn("run_id", F.col("run_id").cast("long"))
-    jobs.stream_ingest_merge(stream, log, new_path(spark, "log-state")).awaitTermination()
-    return jobs.merged_views(spark, log, ORDER)["state"].select("request_id", "complaint_type", "borough", "payload_hash", "first_seen_run", "last_seen_run")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(pages).withColumn("run_id", F.col("run_id").cast("long"))
+    state = KeptState(spark, kept, stream.schema, order=("run_id", *ORDER), buckets=16, most=2)
+    jobs.stream_kept_state(stream, state, new_path(spark, "state-checkpoint")).awaitTermination()
+    return state.read().select("request_id", "complaint_type", "borough", "payload_hash", "first_seen_run", "last_seen_run")
+
+
+@query(sql(f", {_STATE} SELECT created_date AS demand_date, complaint_type AS category, borough AS area, count(*) AS request_count FROM state GROUP BY ALL", "stage"))
+def incremental_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of the latest row of each request, kept up by signed deltas over three batches of runs; they equal a full count."""
+    s = an.stage(spark, sf_dir).select("request_id", "run_id", *ORDER, F.col("created_date").alias("demand_date"), F.col("complaint_type").alias("category"), F.col("borough").alias("area"))
+    s = stored(s, "stage")
+    kept = KeptDemand(KeptState(spark, new_path(spark, "state"), s.schema, order=("run_id", *ORDER), buckets=16), DailyCounts(spark, new_path(spark, "counts")))
+    for i, runs in enumerate(((1, 2), (3, 4), (5, 6, 7))):
+        kept.apply(s.filter(F.col("run_id").isin(*runs)), i)
+    return kept.counts.read()
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -1,7 +1,7 @@
 """Streaming forms of ingestion: merge per micro-batch, deduplication, daily counts.
 
-Latest-per-key state over all time would grow without bound in a state store; it is kept in the logs, which each micro-batch
-appends to under its own batch id.
+Latest-per-key state over all time would grow without bound in a state store; it is kept in hash buckets on disk
+(``operators.kept``), beside the log, which each micro-batch appends to under its own batch id.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changelog import append_versions, record_observations, upsert_requests
+from ..operators.kept import KeptState
 from ..sources.shared import new_path
 
 
@@ -49,6 +50,15 @@ def stream_ingest_merge(stream: DataFrame, log_path: str, checkpoint: str, prepa
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(land).start()
 
 
+def stream_kept_state(stream: DataFrame, state: KeptState, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Merge each micro-batch into state that is kept: a batch writes into the buckets it touches, one that is replayed changes nothing."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        state.apply(prepare(batch) if prepare else batch, batch_id)
+
+    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(merge).start()
+
+
 def merged_views(spark: SparkSession, log_path: str, order: tuple[str, ...] = ("ordinal",)) -> dict[str, DataFrame]:
     """Current state, versions and observations of a log of micro-batches."""
     log = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch=*").drop("batch", "batch_id")
