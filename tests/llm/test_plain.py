@@ -243,7 +243,7 @@ def test_top_k_of_many_dimensions(spark):
 
 INSIDE = (
     "_i _id _copies _rows _size _source _bad _host _kept _both _p _gone _salt row rows id text_hash size copies n rank times own_host host bad salt lines hit kept both back block lang_pred score held_out unit bucket h turn digest "
-    "maybe component class token own other in_main dim band part chunk floor norm2 vec_id ids x path evidence empty tail price place index file local before"
+    "maybe component class token own other in_main dim band part chunk floor norm2 vec_id ids x path evidence empty tail price place index file local before a.b back.x row.y both.pieces"
 ).split()
 
 

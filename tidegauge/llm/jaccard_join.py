@@ -347,7 +347,10 @@ def _sizes(k: int):
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
-    """``docs`` without those that are not the smallest id of their component. Rows with a null id stay."""
+    """``docs`` without those that are not the smallest id of their component.
+
+    Null, empty and wordless texts are like nothing and stay, as do rows with a null id; rows that repeat an id and a text stay or go together.
+    Whole texts count. An empty table gives an empty one; all columns stay, whatever their names."""
     found = jaccard_components(docs, k, per)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")

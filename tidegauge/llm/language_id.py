@@ -173,7 +173,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fit on the rows that are not held out, predict all: doc_id, held_out, lang_pred, score. A null id is not held out."""
+    """Fit on the rows that are not held out, predict all: doc_id, held_out, lang_pred, score. A null id is not held out.
+
+    A null text or one without a letter is ``und``; a null language teaches nothing. Whole texts are scored, however long; repeated rows
+    each. An empty table gives an empty result; other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("held_out"))
     model = train(rows.filter(~F.col("held_out")), "doc_id", "text", "lang")
     return predict(rows, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")

@@ -261,7 +261,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Null text counts as empty: one token, its end. A null id is learnt from. With nothing to learn from, every bit costs
-    one bit and no token is known. Repeated rows are scored, and learnt from, each.
+    one bit and no token is known. Repeated rows are scored, and learnt from, each. Texts are counted and scored whole, however
+    long. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))

@@ -352,7 +352,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def decode_pieces(docs: DataFrame, pieces_col: str = "pieces", out_col: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ``out_col``: the text its pieces stand for (replaced if it was there).
 
-    Null pieces give null, none the empty text. Ids outside the vocabulary are an error. All other columns stay.
+    Null pieces give null, none the empty text. Ids outside the vocabulary are an error. Repeated rows stay; an empty table gives an empty
+    result. All other columns stay, whatever their names.
     """
     return docs.withColumn(out_col, decoder(docs.sparkSession, load(model))(F.col(pieces_col)))
 
@@ -360,10 +361,12 @@ def decode_pieces(docs: DataFrame, pieces_col: str = "pieces", out_col: str = "t
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
     """``docs`` with ``pieces`` as from ``encode_texts`` and ``back``, the text decoded from them (both replaced if they were there).
 
-    All other columns stay, whatever their names.
+    A null text gives null in both, an empty text no pieces and an empty text; whole texts are encoded, however long. Rows with one id and one
+    text get one segmentation, repeated rows stay, null ids share a key. An empty table gives an empty result. All other columns stay,
+    whatever their names, also such with dots.
     """
     both = round_trip(docs.sparkSession, load(model), sharpness)(F.col(text_col), F.xxhash64(F.col(id_col), F.lit(seed)))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("pieces", "back")]).alias("row"), both.alias("both"))
+    rows = docs.select(F.struct("*").alias("row"), both.alias("both")).select(F.col("row").dropFields("pieces", "back").alias("row"), "both")
     return rows.select("row.*", "both.pieces", "both.back")
 
 

@@ -150,6 +150,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose id was rejected; rows with a null id are judged like others but matched by nothing, and stay."""
+    """``docs`` without the rows whose id was rejected; rows with a null id are judged like others but matched by nothing, and stay.
+
+    Null and empty texts score 0 and go; whole texts count. Ties with the threshold stay, and repeated rows stay or go together. An empty
+    table gives an empty one; all columns stay, whatever their names."""
     gone = quality(docs, labels, **options).filter(~F.col("keep")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[options.get("id_col", "doc_id")] == gone["_gone"], "left_anti")
