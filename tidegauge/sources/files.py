@@ -65,7 +65,7 @@ def tree_digests(spark: SparkSession, path: str) -> DataFrame:
     """path (below the folder), sha256 of every file of a folder and those in it; files are bounded by their writers."""
     root = path.split("://", 1)[-1].rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select(F.expr(f"substring(path, instr(path, '{root}') + {len(root) + 1})").alias("path"), F.sha2("content", 256).alias("sha256"))
+    return found.select(F.col("path").substr(F.instr("path", F.lit(root)) + F.lit(len(root) + 1), F.length("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_table(spark: SparkSession, path: str, scope: dict[str, str] | None = None, day: str | None = None, start=None, end=None) -> DataFrame:
