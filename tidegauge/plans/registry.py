@@ -613,16 +613,16 @@ _KEYS = ["origin_date", "target_date", "horizon_days", "category", "area"]
 _AT = "origin_date IN (DATE '1998-05-09', DATE '1998-05-16', DATE '1998-05-23', DATE '1998-05-30')"
 
 
-def _model_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Examples of every daily origin of the series, and those of known targets."""
-    x = stored(_examples(spark, sf_dir, False, FIRST, LAST, 1), "examples")
+def _model_frames(spark: SparkSession, sf_dir: str, last: date = ORIGIN) -> tuple[DataFrame, DataFrame]:
+    """Examples of every daily origin up to the last one that a model is asked for, and those of known targets."""
+    x = stored(_examples(spark, sf_dir, False, FIRST, last, 1), "examples")
     return x, x.filter("actual is not null")
 
 
 @query(sql(f", {_EXAMPLES} SELECT origin_date, target_date, category, area, CAST(dense_rank() OVER (ORDER BY category) - 1 AS DOUBLE) AS category_code, CAST(dense_rank() OVER (ORDER BY area) - 1 AS DOUBLE) AS area_code FROM ex WHERE origin_date BETWEEN DATE '1995-02-04' AND DATE '2001-06-30'", "lags"))
 def encode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes learnt before the first origin, for all examples."""
-    x, known = _model_frames(spark, sf_dir)
+    x, known = _model_frames(spark, sf_dir, LAST)
     out = md.encode_features(ft.training_slice(known, _ORIGINS[0]), x)
     return out.select("origin_date", "target_date", "category", "area", "category_code", "area_code")
 
