@@ -18,7 +18,7 @@ from ..operators import modeling as md
 from ..operators import normalize as nz
 from ..operators import release as rl
 from ..operators import staffing as st
-from ..operators.kept import DailyCounts, KeptDemand, KeptState, rebuild_days, write_partitions
+from ..operators.kept import KeptState, rebuild_days, write_partitions
 from ..sources import files
 from ..sources.shared import new_path, stored
 from ..streaming import jobs
@@ -843,17 +843,6 @@ def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read().select("request_id", "complaint_type", "borough", "payload_hash", "first_seen_run", "last_seen_run")
 
 
-@query(sql(f", {_STATE} SELECT created_date AS demand_date, complaint_type AS category, borough AS area, count(*) AS request_count FROM state GROUP BY ALL", "stage"))
-def incremental_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts of the latest row of each request, kept up by signed deltas over three batches of runs; they equal a full count."""
-    s = an.stage(spark, sf_dir).select("request_id", "run_id", *ORDER, F.col("created_date").alias("demand_date"), F.col("complaint_type").alias("category"), F.col("borough").alias("area"))
-    s = stored(s, "stage")
-    kept = KeptDemand(KeptState(spark, new_path(spark, "state"), s.schema, order=("run_id", *ORDER), buckets=16), DailyCounts(spark, new_path(spark, "counts")))
-    for i, runs in enumerate(((1, 2), (3, 4), (5, 6, 7))):
-        kept.apply(s.filter(F.col("run_id").isin(*runs)), i)
-    return kept.counts.read()
-
-
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_to_table(jobs.stream_dedup_requests(_events(spark, sf_dir), "ts", "user_id", "event_type", late="60 days").select("user_id", "event_type"), "dedup")
