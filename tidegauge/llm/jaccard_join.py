@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 from .graph import components
 from .signature_tree import link_all, linked, needed
-from .words import U, blocks, by_key, mix, shingles
+from .words import U, blocks, by_key, give_back, mix, shingles
 
 #: Bytes of text a range of tokens stands for on average; tokens in a block of documents; sets in a chunk of a large class;
 #: bytes of tokens in a task of small classes, and the least number of such tasks.
@@ -117,8 +117,11 @@ def _packed(k: int, buckets: int):
                 yield out()
                 block += 1
                 ids, sets, size = [], [], 0
+                give_back()
         if ids:
             yield out()
+        ids, sets = [], []
+        give_back()
 
     return run
 
@@ -166,6 +169,8 @@ def _held(rows: pd.DataFrame) -> pd.DataFrame:
     for i in sorted({*own, *some}):
         a, m = own.get(i, none), some.get(i, none)
         out.append((bucket, int(rows["block"].iloc[i]), doc[entry[a]].tobytes(), df[a].tobytes(), b"", token[a].tobytes(), b"", many_df[m].tobytes()))
+    del doc, name, at, many, many_n, many_at, token, entry, own, some
+    give_back()
     return pd.DataFrame(out, columns=list(rows.columns))
 
 
@@ -196,6 +201,7 @@ def _rare(per: int, buckets: int):
         order = np.lexsort((mix(token.view(U)), df, doc))
         doc, token = doc[order], token[order]
         first = np.searchsorted(doc, np.arange(len(ids)))
+        give_back()
         look = np.where(open_, held - needed(n, per) + 1, 0)
         return pd.DataFrame({"doc_id": ids, "n": n, "k1": keys[:, 0], "k2": keys[:, 1], "rare": [token[f : f + m] if m else None for f, m in zip(first, look, strict=True)]})
 
@@ -226,6 +232,7 @@ def _class_links(per: int):
             ids = own["doc_id"].to_numpy()
             root = link_all(_unpacked(own["tokens"]), per)
             out.append(pd.DataFrame({"a": ids, "b": ids[root]}))
+        give_back()
         return pd.concat(out)
 
     return run
@@ -238,6 +245,7 @@ def _chunk_links(per: int):
         rows = rows.sort_values("left", ascending=False, kind="stable")
         ids = rows["doc_id"].to_numpy()
         root = link_all(_unpacked(rows["tokens"]), per, int(rows["left"].sum()))
+        give_back()
         return pd.DataFrame({"a": ids, "b": ids[root]})
 
     return run
@@ -329,7 +337,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, per: int = 80, id_col: str =
     tasks = max(LEAST_TASKS, -(-total["n"] * 8 // TASK_BYTES))
     small = sets.filter(~large).groupBy(F.pmod(F.xxhash64("class"), F.lit(tasks)).alias("task")).applyInPandas(_class_links(per), "a long, b long")
     links = small.unionByName(_large_links(sets.filter(large).select("class", "sets", "doc_id", F.expr("octet_length(tokens) div 8").alias("n"), "tokens"), rare.select("doc_id", "token"), per))
-    final = components(links)
+    final = components(stored(links, "links"))  # written first, so that no task has two Python workers
     many = stored(heads.filter("copies > 1"), "copies")
     met = _met(about.select("doc_id", "n", "k1", "k2"), many, ["k1", "k2", "n"], "copies", "head", about.count())
     out = met.select("doc_id", "n", F.coalesce("head", "doc_id").alias("head"))

@@ -6,6 +6,7 @@ occur only as themselves, so cutting bytes cuts characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,14 @@ _BACK = U(pow(_BASE, -1, 2**64))
 BLOCK_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again by later tasks, and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     with np.errstate(over="ignore"):
