@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The fields that make up a record's identity, and those it must have, in the order they are looked at.
 TRACKED = ("unique_key", "created_date", "closed_date", "agency", "agency_name", "complaint_type", "descriptor", "status", "borough", "community_board", "resolution_action_updated_date", "open_data_channel_type")
 REQUIRED = ("unique_key", "created_date", "complaint_type", "borough")
+REASONS = (*[f"missing {f}" for f in REQUIRED], "unparseable created_date", "non-numeric unique_key")
 
 
 def strip(c: Column) -> Column:
@@ -56,8 +57,8 @@ def title(c: Column) -> Column:
 def reject_reason(bad_time: Column, bad_number: Column) -> Column:
     """The first rule that a raw record breaks, or null."""
     out = F.lit(None).cast("string")
-    rules = [(missing(F.col(f)), f"missing {f}") for f in REQUIRED] + [(bad_time, "unparseable created_date"), (bad_number, "non-numeric unique_key")]
-    for broken, reason in reversed(rules):
+    rules = [*[missing(F.col(f)) for f in REQUIRED], bad_time, bad_number]
+    for broken, reason in reversed(list(zip(rules, REASONS, strict=True))):
         out = F.when(broken, F.lit(reason)).otherwise(out)
     return out
 

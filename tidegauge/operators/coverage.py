@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sums import merged_intervals
+
 LIVE_MODES = ("backfill", "incremental")
 STATE_RANK, OBSERVATION_RANK = 9223372036854775807, 9223372036854775806
 
@@ -51,13 +53,24 @@ def _midnight_after(day: Column, zone: str) -> Column:
     return F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), zone)
 
 
-def covered_days(ledger: DataFrame, start: date, end: date, zone: str = "America/New_York") -> DataFrame:
-    """Days in the window of a trusted run that was fetched at or after the next local midnight. Windows are unfolded into days, so
-    that days meet by equality."""
+def _last_whole_day(at: Column, zone: str) -> Column:
+    """The last local day whose end is not after an instant."""
+    local = F.to_date(F.from_utc_timestamp(at, zone))
+    return F.when(_midnight_after(local, zone) <= at, local).otherwise(F.date_sub(local, 1))
+
+
+def _windows(ledger: DataFrame, start: date, end: date, zone: str) -> DataFrame:
+    """The ledger's trusted runs with the first and last day that each of them covers (``lo``, ``hi``)."""
     runs = trusted_runs(ledger).filter("window_start is not null and window_end is not null and fetched_at is not null")
-    lo, hi = F.greatest("window_start", F.lit(start)), F.least("window_end", F.lit(end))
-    days = runs.filter(lo <= hi).select("fetched_at", F.explode(F.sequence(lo, hi)).alias("demand_date"))
-    return days.filter(F.col("fetched_at") >= _midnight_after(F.col("demand_date"), zone)).select("demand_date").distinct()
+    hi = F.least("window_end", F.lit(end), _last_whole_day(F.col("fetched_at"), zone))
+    return runs.withColumn("lo", F.greatest("window_start", F.lit(start))).withColumn("hi", hi)
+
+
+def covered_days(ledger: DataFrame, start: date, end: date, zone: str = "America/New_York") -> DataFrame:
+    """Days in the window of a trusted run that was fetched at or after the next local midnight. Windows are merged before they are
+    unfolded into days, so that each day is made once, however many runs fetched it, and days meet by equality."""
+    merged = merged_intervals(_windows(ledger, start, end, zone), "lo", "hi")
+    return merged.select(F.explode(F.sequence("lo", "hi")).alias("demand_date"))
 
 
 def covered_days_strict(ledger: DataFrame, scopes: DataFrame, start: date, end: date, zone: str = "America/New_York") -> DataFrame:
@@ -65,10 +78,8 @@ def covered_days_strict(ledger: DataFrame, scopes: DataFrame, start: date, end:
 
     The ledger has agency and area of each run's query (null for a query of another shape)."""
     keys = ["agency", "area"]
-    runs = trusted_runs(ledger).filter("window_start is not null and window_end is not null and fetched_at is not null").join(scopes.select(*keys).distinct(), keys)
-    lo, hi = F.greatest("window_start", F.lit(start)), F.least("window_end", F.lit(end))
-    days = runs.filter(lo <= hi).select(*keys, "fetched_at", F.explode(F.sequence(lo, hi)).alias("demand_date"))
-    return days.filter(F.col("fetched_at") >= _midnight_after(F.col("demand_date"), zone)).select(*keys, "demand_date").distinct()
+    merged = merged_intervals(_windows(ledger, start, end, zone).join(scopes.select(*keys).distinct(), keys), "lo", "hi", *keys)
+    return merged.select(*keys, F.explode(F.sequence("lo", "hi")).alias("demand_date"))
 
 
 def daily_display_grid(grid: DataFrame, counts: DataFrame, covered: DataFrame) -> DataFrame:

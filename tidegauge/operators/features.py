@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.holidays import holiday_calendar
 from ..functions.scalars import row_digest
 from .backtest import HISTORY, SEGMENT, lag_value, windows
+from .sums import running_totals
 
 # The feature columns and their order.
 NUMERIC = (
@@ -123,9 +124,12 @@ def example_weights(examples: DataFrame) -> DataFrame:
 def training_audit(examples: DataFrame, origins: DataFrame) -> DataFrame:
     """Per cutoff: first and last target, rows, distinct targets and an order-free sum of row hashes.
 
-    Days are summed first; the slices then grow over a few rows per day and not over the examples."""
+    Days are summed first; cutoffs lie among them as days of no rows, and running totals give all slices in two passes."""
     known = examples.filter("actual is not null")
     digest = F.conv(F.substring(row_digest("origin_date", "target_date", *SEGMENT), 1, 15), 16, 10).cast("decimal(38,0)")
     daily = known.groupBy("target_date").agg(F.count("*").alias("n"), F.countDistinct(*SEGMENT).alias("t"), F.sum(digest).alias("d"))
-    met = daily.join(origins.select(F.col("origin_date").alias("fit_date")), F.col("target_date") <= F.col("fit_date"))
-    return met.groupBy("fit_date").agg(F.min("target_date").alias("min_training_target"), F.max("target_date").alias("max_training_target"), F.sum("n").alias("training_rows"), F.sum("t").alias("unique_training_targets"), F.sum("d").cast("string").alias("content_sum"))
+    cutoffs = origins.select(F.col("origin_date").alias("day")).distinct()
+    days = daily.withColumn("day", F.col("target_date")).unionByName(cutoffs, allowMissingColumns=True)
+    sums = {"n": ("sum", "n"), "t": ("sum", "t"), "d": ("sum", "d"), "first": ("min", "target_date"), "last": ("max", "target_date")}
+    met = running_totals(days, "day", sums).join(cutoffs, "day").filter("n > 0")
+    return met.select(F.col("day").alias("fit_date"), F.col("first").alias("min_training_target"), F.col("last").alias("max_training_target"), F.col("n").alias("training_rows"), F.col("t").alias("unique_training_targets"), F.col("d").cast("string").alias("content_sum"))

@@ -16,19 +16,17 @@ def judged(raw: DataFrame) -> DataFrame:
     return out.withColumn("reject_reason", reject_reason(F.col("created_at").isNull(), F.col("request_id").isNull()))
 
 
-def normalize_requests(raw: DataFrame, *keep: str) -> DataFrame:
-    """Typed rows of the good records, with their payload and its hash; ``keep`` names further columns to carry.
+def typed() -> list[Column]:
+    """The typed fields of a judged row that is good.
 
     A record without an agency gets UNKNOWN in the row but not in the payload. Text is stripped, the area is upper case."""
-    rows = judged(raw).filter("reject_reason is null")
 
     def text(field: str) -> Column:
         return F.when(~missing(F.col(field)), strip(F.col(field)))
 
-    return rows.select(
-        *keep,
-        "request_id",
-        "created_at",
+    return [
+        F.col("request_id"),
+        F.col("created_at"),
         local_day(F.col("created_at")).alias("created_day"),
         parse_wall_clock(F.col("closed_date")).alias("closed_at"),
         F.coalesce(text("agency"), F.lit("UNKNOWN")).alias("agency"),
@@ -39,7 +37,12 @@ def normalize_requests(raw: DataFrame, *keep: str) -> DataFrame:
         parse_wall_clock(F.col("resolution_action_updated_date")).alias("resolution_updated_at"),
         payload_hash(*TRACKED).alias("payload_hash"),
         tracked_payload(*TRACKED).alias("payload"),
-    )
+    ]
+
+
+def normalize_requests(raw: DataFrame, *keep: str) -> DataFrame:
+    """Typed rows of the good records, with their payload and its hash; ``keep`` names further columns to carry."""
+    return judged(raw).filter("reject_reason is null").select(*keep, *typed())
 
 
 def reject_requests(raw: DataFrame, *keep: str) -> DataFrame:

@@ -14,7 +14,7 @@ MODELS = ("weekday_mean_4w", "seasonal_naive", "gbt")
 
 def snapshot_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of either snapshot that the other lacks (repeats count), with ``side``."""
-    cols = before.columns
+    cols = [F.col(f"`{c}`") for c in before.columns]
     gone = before.exceptAll(after.select(*cols)).withColumn("side", F.lit("before"))
     return gone.unionByName(after.select(*cols).exceptAll(before).withColumn("side", F.lit("after")))
 

@@ -12,12 +12,14 @@ from ..functions import holidays
 from ..operators import backtest as bt
 from ..operators import changelog as cl
 from ..operators import coverage as cv
+from ..operators import digests as dg
 from ..operators import experiment as ex
 from ..operators import features as ft
 from ..operators import modeling as md
 from ..operators import normalize as nz
 from ..operators import release as rl
 from ..operators import staffing as st
+from ..operators import staging as sg
 from ..operators.kept import KeptState, rebuild_days, write_partitions
 from ..sources import files
 from ..sources.shared import new_path, stored
@@ -153,6 +155,17 @@ def reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nz.reject_summary(an.raw(spark, sf_dir))
 
 
+@query(sql("SELECT coalesce(reject_reason, 'good') AS outcome, count(*) AS n_records, count(*) AS n_observed FROM judged GROUP BY ALL", "judged"))
+def stage_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages staged in one pass: rows in both folders by outcome, beside the counts that the pass itself observed."""
+    pages, out = new_path(spark, "pages"), new_path(spark, "staging")
+    files.write_request_pages(an.raw(spark, sf_dir).drop("source_id"), pages)
+    seen = sg.stage_pages(spark, f"{pages}/run_id=*", out)
+    observed = spark.createDataFrame([("good" if k == "rows_staged" else k, n) for k, n in seen.items() if k not in ("rows_read", "rows_skipped")], "outcome string, n_observed long")
+    found = sg.staged(spark, out).select(F.lit("good").alias("outcome")).unionByName(sg.quarantine(spark, out).select(F.col("reject_reason").alias("outcome")))
+    return found.groupBy("outcome").agg(F.count("*").alias("n_records")).join(observed.filter("n_observed > 0"), "outcome", "full_outer")
+
+
 @query(sql("SELECT source_id, CASE WHEN regexp_matches(created_date, '^[0-9]{4}-') THEN CAST(regexp_replace(created_date, 'Z$', '') AS TIMESTAMP) END AS created_at FROM raw", "raw"))
 def parse_wall_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.raw(spark, sf_dir).select("source_id", nz.parse_wall_clock(F.col("created_date")).alias("created_at"))
@@ -715,9 +728,13 @@ def forecast_next_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT demand_date, category, area, CASE side WHEN 'before' THEN request_count ELSE request_count + 1 END AS request_count, is_complete, side FROM (SELECT *, unnest(['before', 'after']) AS side FROM series WHERE day(demand_date) = 5 AND is_complete)", "series"))
 def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots written with their digests; only the days that differ are compared row by row."""
     s = an.series(spark, sf_dir)
     changed = s.withColumn("request_count", F.when(F.dayofmonth("demand_date") == 5, F.col("request_count") + 1).otherwise(F.col("request_count")))
-    return rl.snapshot_drift(s, changed)
+    paths = [new_path(spark, "snapshot") for _ in range(2)]
+    for path, snapshot in zip(paths, (s, changed), strict=True):
+        dg.write_snapshot(snapshot, path, "demand_date")
+    return dg.snapshot_drift(spark, *paths)
 
 
 @query("""SELECT count(*) AS n_rows, concat_ws('-', CAST(sum(CAST('0x' || substr(d, 1, 15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(d, 16, 15) AS HUGEINT)) AS VARCHAR)) AS fingerprint

@@ -15,13 +15,26 @@ METRICS = "model string, n long, mae double, wape double, bias double, actual_to
 FORECAST = "origin_date date, target_date date, horizon_days int, category string, area string, seasonal_naive double, weekday_mean_4w double, gbt double"
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text"))
+
+
 def read_request_pages(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-lines pages, plain or gzip: the tracked fields as text, ``file`` and ``ordinal`` (file, then place in it).
 
     Blank lines are passed over; unknown fields are ignored. Files are read line by line, plain ones in splits, so pages may be of any
     size; a place is the split's start and the line's number within what one task reads, which grow in line order."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("line"), F.col("value").alias("text"))
-    return _parsed(lines)
+    return _parsed(_lines(spark, path))
+
+
+def read_page_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_request_pages``, with each line's ``text`` and whether it is ``broken``: no JSON object, as Spark's reader tells."""
+    schema = T.StructType([*RAW.fields, T.StructField("_broken", T.StringType())])
+    record = F.from_json("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = _lines(spark, path).filter(F.trim("text") != "").select(F.struct("file", "line").alias("ordinal"), "text", record.alias("r"))
+    return rows.select("ordinal", "text", (F.col("r").isNull() | F.col("r._broken").isNotNull()).alias("broken"), *[f"r.{f}" for f in RAW.names])
 
 
 def stream_request_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +95,30 @@ def read_table_jdbc(spark: SparkSession, url: str, table: str, column: str, lowe
     return reader.options(**options).load()
 
 
+def even_ranges(values: DataFrame, column: str, parts: int, quote: str = '"') -> list[str]:
+    """SQL conditions that cut a numeric column into ``parts`` ranges of about as many rows each, by quantiles to a tenth of a part.
+
+    Equal values stay together, so very frequent ones make fewer ranges. Nulls are in the first. A table without values has one range."""
+    name = f"{quote}{column}{quote}"
+    cuts = values.approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    whole = dict(values.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
+    cuts = sorted({int(c) if whole else c for c in cuts})
+    if not cuts:
+        return ["1 = 1"]
+    middle = [f"{name} >= {a} AND {name} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"({name} < {cuts[0]} OR {name} IS NULL)", *middle, f"{name} >= {cuts[-1]}"]
+
+
+def read_table_jdbc_evenly(spark: SparkSession, url: str, table: str, column: str, parts: int, scope: dict[str, str] | None = None, **options: str) -> DataFrame:
+    """A database table cut to a scope, read in ``parts`` ranges of a numeric column that hold about as many rows each, however its
+    values lie. The database looks through the column once for the ranges; conditions of the scope are sent to it."""
+    values = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(column).dropna()
+    df = spark.read.jdbc(url, table, predicates=even_ranges(values, column, parts), properties=options)
+    for name, value in (scope or {}).items():
+        df = df.filter(F.col(name) == value)
+    return df
+
+
 def read_release_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of a release or report, with the schema given."""
     return spark.read.schema(schema).option("header", True).csv(path)
