@@ -23,7 +23,7 @@ from ..operators import staging as sg
 from ..operators.kept import KeptState, rebuild_days, write_partitions
 from ..sources import files
 from ..sources.shared import new_path, stored
-from ..streaming import jobs
+from ..streaming import jobs, late
 from . import analogues as an
 from .analogues import FIRST, LAST, ORDER, sql
 
@@ -868,3 +868,14 @@ def stream_dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(ts AS DATE) AS demand_date, event_type AS category, count(*) AS request_count FROM events GROUP BY ALL")
 def stream_daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_to_table(jobs.stream_daily_demand(_events(spark, sf_dir), "ts", "event_type"), "daily", "complete")
+
+
+@query("SELECT CAST(ts AS DATE) AS demand_date, event_type AS category, count(*) AS request_count FROM events GROUP BY ALL")
+def stream_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that land in two parts, the second with rows of days closed by then: the stream's counts, and those days counted anew."""
+    events = an.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    landed, counts, checkpoint = (new_path(spark, f"late-{name}") for name in ("landed", "counts", "checkpoint"))
+    for part in (events.filter("event_id % 10 <> 0"), events.filter("event_id % 10 = 0")):
+        part.write.mode("append").parquet(landed)
+        late.stream_counted_days(spark.readStream.schema(events.schema).parquet(landed), counts, checkpoint, "ts", "event_type", 7).awaitTermination()
+    return late.rebuilt_counts(spark, counts, spark.read.schema(events.schema).parquet(landed), "ts", "event_type")
