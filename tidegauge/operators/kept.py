@@ -55,10 +55,16 @@ class KeptState:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _merged(self, rows: DataFrame) -> DataFrame:
-        """One row per key: the latest, with the first and last run that had the key. Rows are merged before they shuffle."""
+        """One row per key: the latest, with the first and last run that had the key."""
+        return self._by_bucket(rows).select(self.key, *self.order, *self.rest, "first_seen_run", "last_seen_run")
+
+    def _by_bucket(self, rows: DataFrame) -> DataFrame:
+        """As ``_merged``, with the bucket, a task a bucket. The one sort of a task, by bucket and key, serves the merge and a write by buckets;
+        its size is that of a bucket, whatever the size of the files read or of the partitions that adaptive execution would join."""
         latest = F.max_by(F.struct(*self.order, *self.rest), F.struct(*self.order)).alias("_r")
-        out = rows.groupBy(self.key).agg(latest, F.min("first_seen_run").alias("first_seen_run"), F.max("last_seen_run").alias("last_seen_run"))
-        return out.select(self.key, *[f"_r.{c}" for c in (*self.order, *self.rest)], "first_seen_run", "last_seen_run")
+        dealt = rows.withColumn("bucket", self._bucket()).repartitionById(self.buckets, "bucket")
+        out = dealt.groupBy("bucket", self.key).agg(latest, F.min("first_seen_run").alias("first_seen_run"), F.max("last_seen_run").alias("last_seen_run"))
+        return out.select(self.key, *[f"_r.{c}" for c in (*self.order, *self.rest)], "first_seen_run", "last_seen_run", "bucket")
 
     def _batch_rows(self, batch: DataFrame) -> DataFrame:
         run = F.col(self.order[0])
@@ -93,15 +99,14 @@ class KeptState:
         if batch_id <= m.last_batch:
             return False
         data = f"data/batch={batch_id}"
-        self._merged(self._batch_rows(batch)).withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{data}")
+        self._by_bucket(self._batch_rows(batch)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{data}")
         new = [int(x.split("=")[1]) for x in _listed(self.spark, f"{self.path}/{data}") if x.startswith("bucket=")]
         folders = dict(m.folders)
         for b in new:
             folders[b] = [*folders.get(b, []), f"{data}/bucket={b}"]
         full = [b for b in new if len(folders[b]) > self.most]
         if full:
-            rows = self._merged(self._read(Manifest(folders=folders), full)).withColumn("bucket", self._bucket())
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/compact={batch_id}")
+            self._by_bucket(self._read(Manifest(folders=folders), full)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/compact={batch_id}")
             folders |= {b: [f"data/compact={batch_id}/bucket={b}"] for b in full}
         row = (batch_id, [(b, f) for b, f in sorted(folders.items())])
         self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{m.number + 1}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import payload_hash, tracked_payload
 from ..operators.coverage import calendar_grid, covered_days, daily_forecast_grid, distinct_daily_counts
+from ..sources.shared import tasks
 
 START, END = date(1995, 1, 1), date(2001, 8, 1)
 FIRST, LAST = date(1995, 2, 4), date(2001, 6, 30)
@@ -77,8 +78,13 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the runs staged: run_id, request_id, complaint_type, borough, created_date, payload_hash, payload, and the columns of ORDER."""
+    """What the runs staged: run_id, request_id, complaint_type, borough, created_date, payload_hash, payload, and the columns of ORDER.
+
+    Rows are dealt by request to a number of tasks that grows with them (a count of Parquet rows reads footers only). What is grouped by
+    request, alone or with more, happens in these tasks without another shuffle."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = tasks(spark, max(li.count(), o.count()))
+    li, o = li.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
     rows = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_linenumber").cast("long").alias("run_id"), F.col("l_orderkey").alias("request_id"), F.col("l_returnflag").alias("complaint_type"), F.col("l_linestatus").alias("borough"), F.to_date("o_orderdate").alias("created_date"), *ORDER)
     fields = ("borough", "complaint_type")
     return rows.withColumn("payload_hash", payload_hash(*fields)).withColumn("payload", tracked_payload(*fields))

@@ -22,7 +22,7 @@ from ..operators import staffing as st
 from ..operators import staging as sg
 from ..operators.kept import KeptState, rebuild_days, write_partitions
 from ..sources import files
-from ..sources.shared import new_path, stored
+from ..sources.shared import new_path, stored, tasks
 from ..streaming import jobs, late
 from . import analogues as an
 from .analogues import FIRST, LAST, ORDER, sql
@@ -850,12 +850,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f", {_STATE} SELECT request_id, complaint_type, borough, payload_hash, first_seen_run, last_seen_run FROM state", "stage"))
 def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged rows landed as files by run, streamed a file a batch into state that is kept; it equals the batch result."""
+    """Staged rows landed as files by run, two runs' files a batch, streamed into state that is kept; it equals the batch result.
+
+    A run is as many files, and the state as many buckets, as its rows need (``tasks``): no task holds a run, or a fixed share of the state."""
     pages, kept = new_path(spark, "landed"), new_path(spark, "state")
-    an.stage(spark, sf_dir).repartition("run_id").write.partitionBy("run_id").parquet(pages)
-    schema = spark.read.parquet(pages).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(pages).withColumn("run_id", F.col("run_id").cast("long"))
-    state = KeptState(spark, kept, stream.schema, order=("run_id", *ORDER), buckets=16, most=2)
+    n = tasks(spark, an.table(spark, sf_dir, "lineitem").count())
+    an.stage(spark, sf_dir).repartitionByRange(n, "run_id", "request_id").write.partitionBy("run_id").parquet(pages)
+    landed = spark.read.parquet(pages)
+    files_of_two = -(-2 * len(landed.inputFiles()) // max(1, landed.select("run_id").distinct().count()))
+    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", max(2, files_of_two)).parquet(pages).withColumn("run_id", F.col("run_id").cast("long"))
+    state = KeptState(spark, kept, stream.schema, order=("run_id", *ORDER), buckets=max(16, n), most=2)
     jobs.stream_kept_state(stream, state, new_path(spark, "state-checkpoint")).awaitTermination()
     return state.read().select("request_id", "complaint_type", "borough", "payload_hash", "first_seen_run", "last_seen_run")
 

@@ -30,6 +30,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that one task of a dealt table gets, about. Adaptive execution joins shuffle partitions up to so many bytes, and a task's rows grow with them.
+TASK_ROWS = 200_000
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """The number of tasks that so many rows are dealt to: it grows with the rows, so that what one task holds does not."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def stored(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
