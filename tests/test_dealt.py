@@ -33,3 +33,19 @@ def test_a_run_is_landed_by_many_tasks(spark, tmp_path, monkeypatch):
     assert landed[0] <= 2 * 300 and landed[1] == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert len(glob.glob(f"{tmp_path}/state/data/batch=0/bucket=*")) == -(-landed[1] // 300)
     assert len(glob.glob(f"{tmp_path}/state/manifest/[0-9]*")) == 4  # two runs a batch, however many files
+
+
+def shuffles(df, *keys):
+    """The lines of a plan that deal rows by one of the keys."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and any(k in x for k in keys)]
+
+
+def test_live_evidence_is_dealt_by_request_only(spark, monkeypatch):
+    """A join with the ledger that deals evidence by run would put a run in one task."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    live = registry.live_requests(spark, DATA)
+    assert not shuffles(live, "run_id")
+    by_request = shuffles(live, "l_orderkey", "request_id")
+    assert len(by_request) == 3 and all("l_orderkey" in x and ", 12), REPARTITION_BY_NUM" in x for x in by_request)
+    assert rows(live) == sql_rows(registry.ORACLES["live_requests"])

@@ -23,9 +23,10 @@ def live_requests(observations: DataFrame, versions: DataFrame, state: DataFrame
 
     Evidence is an observation, an older version row, or the current state; of one run, state goes before observation before
     version (greater version_id first). Each frame has request_id, run_id and the fields; versions also version_id. Untrusted runs go before
-    the shuffle, and the newest row is taken by aggregation."""
+    the shuffle, by a broadcast of the runs (one row per fetch job): a join that deals evidence by run would put a run in one task.
+    The newest row is taken by aggregation; evidence that is dealt by request stays where it is."""
     fields = ["demand_date", "agency", "category", "area"]
-    runs = trusted_runs(ledger).select("run_id", "started_at")
+    runs = F.broadcast(trusted_runs(ledger).select("run_id", "started_at"))
 
     def evidence(df: DataFrame, rank: Column) -> DataFrame:
         return df.join(runs, "run_id").select("request_id", F.struct("started_at", rank.cast("long").alias("rank")).alias("_at"), F.struct(*fields).alias("_r"))
