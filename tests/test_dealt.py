@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from compare import DATA, rows, sql_rows
 from tidegauge.operators.kept import KeptState
-from tidegauge.plans import registry
+from tidegauge.plans import analogues, registry
 from tidegauge.sources import shared
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -49,3 +49,19 @@ def test_live_evidence_is_dealt_by_request_only(spark, monkeypatch):
     by_request = shuffles(live, "l_orderkey", "request_id")
     assert len(by_request) == 3 and all("l_orderkey" in x and ", 12), REPARTITION_BY_NUM" in x for x in by_request)
     assert rows(live) == sql_rows(registry.ORACLES["live_requests"])
+
+
+def test_staged_rows_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    stage = analogues.stage(spark, DATA).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in stage.groupBy("task").count().collect()]
+    assert len(sizes) == -(-sum(sizes) // 500) and max(sizes) <= 2 * 500
+    assert stage.groupBy("request_id").agg(F.countDistinct("task").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_versions_and_first_runs_are_counted_where_requests_are(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    counts = registry.merge_counts(spark, DATA)
+    by_request = shuffles(counts, "l_orderkey", "request_id")
+    assert len(by_request) == 3 and all("l_orderkey" in x and ", 12), REPARTITION_BY_NUM" in x for x in by_request)
+    assert rows(counts) == sql_rows(registry.ORACLES["merge_counts"])
