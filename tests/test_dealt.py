@@ -65,3 +65,12 @@ def test_versions_and_first_runs_are_counted_where_requests_are(spark, monkeypat
     by_request = shuffles(counts, "l_orderkey", "request_id")
     assert len(by_request) == 3 and all("l_orderkey" in x and ", 12), REPARTITION_BY_NUM" in x for x in by_request)
     assert rows(counts) == sql_rows(registry.ORACLES["merge_counts"])
+
+
+@pytest.mark.parametrize(("name", "key", "n"), [("distinct_daily_counts", "l_orderkey", 12), ("daily_display_grid", "request_id", 15), ("daily_forecast_grid", "request_id", 15)])
+def test_distinct_requests_are_found_in_dealt_tasks(spark, monkeypatch, name, key, n):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500 if n == 12 else 100)
+    counts = registry.QUERIES[name](spark, DATA)
+    by_request = shuffles(counts, key, "request_id")
+    assert len(by_request) == 1 and f", {n}), REPARTITION_BY_NUM" in by_request[0]
+    assert rows(counts) == sql_rows(registry.ORACLES[name])

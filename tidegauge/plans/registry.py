@@ -368,7 +368,7 @@ def covered_days_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT demand_date, category, area, coalesce(n.request_count, 0) AS request_count, c.demand_date IS NOT NULL AS is_complete FROM grid LEFT JOIN counts n USING (demand_date, category, area) LEFT JOIN covered c USING (demand_date)", "grid", "counts"))
 def daily_display_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cv.calendar_grid(spark, an.START, an.END, *an.labels(spark, sf_dir))
-    return cv.daily_display_grid(grid, cv.distinct_daily_counts(an.requests(spark, sf_dir)), cv.covered_days(an.ledger(spark), an.START, an.END))
+    return cv.daily_display_grid(grid, cv.distinct_daily_counts(an.dealt_requests(spark, sf_dir)), cv.covered_days(an.ledger(spark), an.START, an.END))
 
 
 @query(sql("SELECT * FROM series", "series"))
